@@ -90,13 +90,14 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z lower-cased.
 
     Returns each word's 64-bit hash (a polynomial in its bytes, from prefix sums), its document and its start byte.
+    With prefixes, lengths in bytes, hashes get a second axis: the word's and each prefix's, which shorter words share.
     """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = np.concatenate([[False], _WORD[data], [False]])
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
@@ -108,4 +109,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     up, down = powers(len(data))
     total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
     h = mixed((total[e] - total[s]) * down[s])
+    if prefixes:
+        h = np.stack([h, *(mixed((total[np.minimum(s + k, e)] - total[s]) * down[s] + np.uint64(k)) for k in prefixes)], axis=1)
     return h, np.searchsorted(offsets, s, "right") - 1, s

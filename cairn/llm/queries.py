@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm import langid, toxicity
+from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +19,30 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    found = langid.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Documents with a label, one row a labelled document and label row; keyed by doc_id."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where("label is not null")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
+    found = toxicity.with_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_simhash": op5_simhash,
+        "op8_language": op8_language,
+        "op9_toxicity": op9_toxicity,
     }
 
 
