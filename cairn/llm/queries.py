@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, toxicity
+from cairn.llm import bpe, langid, toxicity
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = bpe.read_spec(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
@@ -40,6 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_bpe": op2_bpe,
         "op5_simhash": op5_simhash,
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,

@@ -7,8 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one label at most: up to this, Spark cuts each label down before it moves rows.
+PER_LABEL = 1000
+
+
 def labelled_sample(docs: DataFrame, label: Column, allowed: Column, max_rows: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
-    """At most max_rows rows (label, text, pick) on the driver, as even over the labels as these allow.
+    """At most max_rows rows (label, text, pick) on the driver, PER_LABEL a label, as even over labels as these allow.
 
     Rows are drawn by a hash of the id; of each, a run of at most max_chars characters at a hashed place.  pick, from 0
     to 1, is another hash of the id to split the sample by.  Rows with a null label, text or id take no part.
@@ -18,6 +22,6 @@ def labelled_sample(docs: DataFrame, label: Column, allowed: Column, max_rows: i
     even = Window.partitionBy("label").orderBy("h", "id")
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("t") - max_chars + 1, F.lit(1)))
     cut = rows.select("id", "label", draw.alias("h"), F.substring("t", (start + 1).cast("int"), F.lit(max_chars)).alias("text"))
-    best = cut.withColumn("n", F.row_number().over(even)).where(F.col("n") <= max_rows)
+    best = cut.withColumn("n", F.row_number().over(even)).where(F.col("n") <= min(max_rows, PER_LABEL))
     found = best.orderBy("n", "label", "id").limit(max_rows).select("label", "text", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 20)) / (1 << 20)).alias("pick"))
     return found.toPandas()
