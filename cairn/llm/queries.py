@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, langid, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, langid, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
@@ -47,6 +47,12 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = compression.fit(_labelled(spark, sf_dir, "quality"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
+    found = compression.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(_labelled(spark, sf_dir, "toxic"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
     found = toxicity.with_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), model)
@@ -71,6 +77,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
+        "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
         "op7_chat": op7_chat,
         "op8_language": op8_language,
