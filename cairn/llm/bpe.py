@@ -29,7 +29,7 @@ from pyspark.sql.functions import arrow_udf
 #: The pattern by which byte-level BPE of this kind splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and arcs remembered by a worker, and the longest word that is.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -112,7 +112,7 @@ class Automaton:
                     pair = found[-1] << 24 | y
                     ok = follows.get(pair)
                     if ok is None:
-                        if len(follows) >= 4 * REMEMBERED:
+                        if len(follows) >= 2 * REMEMBERED:
                             follows.clear()
                         ok = follows[pair] = self.has_arc(found[-1], y)
                     if not ok:

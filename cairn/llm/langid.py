@@ -25,9 +25,8 @@ FILTERS = 12
 #: Windows at a time: what they look up stays in the processor's cache.
 BLOCK = 32
 UNDETERMINED = "und"
-#: A byte's symbol: itself plus 1, with A-Z lower-cased.
+#: A byte's symbol. Texts are lower-cased before.
 SYMBOL = np.arange(1, 257, dtype=np.int32)
-SYMBOL[65:91] += 32
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +50,7 @@ def fit(docs: DataFrame, allowed: Column, max_rows: int = 2400, max_chars: int =
     if sample.empty:
         return None
     classes = sorted(sample.label.unique().tolist())
-    data = [t.encode() for t in sample.text]
+    data = [t.lower().encode() for t in sample.text]
     rows, owner, used = windows(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])])
     keep = used >= 2
     # every second window is cut short, so that short texts are known too
@@ -118,7 +117,7 @@ def identify(text: Column, model: TextCNN | None) -> Column:
     none = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
         return none
-    return F.when(F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False)), of(text)).otherwise(none)
+    return F.when(F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False)), of(F.lower(text))).otherwise(none)
 
 
 def with_language(docs: DataFrame, model: TextCNN | None, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, compression, langid, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, langid, tiling, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
@@ -47,6 +47,11 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compression.fit(_labelled(spark, sf_dir, "quality"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
     found = compression.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -77,6 +82,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
         "op7_chat": op7_chat,
