@@ -66,12 +66,12 @@ def evidence(model_good: bytes, model_bad: bytes, data: np.ndarray, offsets: np.
     return found
 
 
-def fit(docs: DataFrame, label: Column, allowed: Column, max_rows: int = 3000, max_chars: int = 8000, size: int = 64 << 10, text: str = "text", doc_id: str = "doc_id") -> Quality:
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 3000, max_chars: int = 8000, size: int = 64 << 10, text: str = "text", doc_id: str = "doc_id") -> Quality:
     """Learns from at most max_rows rows (max_chars characters each): half for the dictionaries, half to calibrate.
 
-    Without rows of both labels every score is the share of good rows (0.5 without rows).
+    labelled has columns id and label (1: good).  Without rows of both labels every score is the share of good rows (0.5 without rows).
     """
-    sample = labelled_sample(docs, label.cast("int"), allowed, max_rows, max_chars, text, doc_id)
+    sample = labelled_sample(docs, labelled.select("id", F.col("label").cast("int").alias("label")), max_rows, max_chars, text, doc_id)
     y = (sample.label.to_numpy() > 0).astype(int)
     texts = [t.encode() for t in sample.text]
     prior = (y.sum() + 1) / (len(y) + 2)

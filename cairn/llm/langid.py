@@ -46,7 +46,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
 
 def fit(docs: DataFrame, allowed: Column, max_rows: int = 2400, max_chars: int = 480, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> TextCNN | None:
     """Learns from at most max_rows rows (max_chars characters each) where `allowed` holds; None if there are none."""
-    sample = labelled_sample(docs, F.col(lang), allowed, max_rows, max_chars, text, doc_id)
+    sample = labelled_sample(docs, docs.where(allowed).select(F.col(doc_id).alias("id"), F.col(lang).alias("label")), max_rows, max_chars, text, doc_id)
     if sample.empty:
         return None
     classes = sorted(sample.label.unique().tolist())

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, compression, langid, tiling, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, knn, langid, pii, tiling, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", knn.floored("embedding").alias("vec"))
+    return knn.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +32,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The key of surrogates in queries and the pipeline. A deployment passes its own, kept secret.
+PII_KEY = "cairn"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
@@ -42,9 +55,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Documents with a label, one row a labelled document and label row; keyed by doc_id."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where("label is not null")
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id")
+    """The labelled documents to learn from: id, label and lang; without those whose crc32 is held out."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col(label).alias("label")).where(crc_mod(F.col("id"), 5) > 0)
+    return labels.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +66,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = compression.fit(_labelled(spark, sf_dir, "quality"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
-    found = compression.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = compression.with_quality(docs, compression.fit(docs, _labelled(spark, sf_dir, "quality")))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"), F.col("label"), crc_mod(F.col("doc_id"), 5) != 0)
-    found = toxicity.with_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = toxicity.with_toxicity(docs, toxicity.fit(docs, _labelled(spark, sf_dir, "toxic")))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
 
 
@@ -81,10 +94,12 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_topk": op1_topk,
         "op2_bpe": op2_bpe,
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
+        "op6_pii": op6_pii,
         "op7_chat": op7_chat,
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,

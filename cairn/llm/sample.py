@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Rows of one label at most: up to this, Spark cuts each label down before it moves rows.
 PER_LABEL = 1000
 
 
-def labelled_sample(docs: DataFrame, label: Column, allowed: Column, max_rows: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labelled: DataFrame, max_rows: int, max_chars: int, text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
     """At most max_rows rows (label, text, pick) on the driver, PER_LABEL a label, as even over labels as these allow.
 
-    Rows are drawn by a hash of the id; of each, a run of at most max_chars characters at a hashed place.  pick, from 0
-    to 1, is another hash of the id to split the sample by.  Rows with a null label, text or id take no part.
+    labelled has columns id and label.  Rows are drawn by a hash of the id, before any text is read; of each, a run of
+    at most max_chars characters at a hashed place.  pick, from 0 to 1, is another hash of the id to split the sample
+    by.  Rows with a null label, text or id take no part.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), label.alias("label"), F.col(text).alias("t")).where(allowed & F.col("label").isNotNull() & F.col("t").isNotNull() & F.col("id").isNotNull())
-    draw = F.xxhash64("id")
-    even = Window.partitionBy("label").orderBy("h", "id")
+    rows = labelled.select("id", "label").where("id is not null and label is not null").withColumn("h", F.xxhash64("id"))
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("n") <= min(max_rows, PER_LABEL))
+    drawn = best.orderBy("n", "label", "id").limit(max_rows).select("id", "label", "n")
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("t") - max_chars + 1, F.lit(1)))
-    cut = rows.select("id", "label", draw.alias("h"), F.substring("t", (start + 1).cast("int"), F.lit(max_chars)).alias("text"))
-    best = cut.withColumn("n", F.row_number().over(even)).where(F.col("n") <= min(max_rows, PER_LABEL))
-    found = best.orderBy("n", "label", "id").limit(max_rows).select("label", "text", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 20)) / (1 << 20)).alias("pick"))
-    return found.toPandas()
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(drawn), "id")
+    cut = texts.select("n", "label", "id", F.substring("t", (start + 1).cast("int"), F.lit(max_chars)).alias("text"))
+    found = cut.orderBy("n", "label", "id", "text").limit(max_rows)
+    return found.select("label", "text", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 20)) / (1 << 20)).alias("pick")).toPandas()

@@ -22,7 +22,7 @@ from cairn.llm.common import mixed, powers, spans, text_bytes, word_hashes, writ
 
 #: The window that tiling starts with.
 SEARCH = 20
-_BITS_A_SEED, _MOST_BITS = 64, 1 << 28
+_BITS_A_SEED, _MOST_BITS = 1024, 1 << 28
 
 
 def prefix_sums(words: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def benchmark_seeds(items: DataFrame, tile: int, item_id: str = "item_id", text:
 
 
 def seed_filter(found: DataFrame) -> np.ndarray:
-    """A Bloom filter over the seeds: 64 bits a seed, 32 MB at most; with more seeds it lets more through, never less."""
+    """A Bloom filter over the seeds: 1024 bits a seed, 32 MB at most; with more seeds it lets more through, never less."""
     n = found.count()
     bits = min(_MOST_BITS, 1 << max(16, (n * _BITS_A_SEED).bit_length()))
     place = lambda shift: F.shiftrightunsigned("seed", shift).bitwiseAND(F.lit(bits - 1))
