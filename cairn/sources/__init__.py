@@ -1,0 +1 @@
+"""GeoJSON, stored objects, workspaces and layers."""
