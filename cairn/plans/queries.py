@@ -37,7 +37,6 @@ def _values(rows: list[tuple]) -> str:
 _CATALOG = f"(values {_values([(c, *r) for c, g in fixed.CATALOG.items() for r in g])}) cat(c, t, s, l)"
 _ALIASES = f"(values {_values(list(fixed.ALIASES.items()))}) al(a, b)"
 _ROADS = f"(values {_values([(k, *v) for k, v in fixed.ROAD_TYPES.items()])}) rt(s, t, l)"
-_BAD = "not coalesce(accuracy <= 50, false)"
 _QUALITY = "case when accuracy <= 3 then 'excellent' when accuracy <= 10 then 'good' when accuracy <= 50 then 'warn' else 'bad' end"
 _US = "unix_micros(cast({} as timestamp))"
 

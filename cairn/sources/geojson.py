@@ -43,17 +43,17 @@ def read_workspaces(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "name", "scale", F.col("contourInterval").alias("contour_interval"), F.coalesce(F.nullif("symbolDisplayMode", F.lit("")), F.lit("print")).alias("symbol_display_mode"), F.col("sizeKm").alias("size_km"), "center", F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"), "standard")
 
 
-def read_field_store(spark: SparkSession, path: str, live_path: str | None = None) -> DataFrame:
+def read_field_store(spark: SparkSession, path: str, live_path: str | None = None, lines: bool = False) -> DataFrame:
     """Stored objects of contributors' documents (contributorId, observations, tracks, areas), before normalisation.
 
     A contributor's global document counts as a whole, or else the live one; missing arrays are empty.  Columns:
-    contributor, category, ordinal, and an object's fields; coordinates stay JSON text.
+    contributor, category, ordinal, and an object's fields; coordinates stay JSON text.  A document is a file, or a line.
     """
     item = "struct<id:string,observationId:string,contributorId:string,syncStatus:string,version:int,objectType:string,type:string,symbol:string,coordinates:string,accuracy:double,source:string,quality:string,createdAt:string>"
     schema = f"contributorId string, observations array<{item}>, tracks array<{item}>, areas array<{item}>"
-    docs = spark.read.schema(schema).json(path, multiLine=True)
+    docs = spark.read.schema(schema).json(path, multiLine=not lines)
     if live_path is not None:
-        live = spark.read.schema(schema).json(live_path, multiLine=True)
+        live = spark.read.schema(schema).json(live_path, multiLine=not lines)
         docs = docs.unionByName(live.join(docs.select("contributorId"), "contributorId", "left_anti"))
     parts = [docs.select(F.col("contributorId").alias("contributor"), F.lit(c).alias("category"), F.posexplode(array).alias("ordinal", "o")) for c, array in (("point", "observations"), ("line", "tracks"), ("area", "areas"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
