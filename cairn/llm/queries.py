@@ -107,6 +107,44 @@ def queries() -> dict[str, Query]:
     }
 
 
+_OP1 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) v from embeddings
+    where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, d.vec_id, cast(list_dot_product(q.v, d.v) as bigint) score from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) place from s)
+select query_id, cast(place as int) rank, vec_id, score from r where place <= 5
+"""
+
+_OP7 = r"""
+with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+    union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) h(conv_id, turn, role, text)),
+e as (select *, length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<:]', 'xx', 'g')) + 15 n from t)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+    cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) loss_chars,
+    sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn), '')) loss_sha256, cast(sum(n) as bigint) formatted_chars
+from e group by conv_id
+"""
+
+_OP10 = r"""
+with recursive u as (select page_id, html, coalesce(url, '') url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host from pages),
+tags as (select url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b[^>]*>')) tag from u),
+links as (select url a, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) b from tags),
+named as (select url from u union select b from links where contains(b, '://')),
+n as (select url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) rest from named),
+m as (select *, host || rest address, case when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/' when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+    when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/' when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end rule from n),
+e as (select x.address a, y.address b from links l join m x on x.url = l.a join m y on y.url = l.b where x.host <> '' and y.host <> '' and x.address <> y.address),
+both_ways as (select a, b from e union select b, a from e),
+reach(a, b) as (select a, a from both_ways union select r.a, b.b from reach r join both_ways b on b.a = r.b),
+aliases as (select r.a address, bool_or(m.rule in ('com/', 'www.example.com/en/')) allow, bool_or(m.rule in ('example.com/en/', 'net/es/', 'net/fr/')) block from reach r join m on m.address = r.b group by 1)
+select u.page_id, m.host, m.path, m.rule, case when m.rule in ('com/', 'www.example.com/en/') then 'allow' when m.rule is not null then 'block'
+    when coalesce(al.block, false) and not coalesce(al.allow, false) then 'block' else 'allow' end verdict
+from u join m on m.url = u.url left join aliases al on al.address = m.address and m.host <> ''
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that it can express."""
-    return {}
+    """SQL for the queries that it can express; tests hold the others against plain versions."""
+    return {"op1_topk": _OP1, "op7_chat": _OP7, "op10_urlfilter": _OP10}
