@@ -185,18 +185,18 @@ def contamination(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: fl
 
     Columns doc_id, text_hash (xxhash64 of the text, which with doc_id names the row), item_id, coverage, n_words,
     covered and tiles.  Null and empty texts and items with null ids match nothing; repeated rows of docs each give
-    their rows, repeated items count once.
+    their rows, repeated items count once, and texts that share an item's id count each for itself.
     """
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(item_text).alias("text")).distinct()
-    known = written(benchmark_seeds(items, tile))
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(item_text).alias("text")).dropna().distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    known = written(benchmark_seeds(items, tile, "item").withColumnRenamed("item_id", "item"))
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # tile values at most
     bloom = docs.sparkSession.sparkContext.broadcast(seed_filter(known))
     some = written(candidates(docs, bloom, lengths or [tile], doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     shared = some.select("row", F.explode("seeds").alias("seed")).join(known, "seed")
     # every tiled word lies in a shared run, so fewer shared runs than this can't cover enough
     enough = F.sum("times") * F.first("length") >= coverage * F.first("n_words")
-    pairs = shared.groupBy("row", "item_id").agg(enough.alias("enough")).where("enough").select("row", "item_id")
-    both = pairs.join(some.select("row", "doc_id", "text_hash", "text"), "row").join(items.withColumnRenamed("text", "item_text"), "item_id")
+    pairs = shared.groupBy("row", "item").agg(enough.alias("enough")).where("enough").select("row", "item")
+    both = pairs.join(some.select("row", "doc_id", "text_hash", "text"), "row").join(items.withColumnRenamed("text", "item_text"), "item")
     found = tiled(both.select("doc_id", "text_hash", "item_id", "text", "item_text"), tile)
     return found.withColumn("coverage", F.col("covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
 
