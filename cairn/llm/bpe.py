@@ -29,7 +29,7 @@ from pyspark.sql.functions import arrow_udf
 #: The pattern by which byte-level BPE of this kind splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and arcs remembered by a worker, and the longest word that is.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -49,20 +49,24 @@ class Automaton:
             self.label[i] = text
         self.left, self.right, self.born = [-1] * size, [-1] * size, [0] * size
         self.lost: dict[tuple[int, int], int] = {}
-        made = set()
+        made, live = set(), {i for text, i in vocab.items() if len(text) == 1}
         for when, (a, b) in enumerate(merges, 1):
-            self._gadget(vocab[a], vocab[b], vocab[a + b], when)
             if a + b in made:
                 raise ValueError(f"two merges make {a + b!r}")
             made.add(a + b)
+            self._gadget(vocab[a], vocab[b], vocab[a + b], when, live)
         self.goto: dict[int, int] = {}
         self.arc = [-1]
         for text, i in vocab.items():
-            if len(text) == 1 or text in made:
+            if i in live:
                 self._label(text, i)
         self.follows: dict[int, bool] = {}
 
-    def _gadget(self, a: int, b: int, c: int, when: int) -> None:
+    def _gadget(self, a: int, b: int, c: int, when: int, live: set[int]) -> None:
+        """Where a is never followed by b any more, c never comes about and the automaton stays as it is."""
+        if not (a in live and b in live and self.has_arc(a, b, when - 1)):
+            return
+        live.add(c)
         self.lost[a, b] = when
         self.left[c], self.right[c], self.born[c] = a, b, when
 
@@ -75,11 +79,10 @@ class Automaton:
                 self.arc.append(-1)
         self.arc[node] = token
 
-    def has_arc(self, x: int, y: int) -> bool:
-        """Whether state x has arc y once all gadgets are in."""
-        now = len(self.lost) + 1
+    def has_arc(self, x: int, y: int, now: float = float("inf")) -> bool:
+        """Whether state x has arc y once gadget number `now` is in; by default, once all are."""
         while True:
-            if self.lost.get((x, y), now + 1) <= now:
+            if (gone := self.lost.get((x, y))) is not None and gone <= now:
                 return False
             bx, by = self.born[x], self.born[y]
             if not bx and not by:
@@ -144,7 +147,7 @@ class Words(dict):
 
 
 class Tokenizer:
-    """Text to ids and back, from the JSON of a byte-level BPE tokenizer."""
+    """Text to ids, from the JSON of a byte-level BPE tokenizer."""
 
     def __init__(self, spec: bytes):
         read = json.loads(spec)
@@ -157,7 +160,6 @@ class Tokenizer:
         self.split = regex.compile(WORDS).findall
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.labels = dict(enumerate(self.automaton.label)) | {v: k.encode() for k, v in special.items()}
 
     def encode(self, text: str) -> bytes:
         """Packed little-endian unsigned 32-bit ids."""
@@ -166,20 +168,37 @@ class Tokenizer:
             return b"".join(map(get, self.split(text)))
         return b"".join(self.special.get(part) or b"".join(map(get, self.split(part))) for part in self.cut.split(text))
 
+    def forget(self) -> None:
+        """Frees what was remembered, as idle workers stay."""
+        self.words.clear()
+        self.automaton.follows.clear()
+
+
+class Decoder:
+    """Emits the labels of the automaton's arcs; needs nothing else of it."""
+
+    def __init__(self, spec: bytes):
+        read = json.loads(spec)
+        byte = printable_bytes()
+        special = {t["content"]: t["id"] for t in read["added_tokens"]}
+        self.labels = {v: bytes(byte[c] for c in k) for k, v in read["model"]["vocab"].items() if k not in special} | {v: k.encode() for k, v in special.items()}
+
     def decode(self, ids: bytes) -> str:
         """Bytes that aren't UTF-8 become U+FFFD; ids out of the vocabulary emit nothing."""
-        return b"".join([self.labels.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        get = self.labels.get
+        return b"".join([get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_made: dict[int, Tokenizer] = {}
+_made: dict[tuple, object] = {}
 
 
-def tokenizer(spec: bytes) -> Tokenizer:
+def made(kind: type, spec: bytes):
     """Compiled once in each worker."""
-    key = hash(spec)
+    key = (kind, hash(spec))
     if key not in _made:
-        _made.clear()
-        _made[key] = Tokenizer(spec)
+        if len(_made) > 3:
+            _made.clear()
+        _made[key] = kind(spec)
     return _made[key]
 
 
@@ -192,14 +211,22 @@ def read_spec(spark: SparkSession, path: str, most: int = 64 << 20):
     return spark.sparkContext.broadcast(spec)
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 500) -> Iterator[pa.Array]:
+    """Smaller batches, so that what is made of one is small too."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def encode(text: Column, spec) -> Column:
     """The ids of whole texts, packed as little-endian unsigned 32-bit integers; null and empty texts have none."""
 
     @arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        made = tokenizer(spec.value)
-        for texts in batches:
-            yield pa.array([made.encode(t.as_py() or "") for t in texts], pa.binary())
+        coder = made(Tokenizer, spec.value)
+        for texts in slices(batches):
+            yield pa.array([coder.encode(t.as_py() or "") for t in texts], pa.binary())
+        coder.forget()
 
     return of(text)
 
@@ -209,14 +236,28 @@ def decode(ids: Column, spec) -> Column:
 
     @arrow_udf("string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        made = tokenizer(spec.value)
-        for packed in batches:
-            yield pa.array([made.decode(p.as_py() or b"") for p in packed], pa.string())
+        coder = made(Decoder, spec.value)
+        for packed in slices(batches):
+            yield pa.array([coder.decode(p.as_py() or b"") for p in packed], pa.string())
 
     return of(ids)
 
 
+def both_ways(text: Column, spec) -> Column:
+    """encode and decode of its ids in one worker: a struct of ids and decoded."""
+
+    @arrow_udf("ids binary, decoded string")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder, decoder = made(Tokenizer, spec.value), made(Decoder, spec.value)
+        for texts in slices(batches):
+            ids = [coder.encode(t.as_py() or "") for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], names=["ids", "decoded"])
+        coder.forget()
+
+    return of(text)
+
+
 def with_tokens(docs: DataFrame, spec, text: str = "text") -> DataFrame:
     """docs with ids (packed), n_tokens and decoded."""
-    ids = docs.withColumn("ids", encode(F.col(text), spec))
-    return ids.withColumns({"n_tokens": (F.length("ids") / 4).cast("long"), "decoded": decode(F.col("ids"), spec)})
+    coded = docs.withColumn("_coded", both_ways(F.col(text), spec))
+    return coded.withColumns({"ids": F.col("_coded.ids"), "n_tokens": (F.length("_coded.ids") / 4).cast("long"), "decoded": F.col("_coded.decoded")}).drop("_coded")

@@ -69,7 +69,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2^64, of the hash's base and of its inverse."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = max(1 << 19, 1 << int(n).bit_length())
         have = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
         _powers[0] = have
     return have[0][:n], have[1][:n]

@@ -90,7 +90,7 @@ class Scorer:
         """The class number and its probability, for each text."""
         n = len(offsets) - 1
         total = np.zeros((n, len(self.model.classes)))
-        for a, b in spans(offsets, 1 << 18):
+        for a, b in spans(offsets, 1 << 17):
             rows, owner, used = windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for i in range(0, len(rows), BLOCK):
                 logp = np.log(softmax(self.model.logits(self.features(rows[i : i + BLOCK])).astype(np.float64)) + 1e-9)

@@ -33,7 +33,7 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1))
 
 
-def majority_bits(h: np.ndarray, block: int = 1 << 16) -> int:
+def majority_bits(h: np.ndarray, block: int = 1 << 14) -> int:
     """The bits set in over half of the hashes; 0 for none."""
     if not len(h):
         return 0
@@ -53,7 +53,7 @@ def fingerprint(text: Column, shingle: int = 3, words: int = 1) -> Column:
 
     @arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             found = np.zeros((len(texts), words), np.uint64)
             for i, text in enumerate(texts.cast(pa.large_binary())):
                 h = shingle_hashes(text.as_py() or b"", shingle)
@@ -82,17 +82,24 @@ class Forest:
             while (self.label != (up := self.label[self.label])).any():
                 self.label = up
 
-    def join(self, budget: int, most: int = 1 << 19) -> np.ndarray:
+    def join(self, budget: int, most: int = 1 << 16) -> np.ndarray:
         """For each row given, a row of the same bucket that it's linked to, directly or not: the same for a class."""
         lo, hi = self.edges[:-1], self.edges[1:]
         many = hi - lo > 1
-        todo = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int64))]
+        for pivot in (lo[many], (lo[many] + hi[many]) // 2, hi[many] - 1):  # joins most of a dense bucket at once
+            size = (hi - lo)[many]
+            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo[many], size)
+            self._close(np.repeat(pivot, size), member, budget)
+        todo = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int16))]
         ones: dict[int, np.ndarray] = {}
         while todo:
             depth, al, ah, bl, bh, diff = todo.pop()
             leaves = (ah - al == 1) & (bh - bl == 1)
             self._close(al[leaves], bl[leaves], budget)
-            al, ah, bl, bh, diff = (x[~leaves] for x in (al, ah, bl, bh, diff))
+            # a pair of nodes whose rows are all linked already has nothing to add
+            turns = np.r_[0, np.cumsum(self.label[1:] != self.label[:-1])]
+            linked = (turns[ah - 1] == turns[al]) & (turns[bh - 1] == turns[bl]) & (self.label[al] == self.label[bl])
+            al, ah, bl, bh, diff = (x[~leaves & ~linked] for x in (al, ah, bl, bh, diff))
             if not len(al) or depth == 64 * self.prints.shape[1]:
                 continue
             if len(al) > most:
@@ -101,7 +108,9 @@ class Forest:
                 continue
             if depth not in ones:
                 bit = (self.prints[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
-                ones[depth] = np.r_[0, np.cumsum(bit.astype(np.int64))]
+                if len(ones) > 8:  # depths come mostly in order
+                    ones.clear()
+                ones[depth] = np.r_[0, np.cumsum(bit, dtype=np.int32)].astype(np.int32)
             count = ones[depth]
             am, bm = ah - (count[ah] - count[al]), bh - (count[bh] - count[bl])
             own = al == bl
@@ -145,7 +154,7 @@ def _dealt(prints: DataFrame, budget: int, bucket_rows: int) -> DataFrame:
         level = {m: _parts(m, 64, budget + 1) for m in masks}
 
 
-def _joined(dealt: DataFrame, words: int, budget: int, rows_at_once: int = 200_000) -> DataFrame:
+def _joined(dealt: DataFrame, words: int, budget: int, rows_at_once: int = 50_000) -> DataFrame:
     """Trie self-joins of buckets (columns bucket, fp0.., rep): links a, b between representatives, fewer than rows."""
     names = [f"fp{i}" for i in range(words)]
 
