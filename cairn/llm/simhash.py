@@ -4,6 +4,9 @@ Two fingerprints within `budget` differing bits agree on at least one of `budget
 dealt to buckets by (mask of a part, bits under the mask), and each bucket is a binary trie that is joined with itself:
 pairs of nodes go down together, add up differing bits and are dropped when these exceed the budget.  A bucket of more
 than `bucket_rows` fingerprints is dealt anew by one more part, which loses no link.
+
+Where a similarity of texts is asked for, fingerprints only propose pairs: each link is checked by the shared part of the
+texts' distinct shingles.
 """
 
 from __future__ import annotations
@@ -63,17 +66,52 @@ def fingerprint(text: Column, shingle: int = 3, words: int = 1) -> Column:
     return of(text)
 
 
+def shingles(text: Column, shingle: int) -> Column:
+    """The hashes of a text's distinct shingles, sorted."""
+
+    @arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            found = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in texts.cast(pa.large_binary())]
+            yield pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+
+    return of(text)
+
+
+def set_fingerprint(text: Column, shingle: int, words: int) -> Column:
+    """As fingerprint, but of distinct shingles, and with two more longs: a hash of the set of shingles, and its size."""
+    salts = [np.uint64((0xA0761D6478BD642F * i) & (2**64 - 1)) for i in range(words)]
+
+    @arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            found = np.zeros((len(texts), words + 2), np.uint64)
+            for i, text in enumerate(texts.cast(pa.large_binary())):
+                h = np.unique(shingle_hashes(text.as_py() or b"", shingle))
+                found[i] = [*(majority_bits(mixed(h ^ s) if s else h) for s in salts), xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h)]
+            yield pa.ListArray.from_arrays(np.arange(0, found.size + 1, words + 2, dtype=np.int32), found.view(np.int64).ravel())
+
+    return of(text)
+
+
 class Forest:
-    """Tries over rows of `prints` (n x words); rows of one bucket make one trie."""
+    """Tries over rows of `prints` (n x words); rows of one bucket make one trie.
+
+    With `counted`, only so many words count for differing bits: the others tell rows of equal fingerprints apart.
+    """
 
-    def __init__(self, bucket: np.ndarray, prints: np.ndarray):
+    def __init__(self, bucket: np.ndarray, prints: np.ndarray, counted: int | None = None):
+        self.counted = prints.shape[1] if counted is None else counted
         self.order = np.lexsort([*prints.T[::-1], bucket])
         self.prints = prints[self.order]
         self.edges = np.flatnonzero(np.r_[True, np.diff(bucket[self.order]) != 0, True])
         self.label = np.arange(len(prints))
 
+    def _near(self, a: np.ndarray, b: np.ndarray, budget: int) -> np.ndarray:
+        return np.bitwise_count(self.prints[a, : self.counted] ^ self.prints[b, : self.counted]).sum(axis=1) <= budget
+
     def _close(self, a: np.ndarray, b: np.ndarray, budget: int) -> None:
-        near = np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=1) <= budget
+        near = self._near(a, b, budget)
         a, b = a[near], b[near]
         while len(a):
             a, b = self.label[a], self.label[b]
@@ -82,20 +120,16 @@ class Forest:
             while (self.label != (up := self.label[self.label])).any():
                 self.label = up
 
-    def join(self, budget: int, most: int = 1 << 16) -> np.ndarray:
-        """For each row given, a row of the same bucket that it's linked to, directly or not: the same for a class."""
+    def _leaves(self, budget: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that may be within the budget, without those of nodes whose rows all have one label by then."""
         lo, hi = self.edges[:-1], self.edges[1:]
         many = hi - lo > 1
-        for pivot in (lo[many], (lo[many] + hi[many]) // 2, hi[many] - 1):  # joins most of a dense bucket at once
-            size = (hi - lo)[many]
-            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo[many], size)
-            self._close(np.repeat(pivot, size), member, budget)
         todo = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int16))]
         ones: dict[int, np.ndarray] = {}
         while todo:
             depth, al, ah, bl, bh, diff = todo.pop()
             leaves = (ah - al == 1) & (bh - bl == 1)
-            self._close(al[leaves], bl[leaves], budget)
+            yield al[leaves], bl[leaves]
             # a pair of nodes whose rows are all linked already has nothing to add
             turns = np.r_[0, np.cumsum(self.label[1:] != self.label[:-1])]
             linked = (turns[ah - 1] == turns[al]) & (turns[bh - 1] == turns[bl]) & (self.label[al] == self.label[bl])
@@ -114,10 +148,30 @@ class Forest:
             count = ones[depth]
             am, bm = ah - (count[ah] - count[al]), bh - (count[bh] - count[bl])
             own = al == bl
-            parts = [(al, am, bl, bm, diff), (am, ah, bm, bh, diff), (al, am, bm, bh, diff + 1), (am[~own], ah[~own], bl[~own], bm[~own], diff[~own] + 1)]
+            one = int(depth < 64 * self.counted)
+            parts = [(al, am, bl, bm, diff), (am, ah, bm, bh, diff), (al, am, bm, bh, diff + one), (am[~own], ah[~own], bl[~own], bm[~own], diff[~own] + one)]
             al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*parts))
             keep = (ah > al) & (bh > bl) & (diff <= budget) & ~((al == bl) & (ah - al == 1))
             todo.append((depth + 1, *(x[keep] for x in (al, ah, bl, bh, diff))))
+
+    def pairs(self, label: np.ndarray, budget: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of one bucket within the budget whose given labels differ."""
+        self.label = np.unique(label[self.order], return_inverse=True)[1]
+        for a, b in self._leaves(budget, most):
+            keep = self._near(a, b, budget) & (self.label[a] != self.label[b])
+            if keep.any():
+                yield self.order[a[keep]], self.order[b[keep]]
+
+    def join(self, budget: int, most: int = 1 << 16) -> np.ndarray:
+        """For each row given, a row of the same bucket that it's linked to, directly or not: the same for a class."""
+        lo, hi = self.edges[:-1], self.edges[1:]
+        many = hi - lo > 1
+        for pivot in (lo[many], (lo[many] + hi[many]) // 2, hi[many] - 1):  # joins most of a dense bucket at once
+            size = (hi - lo)[many]
+            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo[many], size)
+            self._close(np.repeat(pivot, size), member, budget)
+        for a, b in self._leaves(budget, most):
+            self._close(a, b, budget)
         found = np.empty(len(self.order), np.int64)
         found[self.order] = self.order[self.label]
         return found
@@ -154,31 +208,39 @@ def _dealt(prints: DataFrame, budget: int, bucket_rows: int) -> DataFrame:
         level = {m: _parts(m, 64, budget + 1) for m in masks}
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str], rows_at_once: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by bucket, some whole buckets at a time."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({x: batch[x].to_numpy() for x in names})
+        n += batch.num_rows
+        if n < rows_at_once:
+            continue
+        all_of = {x: np.concatenate([h[x] for h in held]) for x in names}
+        bucket = all_of["bucket"]
+        cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+        if cut:
+            yield {x: v[:cut] for x, v in all_of.items()}
+        held, n = [{x: v[cut:] for x, v in all_of.items()}], len(bucket) - cut
+    if n:
+        yield {x: np.concatenate([h[x] for h in held]) for x in names}
+
+
+def _prints(rows: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+    return np.stack([rows[x] for x in names], axis=1).view(np.uint64)
+
+
 def _joined(dealt: DataFrame, words: int, budget: int, rows_at_once: int = 50_000) -> DataFrame:
     """Trie self-joins of buckets (columns bucket, fp0.., rep): links a, b between representatives, fewer than rows."""
     names = [f"fp{i}" for i in range(words)]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(bucket, prints, rep):
-            root = Forest(bucket, prints).join(budget)
+        for rows in _whole_buckets(batches, ["bucket", *names, "rep"], rows_at_once):
+            root = Forest(rows["bucket"], _prints(rows, names)).join(budget)
             other = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(rep[other]), pa.array(rep[root[other]])], names=["a", "b"])
-
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch["bucket"].to_numpy(), np.stack([batch[x].to_numpy() for x in names], axis=1).view(np.uint64), batch["rep"].to_numpy()))
-            n += batch.num_rows
-            if n < rows_at_once:
-                continue
-            bucket, prints, rep = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            if cut:
-                yield links(bucket[:cut], prints[:cut], rep[:cut])
-            held, n = [(bucket[cut:], prints[cut:], rep[cut:])], len(bucket) - cut
-        if n:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["rep"][other]), pa.array(rows["rep"][root[other]])], names=["a", "b"])
 
     return dealt.select("bucket", *names, "rep").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "a bigint, b bigint")
 
@@ -192,28 +254,114 @@ def near_links(prints: DataFrame, budget: int = 3, bucket_rows: int = 100_000) -
     return _joined(dealt, 1, budget)
 
 
-def wide_links(prints: DataFrame, words: int, budget: int, bands: int, band_bits: int) -> DataFrame:
-    """As near_links for wide fingerprints (columns fp, an array of longs, and rep) and large budgets.
+def _banded(prints: DataFrame, words: int, bands: int, band_bits: int, *more: str) -> DataFrame:
+    """Rows of wide fingerprints (fp, an array of longs) by bucket: columns bucket, fp0.. and those of `more`.
 
     Buckets are the values of `bands` seeded choices of `band_bits` bits, which finds a pair that differs in a share p
-    of its bits with chance 1 - (1 - (1-p)^band_bits)^bands; a found pair is linked only within the budget.
+    of its bits with chance 1 - (1 - (1-p)^band_bits)^bands.
     """
     draw = np.random.default_rng(SEED)
     chosen = [np.bincount(draw.choice(64 * words, band_bits, replace=False), minlength=64 * words).reshape(words, 64) for _ in range(bands)]
     masks = [[_signed(int(np.packbits(w.astype(np.uint8)).view(">u8")[0])) for w in c] for c in chosen]
     keys = [F.xxhash64(F.lit(i), *[F.col("fp")[k].bitwiseAND(F.lit(m).cast("long")) for k, m in enumerate(c) if m]) for i, c in enumerate(masks)]
-    rows = prints.select(F.explode(F.array(*keys)).alias("bucket"), *[F.col("fp")[k].alias(f"fp{k}") for k in range(words)], "rep")
-    return _joined(rows, words, budget)
+    return prints.select(F.explode(F.array(*keys)).alias("bucket"), *[F.col("fp")[k].alias(f"fp{k}") for k in range(words)], *more)
+
+
+def wide_links(prints: DataFrame, words: int, budget: int, bands: int, band_bits: int) -> DataFrame:
+    """As near_links for wide fingerprints (columns fp, an array of longs, and rep) and large budgets.
+
+    Candidates are the pairs that _banded finds; a found pair is linked only within the budget.
+    """
+    return _joined(_banded(prints, words, bands, band_bits, "rep"), words, budget)
+
+
+_PAIR = "a bigint, a_set bigint, b bigint, b_set bigint"
+
+
+def _pair_batch(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[x][i]) for i in (a, b) for x in ("rep", "set")], names=["a", "a_set", "b", "b_set"])
+
+
+def _stars(dealt: DataFrame, words: int, budget: int, rows_at_once: int = 50_000) -> DataFrame:
+    """Of buckets (bucket, fp0.., set, rep), each row with one row of its class of close ones."""
+    names = [*(f"fp{i}" for i in range(words)), "set"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches, ["bucket", *names, "rep"], rows_at_once):
+            root = Forest(rows["bucket"], _prints(rows, names), words).join(budget)
+            other = np.flatnonzero(root != np.arange(len(root)))
+            yield _pair_batch(rows, other, root[other])
+
+    return dealt.select("bucket", *names, "rep").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, _PAIR).distinct()
+
 
+def _close_pairs(dealt: DataFrame, words: int, budget: int, similarity: float, rows_at_once: int = 50_000) -> DataFrame:
+    """Of buckets (bucket, fp0.., set, n, rep, label), all close pairs of different labels whose sizes n allow the similarity."""
+    names = [*(f"fp{i}" for i in range(words)), "set"]
 
-def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words: int = 1, bands: int = 0, band_bits: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches, ["bucket", *names, "n", "rep", "label"], rows_at_once):
+            for a, b in Forest(rows["bucket"], _prints(rows, names), words).pairs(rows["label"], budget):
+                less, more = np.minimum(rows["n"][a], rows["n"][b]), np.maximum(rows["n"][a], rows["n"][b])
+                a, b = a[less >= similarity * more - 1e-6], b[less >= similarity * more - 1e-6]
+                first = rows["set"][a] < rows["set"][b]
+                yield _pair_batch(rows, np.where(first, a, b), np.where(first, b, a))
+
+    return dealt.select("bucket", *names, "n", "rep", "label").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, _PAIR).distinct()
+
+
+def _with_shingles(links: DataFrame, sets: DataFrame, side: str, at_once: int = 1000) -> DataFrame:
+    """links with the shingles of one side; a set of many links is joined in as many copies as `at_once` goes into them."""
+    share = links.groupBy(f"{side}_set").agg(F.floor(F.count("*") / at_once).alias("more"))
+    copies = sets.join(share, F.col("set") == F.col(f"{side}_set")).select(f"{side}_set", "more", F.explode(F.sequence(F.lit(0).cast("long"), "more")).alias("copy"), F.col("shingles").alias(f"{side}_shingles"))
+    other = "b_set" if side == "a" else "a_set"
+    dealt = links.join(share, f"{side}_set").withColumn("copy", F.pmod(F.xxhash64(other), F.col("more") + 1)).drop("more")
+    return dealt.join(copies.drop("more"), [f"{side}_set", "copy"]).drop("copy")
+
+
+def _verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of links, those whose texts share `similarity` of their distinct shingles: columns a, b.
+
+    docs has set and _text for each end of a link.
+    """
+    sets = written(docs.select("set", shingles(F.col("_text"), shingle).alias("shingles")).groupBy("set").agg(F.first("shingles").alias("shingles")))
+    both = _with_shingles(_with_shingles(links, sets, "a"), sets, "b")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    either = F.size("a_shingles") + F.size("b_shingles") - common
+    return both.where((common == either) | (common / either >= similarity)).select("a", "b")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int) -> DataFrame:
+    """Links a, b between nodes (fp, set, n, rep, text_hash) that share `similarity` of their distinct shingles.
+
+    Their components are those of all such pairs that fingerprints propose: first each node is checked against one of its
+    class in every bucket; then every proposed pair whose nodes these links leave apart.  docs has _id, _hash, _text.
+    """
+
+    def checked(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a_set").alias("set")).union(links.select("b_set")).distinct()
+        at = nodes.join(ends, "set", "left_semi").select("set", F.col("rep").alias("_id"), F.col("text_hash").alias("_hash"))
+        return written(_verified(links, docs.join(at, ["_id", "_hash"]), shingle, similarity))
+
+    stars = written(_stars(_banded(nodes, words, bands, band_bits, "set", "rep"), words, budget))
+    good = checked(stars)
+    label = components(good)
+    labelled = written(nodes.join(label, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component"))
+    apart = written(_close_pairs(_banded(labelled, words, bands, band_bits, "set", "n", "rep", "label"), words, budget, similarity))
+    return good.unionByName(checked(apart))
+
+
+def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words: int = 1, bands: int = 0, band_bits: int = 0, similarity: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a row of docs: doc_id, text_hash (xxhash64 of the text), fp (array of longs), component_id.
 
     component_id is the smallest doc_id reachable over links between fingerprints within the budget, itself included.
     With bands, wide_links finds candidates; else every link is found.  Rows whose id is null get the component of their
     fingerprint (null if no row of it has an id) and make no links of their own.  Texts without words share fingerprint
-    zero and so one component.
+    zero and so one component.  With a similarity (and bands), links are those of close fingerprints of distinct shingles
+    whose texts share that part of these, and fp ends with a hash of the set of shingles and its size.
     """
+    if similarity is not None:
+        return _similar_components(docs, shingle, budget, words, bands, band_bits, similarity, text, doc_id)
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.coalesce(F.col(text), F.lit("")), shingle, words).alias("fp")))
     kinds = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     ends = kinds.where("rep is not null")
@@ -223,9 +371,19 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words
     return prints.join(named, F.col("fp") == F.col("kind")).select("doc_id", "text_hash", "fp", "component_id")
 
 
+def _similar_components(docs: DataFrame, shingle: int, budget: int, words: int, bands: int, band_bits: int, similarity: float, text: str, doc_id: str) -> DataFrame:
+    prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), set_fingerprint(F.coalesce(F.col(text), F.lit("")), shingle, words).alias("fp")))
+    kinds = written(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("k")).select("fp", F.col("k.doc_id").alias("rep"), "k.text_hash"))
+    nodes = kinds.where("rep is not null").select("fp", F.col("fp")[words].alias("set"), F.col("fp")[words + 1].alias("n"), "rep", "text_hash")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = components(similar_links(texts, nodes, shingle, similarity, words, budget, bands, band_bits))
+    named = kinds.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("kind"), F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, F.col("fp") == F.col("kind")).select("doc_id", "text_hash", "fp", "component_id")
+
+
 #: For texts that share 0.8 or more of their five-word shingles: 256 bits, of which such texts differ in 39 (the angle of
-#: their shingle counts, arccos(2J / (1 + J)) / pi) with a deviation of 6; unrelated texts differ in 128.
-NEAR = {"shingle": 5, "words": 4, "budget": 47, "bands": 64, "band_bits": 18}
+#: their sets of shingles, arccos(2J / (1 + J)) / pi) with a deviation of 6; unrelated texts differ in 128.
+NEAR = {"shingle": 5, "words": 4, "budget": 47, "bands": 64, "band_bits": 18, "similarity": 0.8}
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
