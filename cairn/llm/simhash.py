@@ -331,11 +331,43 @@ def _verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return both.where((common == either) | (common / either >= similarity)).select("a", "b")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
+    """Buckets of hot (bucket, n) cut into blocks that don't meet, other ones in other buckets."""
+    blocks = F.ceil(2 * F.col("n_hot") / bucket_rows)
+    block = F.pmod(F.xxhash64("bucket", "set"), blocks)
+    found = rows.join(hot.withColumnRenamed("n", "n_hot"), "bucket", "left")
+    return found.withColumn("bucket", F.when(F.col("n_hot").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", block))).drop("n_hot")
+
+
+def _meeting(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
+    """Buckets of hot cut so that rows of different labels still meet: the largest label's rows meet all others only.
+
+    Both the largest label and the rest are cut into blocks of half of bucket_rows; a row goes to each meeting of its block
+    (rows of the largest label to those with the rest's, others also to those of the rest's blocks with each other).
+    """
+    each = rows.join(hot.select("bucket"), "bucket", "left_semi").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    most = each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+    most = written(most.select("bucket", F.col("m.label").alias("main"), F.ceil(2 * F.col("m.n") / bucket_rows).alias("mains"), F.ceil(2 * (F.col("n") - F.col("m.n")) / bucket_rows).alias("rests")))
+    found = rows.join(most, "bucket", "left")
+    is_main = F.col("label") == F.col("main")
+    block = F.pmod(F.xxhash64("bucket", "set"), F.when(is_main, F.col("mains")).otherwise(F.col("rests")))
+    found = found.withColumn("block", F.when(F.col("main").isNotNull(), block))
+    span = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), F.col(n)), lambda i: i < F.col(n))
+    with_main = lambda i, j: F.xxhash64("bucket", F.lit("main"), i, j)
+    with_rest = F.transform(span("rests"), lambda j: F.xxhash64("bucket", F.lit("rest"), F.least("block", j), F.greatest("block", j)))
+    of_main = F.transform(span("rests"), lambda j: with_main(F.col("block"), j))
+    of_rest = F.concat(F.transform(span("mains"), lambda i: with_main(i, F.col("block"))), with_rest)
+    to = F.when(F.col("main").isNull(), F.array("bucket")).when(is_main, of_main).otherwise(of_rest)
+    return found.withColumn("bucket", F.explode(to)).drop("main", "mains", "rests", "block")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000) -> DataFrame:
     """Links a, b between nodes (fp, set, n, rep, text_hash) that share `similarity` of their distinct shingles.
 
     Their components are those of all such pairs that fingerprints propose: first each node is checked against one of its
     class in every bucket; then every proposed pair whose nodes these links leave apart.  docs has _id, _hash, _text.
+    Buckets of over bucket_rows nodes are cut: for the first step into blocks, others in each band; for the second so
+    that all nodes left apart still meet.
     """
 
     def checked(links: DataFrame) -> DataFrame:
@@ -343,11 +375,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
         at = nodes.join(ends, "set", "left_semi").select("set", F.col("rep").alias("_id"), F.col("text_hash").alias("_hash"))
         return written(_verified(links, docs.join(at, ["_id", "_hash"]), shingle, similarity))
 
-    stars = written(_stars(_banded(nodes, words, bands, band_bits, "set", "rep"), words, budget))
-    good = checked(stars)
+    rows = _banded(nodes, words, bands, band_bits, "set", "rep")
+    hot = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
+    none = hot.isEmpty()
+    good = checked(written(_stars(rows if none else _in_blocks(rows, hot, bucket_rows), words, budget)))
     label = components(good)
     labelled = written(nodes.join(label, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component"))
-    apart = written(_close_pairs(_banded(labelled, words, bands, band_bits, "set", "n", "rep", "label"), words, budget, similarity))
+    rows = _banded(labelled, words, bands, band_bits, "set", "n", "rep", "label")
+    apart = written(_close_pairs(rows if none else _meeting(rows, hot, bucket_rows), words, budget, similarity))
     return good.unionByName(checked(apart))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cairn.llm import simhash
 
 
@@ -36,3 +38,20 @@ def test_links_are_checked(spark):
     got = simhash.simhash_components(docs, shingle=5, words=4, budget=256, bands=1, band_bits=0, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_cut(spark):
+    """Blocks stay small, and rows of different labels of a hot bucket still meet."""
+    rows = [(1, i, 7 if i < 30 else i) for i in range(45)] + [(2, 100 + i, i) for i in range(3)] + [(3, 200 + i, 5) for i in range(20)]
+    rows = spark.createDataFrame(rows, "bucket long, set long, label long")
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 10")
+    label = {r.set: (r.bucket, r.label) for r in rows.collect()}
+    for cut in (simhash._in_blocks, simhash._meeting):
+        buckets = {}
+        for r in cut(rows, hot, 10).collect():
+            buckets.setdefault(r.bucket, []).append(r.set)
+        assert max(map(len, buckets.values())) <= 22
+    met = {(a, b) for b_ in buckets.values() for a in b_ for b in b_ if a < b}
+    want = {(a, b) for a in label for b in label if a < b and label[a][0] == label[b][0] and label[a][1] != label[b][1]}
+    assert want <= met
+    assert not any(s >= 200 for b in buckets.values() for s in b)
