@@ -33,12 +33,12 @@ KINDS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}\d)(?=\d{0,63}[A-Za-z])[A-Za-z0-9]{24,64}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z]*+\d)(?=\d*+[A-Za-z])[A-Za-z0-9]{24,}+)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text with any entity has.
-_SIGN = rf"[@]|\d[^\p{{L}}]*\d[^\p{{L}}]*\d|\d[a-zA-Z]|(?:{_TITLE})\b"
+_SIGN = rf"[@]|\d[^\p{{L}}]*\d[^\p{{L}}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{{20}}|(?:{_TITLE})\b"
 #: Letters by script: lower-case consonants and vowels, and all.
 _SCRIPTS = {
     "Cyrillic": ("бвгдзклмнпрст", "аеиоу", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
