@@ -1,19 +1,23 @@
 """Encoding, chat formatting, tiling and surrogates against plain versions and round trips."""
 
 import hashlib
+import json
 import random
 import re
 import string
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, chat, pii, tiling
+from cairn.llm.common import text_bytes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "é" * 3000, "x" * 70000, "word " * 20000, "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "don't\n\n  stop 123 ١٢٣ 你好 👍🏽", "\u0000\u0085\u2028"]
@@ -34,9 +38,10 @@ def own():
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_encoding(reference, own, text):
-    ids = own[0].encode(text)
-    assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
-    assert own[1].decode(ids) == text
+    ids, at = own[0].encode(pa.array([text, None, text + "<|endoftext|>"]))
+    want = reference.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 + [50256] and at.tolist() == [0, len(want), len(want), len(ids)]
+    assert own[1].decode(ids, at).to_pylist() == [text, "", text + "<|endoftext|>"]
 
 
 def merged(word, merges):
@@ -58,23 +63,81 @@ def merged(word, merges):
         parts = out
 
 
-def test_automata_of_random_merges():
+def random_merges(draw):
+    tokens, merges = [bytes([c]) for c in b"abc"], {}
+    while len(merges) < 14:
+        a, b = draw.choice(tokens), draw.choice(tokens)
+        if a + b not in tokens:
+            merges[a, b] = len(merges)
+            tokens.append(a + b)
+    return tokens, merges
+
+
+def automaton_of(tokens, merges, **how):
+    return bpe.Automaton(bpe.Gadgets({t: i for i, t in enumerate(tokens)}, list(merges)), **how)
+
+
+@pytest.mark.parametrize("how", [{}, {"most": 2, "chunk": 5}])
+def test_automata_of_random_merges(how):
+    """Against the definition; also with tables that are begun anew all the time, and words longer than a chunk."""
     draw = random.Random(9)
     for _ in range(60):
-        tokens = [bytes([c]) for c in b"abc"]
-        merges = {}
-        while len(merges) < 14:
-            a, b = draw.choice(tokens), draw.choice(tokens)
-            if a + b not in tokens:
-                merges[a, b] = len(merges)
-                tokens.append(a + b)
-        automaton = bpe.Automaton({t: i for i, t in enumerate(tokens)}, list(merges))
-        for _ in range(60):
-            word = bytes(draw.choices(b"abc", k=draw.randint(1, 14)))
-            want = merged([bytes([c]) for c in word], merges)
-            assert [tokens[i] for i in automaton.run(word)] == want
+        tokens, merges = random_merges(draw)
+        automaton = automaton_of(tokens, merges, **how)
+        words = [bytes(draw.choices(b"abc", k=draw.randint(0, 14))) for _ in range(60)]
+        ids, at = automaton.run(pa.array(words, pa.binary()))
+        for i, word in enumerate(words):
+            assert [tokens[t] for t in ids[at[i] : at[i + 1]]] == merged([bytes([c]) for c in word], merges)
     with pytest.raises(ValueError):
-        automaton.run(b"z")
+        automaton.run(pa.array([b"z"], pa.binary()))
+
+
+def test_automaton_is_deterministic():
+    """Each state has one move a byte, whatever the order in which words ask for them; threads hold what gadgets lost."""
+    draw = random.Random(11)
+    for _ in range(20):
+        tokens, merges = random_merges(draw)
+        words = [bytes(draw.choices(b"abc", k=9)) for _ in range(80)]
+        seen = []
+        for order in (words, words[::-1]):
+            automaton = automaton_of(tokens, merges)
+            for word in order:
+                automaton.run(pa.array([word], pa.binary()))
+            name = [(frozenset(automaton.threads[t] for t in threads), last) for threads, last in automaton.sets]
+            assert len(set(name)) == len(name)
+            seen.append({(name[s], b): name[automaton.moves[s, b]] for s in range(len(name)) for b in b"abc" if automaton.moves[s, b]})
+        assert seen[0] == seen[1]
+        gadgets = automaton.gadgets
+        for x in gadgets.labels:
+            for y in gadgets.labels:
+                missing = dict(gadgets.missing(x, gadgets.labels[y][0]))
+                assert gadgets.has_arc(x, y) != automaton._blocked(y, missing)
+
+
+def test_words(own):
+    """Cut by arrays as the pattern cuts them, texts one after the other."""
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    draw = random.Random(12)
+    texts = ["".join(draw.choices("'strevmld aB1 \n\t \u00e9\u06619!?x\u2003\U0001f44d", k=draw.randint(0, 14))) for _ in range(5000)]
+    data, offsets = text_bytes(pa.array(texts))
+    starts = bpe.word_starts(data, offsets)
+    cut = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)])]
+    assert cut == [w for t in texts for w in pattern.findall(t)]
+
+
+def test_every_character(reference, own):
+    texts = [f"a{c}1 {c}!{c}" for c in map(chr, range(0x20000)) if not "\ud800" <= c <= "\udfff"]
+    ids, at = own[0].encode(pa.array(texts))
+    for i, found in enumerate(reference.encode_batch(texts, add_special_tokens=False)):
+        assert found.ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_other_tokenizers_are_refused():
+    with open(PATH, "rb") as f:
+        read = json.loads(f.read())
+    for field, value in [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("model", read["model"] | {"ignore_merges": True}), ("pre_tokenizer", None)]:
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(read | {field: value}).encode())
 
 
 def test_tokens_of_tables(spark, reference):
