@@ -66,12 +66,14 @@ def evidence(model_good: bytes, model_bad: bytes, data: np.ndarray, offsets: np.
     return found
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 3000, max_chars: int = 8000, size: int = 64 << 10, text: str = "text", doc_id: str = "doc_id") -> Quality:
-    """Learns from at most max_rows rows (max_chars characters each): half for the dictionaries, half to calibrate.
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 3000, size: int = 64 << 10, text: str = "text", doc_id: str = "doc_id") -> Quality:
+    """Learns from the whole texts of at most max_rows rows: half for the dictionaries, half to calibrate.
 
-    labelled has columns id and label (1: good).  Without rows of both labels every score is the share of good rows (0.5 without rows).
+    labelled has columns id and label (1: good).  max_rows bounds the rows of the sample in all (see labelled_sample).
+    Null labels, texts and ids take no part.  Without rows of both labels every score is the smoothed share of good rows,
+    (good + 1) / (rows + 2), which is 0.5 without rows.
     """
-    sample = labelled_sample(docs, labelled.select("id", F.col("label").cast("int").alias("label")), max_rows, max_chars, text, doc_id)
+    sample = labelled_sample(docs, labelled.select("id", F.col("label").cast("int").alias("label")), max_rows, text, doc_id)
     y = (sample.label.to_numpy() > 0).astype(int)
     texts = [t.encode() for t in sample.text]
     prior = (y.sum() + 1) / (len(y) + 2)
@@ -103,5 +105,9 @@ def quality(text: Column, model: Quality) -> Column:
 
 
 def with_quality(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
-    """docs with score."""
+    """docs with score.
+
+    Each row has its own result, so ties and repeated rows are kept; an empty table gives none.  A column score is
+    replaced where docs has one, all others pass through.
+    """
     return docs.withColumn("score", quality(F.col(text), model))

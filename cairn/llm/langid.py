@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from cairn.llm.cnn import TextCNN, softmax
-from cairn.llm.common import spans, text_bytes
+from cairn.llm.common import fresh, spans, text_bytes
 from cairn.llm.sample import labelled_sample
 
 WINDOW = 256
@@ -44,22 +44,31 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
     return rows, owner, used
 
 
-def fit(docs: DataFrame, allowed: Column, max_rows: int = 2400, max_chars: int = 480, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> TextCNN | None:
-    """Learns from at most max_rows rows (max_chars characters each) where `allowed` holds; None if there are none."""
-    sample = labelled_sample(docs, docs.where(allowed).select(F.col(doc_id).alias("id"), F.col(lang).alias("label")), max_rows, max_chars, text, doc_id)
+def fit(docs: DataFrame, allowed: Column, max_rows: int = 1000, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> TextCNN | None:
+    """Learns from all windows of the whole texts of at most max_rows rows where `allowed` holds; None if there are none.
+
+    max_rows bounds the rows of the sample in all, over all languages (see labelled_sample).  Null languages, texts and
+    ids take no part.  Where the texts hold no bytes, the network knows nothing but how frequent the languages are.
+    """
+    sample = labelled_sample(docs, docs.where(allowed).select(F.col(doc_id).alias("id"), F.col(lang).alias("label")), max_rows, text, doc_id)
     if sample.empty:
         return None
     classes = sorted(sample.label.unique().tolist())
     data = [t.lower().encode() for t in sample.text]
     rows, owner, used = windows(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])])
-    keep = used >= 2
+    y = np.searchsorted(classes, sample.label.to_numpy())
+    model = TextCNN.new(257, classes, 8, WIDTHS, FILTERS)
+    keep = used >= 2 if (used >= 2).any() else used >= 1
+    if not keep.any():
+        model.out[:], model.bias[:] = 0, np.log(np.bincount(y) / len(y))
+        return model
     # every second window is cut short, so that short texts are known too
     short = np.random.default_rng(3).integers(8, WINDOW, len(rows))
     rows = np.where((np.arange(WINDOW) < short[:, None]) | (np.arange(len(rows)) % 2 == 0)[:, None], rows, 0)
-    y = np.searchsorted(classes, sample.label.to_numpy()[owner])
+    y = y[owner]
     weights = 1 / np.bincount(y, minlength=len(classes)).clip(1)[y]
-    model = TextCNN.new(257, classes, 8, WIDTHS, FILTERS)
-    return model.fit(rows[keep], y[keep], weights[keep], epochs=8 if keep.sum() > 1500 else 25, rate=0.01, decay=1e-5)
+    epochs = int(np.clip(60_000 // keep.sum(), 3, 25))
+    return model.fit(rows[keep], y[keep], weights[keep], epochs=epochs, rate=0.01, decay=1e-5)
 
 
 class Scorer:
@@ -121,5 +130,10 @@ def identify(text: Column, model: TextCNN | None) -> Column:
 
 
 def with_language(docs: DataFrame, model: TextCNN | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    return docs.withColumn("_lang", identify(F.col(text), model)).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    """docs with lang_pred and score.
+
+    Each row has its own result: repeated rows are kept, of equally likely languages the first by name counts, an empty
+    table gives none.  Columns lang_pred and score are replaced where docs has them, all others pass through.
+    """
+    lang = fresh(docs, "lang_of")
+    return docs.withColumn(lang, identify(F.col(text), model)).withColumns({"lang_pred": F.col(lang)["lang_pred"], "score": F.col(lang)["score"]}).drop(lang)
