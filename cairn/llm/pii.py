@@ -5,6 +5,10 @@ only) names it wherever and however it's written; a keyed hash of kind and canon
 digits a replacement of the same class and script, so layout, length, case and check digits stay.  Over the distinct
 entities of all texts, surrogates that coincide with each other or with an entity that occurs are drawn anew until none
 does: different entities stay different, equal ones equal, across all texts.
+
+Names are found after titles.  Each word of a name is an entity of its own, so a person's surrogate is the same under any
+title and in any order; and a text's name words are replaced wherever in the text they stand, with a title or without.
+Whether a given name's surrogate ends as a woman's or a man's is settled once for all texts, by the titles before it.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import fresh, written
 
 _GAP = r"[^\p{L}\p{N}]{1,6}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -28,15 +32,16 @@ _TITLE = "|".join(t for group in TITLES.values() for t in sorted(group, key=len,
 #: Patterns by kind; where two fit at a place, the first does.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*?\.\p{L}{2,}",
-    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3,4}}[^\p{{L}}\p{{N}}]\d{{3,4}}(?!\d)|\+\d{{1,3}}(?:[ .\-/]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\d\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3,4}}[^\p{{L}}\p{{N}}]\d{{3,4}}(?!\d)|\+\d{{1,3}}(?:[ .\-/]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\d\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|(?<![\p{{L}}\p{{N}}.,/\-])(?=(?:[ \-/.]?\d){{9,12}}(?![ \-/.]?\d))0\d{{1,4}}(?:[ \-/.]\d{{2,8}}){{1,4}}(?![\p{{L}}\p{{N}}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
     "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z]*+\d)(?=\d*+[A-Za-z])[A-Za-z0-9]{24,}+)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A title and the name after it: initials, and up to three words.
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?){{0,3}}\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}"
 #: What a text with any entity has.
 _SIGN = rf"[@]|\d[^\p{{L}}]*\d[^\p{{L}}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{{20}}|(?:{_TITLE})\b"
 #: Letters by script: lower-case consonants and vowels, and all.
@@ -48,16 +53,38 @@ _SCRIPTS = {
 _BYTES = 128
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order, as it writes them; of null, none."""
-    return F.when(text.rlike(_SIGN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _titled(text: Column) -> Column:
+    """Of each titled name of a text, the words."""
+    found = F.regexp_extract_all(text, F.lit(TITLED), F.lit(0))
+    return F.transform(found, lambda t: F.regexp_extract_all(F.substring(t, F.length(_title(t)) + 1, F.length(t)), F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
+
+
+def name_words(text: Column) -> Column:
+    """The words of names in a text, each once, also in capitals; of null, none."""
+    words = F.flatten(_titled(text))
+    words = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
+    return F.when(text.rlike(rf"(?:{_TITLE})\b"), words).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_with(names: Column) -> Column:
+    """PATTERN with an alternative for the given words, which are letters only."""
+    return F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def entities(text: Column, names: Column | None = None) -> Column:
+    """All entities of a text in order, as it writes them; of null, none.  names: its name_words."""
+    names = name_words(text) if names is None else names
+    found = F.when(F.size(names) > 0, F.regexp_extract_all(text, pattern_with(names), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.when(text.rlike(_SIGN), found).otherwise(F.array().cast("array<string>"))
 
 
 def kind(raw: Column) -> Column:
+    """The kind of an entity; `number` for one that only looks like a card, as its check digit is wrong."""
     found = F.lit("name")
-    for k in reversed([k for k in KINDS if k != "name"]):
-        found = F.when(raw.rlike(f"^(?:{KINDS[k]})$"), k).otherwise(found)
-    return F.when(raw.rlike(rf"^(?:{_TITLE})\b"), "name").otherwise(found)
+    for k in reversed(KINDS):
+        what = F.when(_valid_card(raw), "card").otherwise("number") if k == "card" else F.lit(k)
+        found = F.when(raw.rlike(f"^(?:{KINDS[k]})$"), what).otherwise(found)
+    return found
 
 
 def _title(raw: Column) -> Column:
@@ -66,8 +93,12 @@ def _title(raw: Column) -> Column:
 
 def canonical(raw: Column, kind: Column) -> Column:
     digits = F.regexp_replace(raw, r"[^0-9]", "")
-    name = F.lower(F.substring(raw, F.length(_title(raw)) + 1, F.length(raw)))
-    return F.when(kind.isin("phone", "ssn", "card"), digits).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind == "name", name).otherwise(F.lower(raw))
+    return F.when(kind.isin("phone", "ssn", "card"), digits).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind == "secret", raw).otherwise(F.lower(raw))
+
+
+def female(canonical: Column) -> Column:
+    """What a name's own ending says, where titles don't."""
+    return canonical.rlike("[a\u03b1\u03b7\u0430\u044f]$")
 
 
 def _pick(letters: str, v: Column) -> Column:
@@ -84,6 +115,11 @@ def _check_digit(digits: Column) -> Column:
     return ((10 - _luhn(digits) % 10) % 10).cast("string")
 
 
+def _valid_card(raw: Column) -> Column:
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    return F.right(digits, F.lit(1)) == _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
 def described(raws: Column) -> Column:
     """Of an array of entities, structs of raw, kind and canonical."""
     kinds = F.transform(raws, lambda r: F.struct(r.alias("raw"), kind(r).alias("kind")))
@@ -100,7 +136,7 @@ def _replacement(e: Column, c: Column) -> Column:
 
     def of(script: str) -> Column:
         consonants, vowels, letters = _SCRIPTS[script]
-        named = F.when((n == e["first"]) & e["female"], vowels[0]).when((n == e["first"]) & e["male"] | (n % 2 == 1), _pick(consonants, v)).otherwise(_pick(vowels, v))
+        named = F.when((n == e["letters"]) & e["female"], vowels[0]).when((n == e["letters"]) | (n % 2 == 1), _pick(consonants, v)).otherwise(_pick(vowels, v))
         return F.when(e["kind"] == "name", named).otherwise(_pick(letters, v))
 
     new = F.when(low.rlike(r"\p{IsCyrillic}"), of("Cyrillic")).when(low.rlike(r"\p{IsGreek}"), of("Greek")).when(e["is_hex"], _pick("abcdef", v)).otherwise(of("Latin"))
@@ -113,15 +149,21 @@ def _with(e: Column, names: list[str], **more: Column) -> Column:
     return F.struct(*[e[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
+#: Draws that keep an entity's layout; later ones widen it, so that a small layout can't run out of surrogates.
+KEPT = 8
+
+
 def surrogates(found: Column, key: str) -> Column:
-    """Of an array of structs (raw, kind, canonical, attempt), the replacements, laid out as raw is.
+    """Of an array of structs (raw, kind, canonical, attempt, female), the replacements, laid out as raw is.
 
-    Each step names what the next ones use more than once.
+    After KEPT attempts, names and the first parts of addresses grow by a letter an attempt, and numbers of IP addresses
+    may have other lengths.  Each step names what the next ones use more than once.
     """
-    seed = F.transform(found, lambda e: _with(e, ["raw", "kind"], seed=F.concat_ws("|", F.lit(key), e["kind"], e["canonical"], e["attempt"].cast("string")), head=F.when(e["kind"] == "name", _title(e["raw"])).otherwise(""), tail=F.when(e["kind"] == "email", F.regexp_extract(e["raw"], r"\.\p{L}+$", 0)).otherwise("")))
-    body = F.transform(seed, lambda e: _with(e, ["raw", "kind", "head", "tail"], stream=F.concat(F.sha2(e["seed"], 512), F.sha2(F.concat(e["seed"], F.lit("|+")), 512)), body=F.substring(e["raw"], F.length(e["head"]) + 1, F.length(e["raw"]) - F.length(e["head"]) - F.length(e["tail"]))))
-    female, male = ("|".join(f"^{t}\\b" for t in TITLES[g]) for g in "fm")
-    marked = F.transform(body, lambda e: _with(e, ["raw", "kind", "head", "tail", "stream", "body"], is_hex=(e["kind"] == "secret") & e["raw"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), female=e["head"].rlike(female), male=e["head"].rlike(male), first=F.length(F.regexp_extract(e["body"], r"^\p{L}+", 0))))
+    more = lambda e: F.when(e["kind"].isin("name", "email"), F.repeat(F.lit("a"), F.greatest(e["attempt"] - (KEPT - 1), F.lit(0)))).otherwise("")
+    seed = F.transform(found, lambda e: _with(e, ["raw", "kind", "attempt", "female"], seed=F.concat_ws("|", F.lit(key), e["kind"], e["canonical"], e["attempt"].cast("string")), more=more(e), tail=F.when(e["kind"] == "email", F.regexp_extract(e["raw"], r"\.\p{L}+$", 0)).otherwise("")))
+    own = lambda e: F.substring(e["raw"], F.lit(1), F.length(e["raw"]) - F.length(e["tail"]))
+    body = F.transform(seed, lambda e: _with(e, ["raw", "kind", "attempt", "female", "tail"], stream=F.concat(F.sha2(e["seed"], 512), F.sha2(F.concat(e["seed"], F.lit("|+")), 512)), body=F.when(e["kind"] == "email", F.concat(e["more"], own(e))).otherwise(F.concat(own(e), e["more"]))))
+    marked = F.transform(body, lambda e: _with(e, ["raw", "kind", "attempt", "female", "tail", "stream", "body"], is_hex=(e["kind"] == "secret") & e["raw"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), letters=F.length(e["body"])))
 
     def spelled(e: Column) -> Column:
         chars = F.transform(F.filter(F.split(e["body"], ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), F.lower(c).alias("low"), F.length(F.regexp_replace(F.substring(e["body"], F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")).alias("n")))
@@ -129,51 +171,75 @@ def surrogates(found: Column, key: str) -> Column:
         return F.array_join(F.transform(valued, lambda c: _replacement(e, c)), "")
 
     def octets(e: Column) -> Column:
-        parts = F.transform(F.split(e["raw"], r"\."), lambda o, i: F.struct(F.length(o).alias("n"), _byte(e["stream"], i + 1).alias("v")))
-        return F.array_join(F.transform(parts, lambda o: F.when(o["n"] == 1, 1 + o["v"] % 9).when(o["n"] == 2, 10 + o["v"] % 90).otherwise(100 + o["v"] % 155).cast("string")), ".")
+        parts = F.transform(F.split(e["raw"], r"\."), lambda o, i: F.struct(F.length(o).alias("n"), _byte(e["stream"], i * 2 + 1).alias("v"), _byte(e["stream"], i * 2 + 2).alias("w")))
+        kept = lambda o: F.when(o["n"] == 1, 1 + o["v"] % 9).when(o["n"] == 2, 10 + o["v"] % 90).otherwise(100 + o["v"] % 155)
+        return F.array_join(F.transform(parts, lambda o: F.when(e["attempt"] < KEPT, kept(o)).otherwise(1 + (o["v"] * 256 + o["w"]) % 254).cast("string")), ".")
 
-    drawn = F.transform(marked, lambda e: _with(e, ["raw", "kind"], new=F.when(e["kind"] == "ip", octets(e)).otherwise(F.concat(e["head"], spelled(e), e["tail"]))))
+    drawn = F.transform(marked, lambda e: _with(e, ["raw", "kind"], new=F.when(e["kind"] == "number", e["raw"]).when(e["kind"] == "ip", octets(e)).otherwise(F.concat(spelled(e), e["tail"]))))
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    carded = F.transform(drawn, lambda e: _with(e, ["kind", "new"], digits=digits(e["raw"]), front=F.substring(e["new"], F.lit(1), F.length(e["new"]) - 1)))
-    valid = lambda e: F.right(e["digits"], F.lit(1)) == _check_digit(F.substring(e["digits"], F.lit(1), F.length(e["digits"]) - 1))
-    return F.transform(carded, lambda e: F.when((e["kind"] == "card") & valid(e), F.concat(e["front"], _check_digit(digits(e["front"])))).otherwise(e["new"]))
+    carded = F.transform(drawn, lambda e: _with(e, ["kind", "new"], front=F.substring(e["new"], F.lit(1), F.length(e["new"]) - 1)))
+    return F.transform(carded, lambda e: F.when(e["kind"] == "card", F.concat(e["front"], _check_digit(digits(e["front"])))).otherwise(e["new"]))
+
+
+def _votes(text: Column) -> Column:
+    """Structs raw, votes: for each titled name of two words or more its first word, with 1 for a woman's title, -1 for a man's."""
+    woman, man = (rf"^(?:{'|'.join(TITLES[g])})\b" for g in "fm")
+    titles = F.regexp_extract_all(text, F.lit(TITLED), F.lit(0))
+    pairs = F.arrays_zip(titles.alias("t"), _titled(text).alias("w"))
+    some = F.filter(pairs, lambda p: (F.size(p["w"]) > 1) & (p["t"].rlike(woman) | p["t"].rlike(man)))
+    each = F.transform(some, lambda p: F.struct(p["w"][0].alias("raw"), F.when(p["t"].rlike(woman), 1).otherwise(-1).alias("votes")))
+    return F.when(text.rlike(rf"(?:{_TITLE})\b"), each).otherwise(F.array().cast("array<struct<raw:string,votes:int>>"))
 
 
 def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 30) -> DataFrame:
-    """The entities whose first surrogate isn't theirs to keep: kind, canonical, attempt (from 1).
+    """The entities that aren't as their own text says: kind, canonical, attempt (from 0) and female.
 
-    Of entities that share a surrogate, the smallest canonical form keeps it.  Needs the distinct entities only; each
-    round is a written table.  Raises if some entities find no free surrogate.
+    These are entities whose first surrogate isn't theirs to keep, and names whose titles say otherwise than their ending.
+    Of entities that share a surrogate, in any of the ways that they are written, the smallest canonical form keeps it.
+    Needs the distinct entities only; each round is a written table.  Raises if some entities find no free surrogate.
     """
-    raw = docs.select(F.explode(F.array_distinct(entities(F.col(text)))).alias("raw")).groupBy("raw").count().select(described(F.array("raw")).alias("d"))
-    found = written(raw.select(F.inline("d")).groupBy("kind", "canonical").agg(F.min("raw").alias("raw")))
-    now = found.withColumn("attempt", F.lit(0))
+    plain = F.transform(F.array_distinct(entities(F.col(text))), lambda r: F.struct(r.alias("raw"), F.lit(0).alias("votes")))
+    raw = docs.select(F.inline(F.concat(plain, _votes(F.col(text))))).groupBy("raw").agg(F.sum("votes").alias("votes"))
+    known = raw.select("votes", F.inline(described(F.array("raw")))).where("kind <> 'number'")
+    found = written(known)
+    votes = found.groupBy("kind", "canonical").agg(F.sum("votes").alias("sum"))
+    woman = F.when(F.col("sum") != 0, F.col("sum") > 0).otherwise(female(F.col("canonical"))) & (F.col("kind") == "name")
+    who = written(votes.select("kind", "canonical", woman.alias("female")))
+    now = found.select("kind", "canonical", "raw").join(who, ["kind", "canonical"]).withColumn("attempt", F.lit(0))
     for _ in range(max_rounds):
-        drawn = now.withColumn("s", surrogates(F.array(F.struct("raw", "kind", "canonical", "attempt")), key)[0])
+        drawn = now.withColumn("s", surrogates(F.array(F.struct("raw", "kind", "canonical", "attempt", "female")), key)[0])
         drawn = written(drawn.withColumn("s", canonical(F.col("s"), F.col("kind"))))
-        taken = drawn.groupBy("kind", "s").agg(F.min("canonical").alias("keeps"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "keeps")
+        taken = drawn.groupBy("kind", "s").agg(F.min("canonical").alias("keeps"), F.max("canonical").alias("other")).where("keeps <> other").select("kind", "s", "keeps")
         lost = drawn.join(taken, ["kind", "s"]).where("canonical <> keeps").select("kind", "canonical")
         real = drawn.join(found.select("kind", F.col("canonical").alias("s")), ["kind", "s"], "left_semi").select("kind", "canonical")
         again = written(lost.unionByName(real).distinct().withColumn("more", F.lit(1)))
         if again.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "canonical", "attempt")
+            own = female(F.col("canonical")) & (F.col("kind") == "name")
+            return drawn.where((F.col("attempt") > 0) | (F.col("female") != own)).select("kind", "canonical", "attempt", "female").distinct()
         now = drawn.drop("s").join(again, ["kind", "canonical"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
     raise RuntimeError("surrogates: too few free ones")
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with entities in text replaced, and n_entities; a null text stays null and has none."""
+    """docs with entities in text replaced, and n_entities; a null text stays null and has none.
+
+    Each row has its own result, so ties and repeated rows are kept; an empty table gives none.  A column n_entities is
+    replaced where docs has one, all others pass through.
+    """
     special = written(redrawn(docs, key, text).withColumn("name", F.concat_ws("|", "kind", "canonical")))
-    found = docs.withColumn("_entities", described(entities(F.col(text))))
-    attempt = lambda e: F.lit(0)
+    names, listed, hashed, drawn = (fresh(docs, n) for n in ("names_of", "entities_of", "hash_of", "drawn_of"))
+    found = docs.withColumn(names, name_words(F.col(text))).withColumn(listed, described(entities(F.col(text), F.col(names))))
+    of = lambda e: F.lit(None).cast("struct<attempt:int,female:boolean>")
     if not special.isEmpty():
         # texts with such entities, by a hash of the text: a text that shares the hash gets names that it doesn't have
-        at = found.where(F.size("_entities") > 0).select(F.xxhash64(text).alias("_hash"), F.explode("_entities").alias("e"))
-        at = at.select("_hash", F.concat_ws("|", "e.kind", "e.canonical").alias("name")).distinct().join(special.select("name", "attempt"), "name")
-        maps = written(at.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("_attempts")))
-        found = found.withColumn("_hash", F.xxhash64(text)).join(maps, "_hash", "left").drop("_hash")
-        attempt = lambda e: F.coalesce(F.try_element_at("_attempts", F.concat_ws("|", e["kind"], e["canonical"])), F.lit(0))
-    drawn = F.transform("_entities", lambda e: _with(e, ["raw", "kind", "canonical"], attempt=attempt(e)))
-    parts = F.zip_with(F.split(F.col(text), PATTERN, -1), F.concat(surrogates(drawn, key), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    whole = F.when(F.size("_entities") > 0, F.array_join(parts, "")).otherwise(F.col(text))
-    return found.withColumns({text: whole, "n_entities": F.size("_entities")}).drop("_entities", "_attempts")
+        at = found.where(F.size(listed) > 0).select(F.xxhash64(text).alias("h"), F.explode(listed).alias("e"))
+        at = at.select("h", F.concat_ws("|", "e.kind", "e.canonical").alias("name")).distinct().join(special.select("name", "attempt", "female"), "name")
+        maps = written(at.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("attempt", "female")))).alias(drawn)).withColumnRenamed("h", hashed))
+        found = found.withColumn(hashed, F.xxhash64(text)).join(maps, hashed, "left").drop(hashed)
+        of = lambda e: F.try_element_at(F.col(drawn), F.concat_ws("|", e["kind"], e["canonical"]))
+    known = F.transform(listed, lambda e: _with(e, ["raw", "kind", "canonical"], of=of(e)))
+    known = F.transform(known, lambda e: _with(e, ["raw", "kind", "canonical"], attempt=F.coalesce(e["of"]["attempt"], F.lit(0)), female=F.coalesce(e["of"]["female"], female(e["canonical"]))))
+    between = F.when(F.size(names) > 0, F.split(F.col(text), pattern_with(F.col(names)), -1)).otherwise(F.split(F.col(text), PATTERN, -1))
+    parts = F.zip_with(between, F.concat(surrogates(known, key), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    whole = F.when(F.size(listed) > 0, F.array_join(parts, "")).otherwise(F.col(text))
+    return found.withColumns({text: whole, "n_entities": F.size(F.filter(listed, lambda e: e["kind"] != "number"))}).drop(names, listed, drawn)
