@@ -49,6 +49,30 @@ def test_top_k_odd_vectors(spark):
     assert knn.top_k(df.where("vec_id is null"), F.col("vec_id") == 0, k=5).count() == 0
 
 
+def test_ragged_and_empty_vectors(spark):
+    rows = [(0, [], 1), (1, [1, 2], 1), (2, [3, 4], 1), (50, [1, 1], 1), (100, [5], 1), (3, [9, 9, 9], 1), (4, [1, 2], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>, cell int").withColumns({"grp": F.lit("x"), "entry": F.lit("y"), "id": F.lit("z")})
+    got = sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 50 == 0, k=2).collect()))
+    assert got == [(50, 1, 2, 7), (50, 2, 1, 3)]  # 4 ties with 1
+    assert knn.top_k(df.where("vec_id in (0)"), F.col("vec_id") == 0, k=2).count() == 0
+    assert knn.top_k(df, F.col("vec_id") == 77, k=2).count() == 0
+
+
+def test_pruning(spark, monkeypatch):
+    """Of clustered vectors, a row goes to few groups of queries, and the result is exact all the same."""
+    monkeypatch.setattr(knn, "GROUP", 8)
+    draw = np.random.default_rng(5)
+    centre = draw.integers(-400, 400, (12, 8))
+    rows = [(i, [int(x) for x in centre[i % 12] + draw.integers(-9, 10, 8)]) for i in range(720)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    is_query = F.col("vec_id") % 7 == 0
+    data, queries, _, size = knn.prepared(df, is_query, 5)
+    join = knn.Join(data, queries, size, 5, 40)
+    groups = join._grouped().select("grp").distinct().count()
+    assert groups > 8 and join.sent().count() < 0.5 * groups * data.count()
+    assert sorted(map(tuple, knn.top_k(df, is_query, 5, n_pivots=40).collect())) == best(rows, 5, 7)
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 160)] + [(draw.randint(200, 400), draw.randint(200, 400)) for _ in range(150)] + [(7, 7), (None, 3)]
