@@ -1,4 +1,4 @@
-"""Texts and numbers as the map shows them."""
+"""Texts and numbers as the map shows them. All words that functions here put into labels."""
 
 from __future__ import annotations
 
@@ -65,11 +65,12 @@ def symbol_scale(mode: Column, scale: Column, zoom: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 in UTC with milliseconds (the session's time zone is UTC)."""
+    """ISO-8601 in UTC with milliseconds, which are cut, not rounded (the session's time zone is UTC)."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def from_iso(text: Column) -> Column:
+    """Null where the text is no time."""
     return F.try_to_timestamp(text)
 
 
@@ -78,4 +79,5 @@ def from_millis(ms: Column) -> Column:
 
 
 def to_millis(ts: Column) -> Column:
+    """Milliseconds since the epoch, cut."""
     return F.unix_millis(ts)

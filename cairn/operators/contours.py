@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.scratch import written
 
 # Metres of detail by level.
 DETAIL = {"detailed": 2, "normal": 5, "soft": 10}
@@ -153,46 +154,90 @@ def chains(segments: list[tuple]) -> list[list[tuple]]:
     return found
 
 
+_POINT = "struct<e:string,x:double,y:double>"
+
+
+def _in_tiles(segments: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """Chains of segments within tiles: by, k, closed, c (array of e, x, y)."""
+    ends = [F.struct(F.col(f"e{i}").alias("e"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
+    parts = segments.select(*by, "k", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"), *[e.alias(n) for e, n in zip(ends, "ab")])
+    kind = dict(segments.dtypes)
+
+    def chained(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = lambda p: (p["e"], p["x"], p["y"])
+        found = chains([(a["e"], at(a), b["e"], at(b)) for a, b in zip(rows["a"], rows["b"])])
+        out = [(*keys[:-2], c[0][0] == c[-1][0], [dict(zip("exy", p)) for _, p in c]) for c in found]
+        return pd.DataFrame(out, columns=[*by, "k", "closed", "c"])
+
+    schema = ", ".join([f"`{c}` {kind[c]}" for c in by] + [f"k bigint, closed boolean, c array<{_POINT}>"])
+    return parts.groupBy(*by, "k", "tx", "ty").applyInPandas(chained, schema)
+
+
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Of directed chains (id, to: the next one, null at an end; least, n), with n = 1 at first: least over all that follow,
+    itself included, and n, their number (of a ring: any number beyond its size).
+
+    Pointers double: each pass looks twice as far and is a written table, so it takes as many as the logarithm of the
+    longest line.  It ends when nothing changes: then every line is at its end, or is a ring and has been around.
+    """
+    now, before = written(steps), None
+    while True:
+        mark = now.agg(F.count("to").alias("open"), F.sum(F.xxhash64("id", "least").cast("decimal(38,0)")).alias("least")).first()
+        if not mark.open or mark == before:
+            return now
+        before = mark
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("n").alias("_n"))
+        now = written(now.join(ahead, "to", "left").select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+
+
+def _across_seams(ends: DataFrame, by: list[str]) -> DataFrame:
+    """Where open chains (chain, by, k, a, b: the edges that they begin and end at) come in their lines: chain, line,
+    place (from 0), flip (whether it runs against the line).
+
+    A chain is walked in two directions, 2 chain and 2 chain + 1.  The next one begins at the edge where it ends; rings are
+    opened before their smallest chain.  Of a line's two directions the one counts whose first chain is the smaller.
+    """
+    way = lambda flip, enter, leave: ends.select(*by, "k", (F.col("chain") * 2 + flip).alias("id"), F.col(enter).alias("enter"), F.col(leave).alias("leave"))
+    ways = way(0, "a", "b").unionByName(way(1, "b", "a"))
+    following = ways.select(*by, "k", F.col("enter").alias("leave"), F.col("id").alias("to"))
+    met = ways.join(following, [*by, "k", "leave"], "left")
+    other = F.floor(F.col("to") / 2) != F.floor(F.col("id") / 2)
+    steps = met.groupBy("id").agg(F.max(F.when(other, F.col("to"))).alias("to"))
+    chain = F.floor(F.col("id") / 2)
+    seen = _doubled(steps.select("id", "to", chain.alias("least"), F.lit(1).cast("long").alias("n")))
+    rings = seen.where("to is not null").select(F.col("id"), (F.floor(F.col("id") / 2) == F.col("least")).alias("first"))
+    firsts = written(rings.where("first").select(F.col("id").alias("to")))
+    cut = steps.join(firsts, "to", "left_anti").unionByName(steps.join(firsts, "to", "left_semi").select("id", F.lit(None).cast("long").alias("to")))
+    # counted to their ends, with the last one as the line's name
+    placed = _doubled(cut.select("id", "to", F.when(F.col("to").isNull(), F.col("id")).alias("least"), F.lit(1).cast("long").alias("n")))
+    # the two directions of a line end at its two outer chains: the one that ends at the larger end is kept
+    back = placed.select((F.col("id").bitwiseXOR(F.lit(1))).alias("id"), F.col("least").alias("_least"))
+    kept = placed.join(back, "id").where((F.col("least") > F.col("_least")) | ((F.col("least") == F.col("_least")) & (F.col("id") % 2 == 0)))
+    return kept.select(F.floor(F.col("id") / 2).alias("chain"), F.col("least").alias("line"), (-F.col("n")).alias("place"), (F.col("id") % 2 == 1).alias("flip"))
+
+
 def contour_lines(segments: DataFrame, interval: float, *by: str, tile: int = 256) -> DataFrame:
     """Lines: by, elevation, interval, index_contour, closed, coordinates (array of struct x, y).
 
-    Segments are chained within tiles of `tile` cells, by level; then, tile size doubled again and again, chains that
-    end at seams are chained in turn, until no tile holds more than one.  Each pass sees open chains' ends only from the
-    tiles around a seam, and whole chains only of the level that it's at.
+    Segments are chained within tiles of `tile` cells, by level.  Chains that are open there are numbered, and their ends
+    alone are joined at the seams between tiles; their points are put together once, by line.  So no task holds more than
+    a tile or a line, wherever the grid's origin is.  A closed line begins and ends at its smallest edge (by name) and goes
+    on to the smaller of the two edges next to it; an open one begins at the smaller of its ends: lines don't depend on
+    tiles.
     """
-    parts = segments.select(*by, "k", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"), F.array(F.struct(F.col("e1").alias("e"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("e2").alias("e"), F.col("x2").alias("x"), F.col("y2").alias("y"))).alias("c"))
-    kind = dict(segments.dtypes)
-    schema = ", ".join([f"`{c}` {kind[c]}" for c in by] + ["k bigint", "tx bigint", "ty bigint", "closed boolean", "c array<struct<e:string,x:double,y:double>>"])
-
-    def stitch(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        inner = {i: [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in c] for i, c in enumerate(rows["c"])}
-        # a chain so far is a segment between its ends, which carries what lies between
-        segments = [(c[0][0], (i, 0), c[-1][0], (i, 1)) for i, c in inner.items()]
-        out = []
-        for chain in chains(segments):
-            points, seen = [], None
-            for _, (i, side) in chain:
-                if i == seen:
-                    continue
-                c = inner[i] if side == 0 else inner[i][::-1]
-                # the chain enters c where the last one ended
-                if points and c[0][0] != points[-1][0]:
-                    c = c[::-1]
-                points += c[1:] if points else c
-                seen = i
-            out.append((*keys, points[0][0] == points[-1][0], [dict(zip("exy", p)) for p in points]))
-        return pd.DataFrame(out, columns=[*by, "k", "tx", "ty", "closed", "c"])
-
-    now = parts.groupBy(*by, "k", "tx", "ty").applyInPandas(stitch, schema)
-    done = now.where("closed")
-    now = now.where(~F.col("closed"))
-    span = segments.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if span[0] is not None:
-        while any(lo // tile != hi // tile for lo, hi in ((span[0], span[1]), (span[2], span[3]))):
-            tile *= 4
-            merged = now.withColumns({"tx": F.floor(F.col("tx") / 4), "ty": F.floor(F.col("ty") / 4)}).drop("closed").groupBy(*by, "k", "tx", "ty").applyInPandas(stitch, schema)
-            done, now = done.unionByName(merged.where("closed")), merged.where(~F.col("closed"))
-            if tile > 1 << 40:
-                break
-    whole = done.unionByName(now)
-    return whole.select(*by, (F.col("k") * F.lit(float(interval))).alias("elevation"), F.lit(float(interval)).alias("interval"), (F.col("k") % INDEX == 0).alias("index_contour"), "closed", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coordinates"))
+    keys = list(by)
+    parts = written(_in_tiles(segments, keys, tile).withColumn("chain", F.monotonically_increasing_id()))
+    open_ = parts.where("not closed")
+    places = _across_seams(open_.select(*keys, "k", "chain", F.col("c")[0]["e"].alias("a"), F.element_at("c", -1)["e"].alias("b")), keys)
+    turned = open_.join(places, "chain").withColumn("c", F.when(F.col("flip"), F.reverse("c")).otherwise(F.col("c")))
+    lines = turned.groupBy(*keys, "k", "line").agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("cs"))
+    joint = F.flatten(F.transform("cs", lambda s, i: F.when(i == 0, s["c"]).otherwise(F.slice(s["c"], F.lit(2), F.size(s["c"])))))
+    whole = parts.where("closed").select(*keys, "k", "c").unionByName(lines.select(*keys, "k", joint.alias("c")))
+    edges = F.transform("c", lambda p: p["e"])
+    whole = whole.withColumn("closed", F.col("c")[0]["e"] == F.element_at("c", -1)["e"])
+    at = F.array_position(edges, F.array_min(edges)).cast("int")
+    ring = F.concat(F.slice("c", at, F.size("c") - at), F.slice("c", F.lit(1), at))
+    whole = whole.withColumn("c", F.when(F.col("closed"), ring).otherwise(F.col("c")))
+    second = F.when(F.col("closed"), F.try_element_at("c", F.lit(-2))["e"] < F.col("c")[1]["e"]).otherwise(F.element_at("c", -1)["e"] < F.col("c")[0]["e"])
+    whole = whole.withColumn("c", F.when(second, F.reverse("c")).otherwise(F.col("c")))
+    return whole.select(*keys, (F.col("k") * F.lit(float(interval))).alias("elevation"), F.lit(float(interval)).alias("interval"), (F.col("k") % INDEX == 0).alias("index_contour"), "closed", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coordinates"))

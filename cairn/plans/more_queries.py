@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import contours
 from cairn.plans.fixtures import derived
 from cairn.plans.queries import _QUALITY, _boxed, query, recorder_events
+from cairn.scratch import scratch_path
 from cairn.sources import geojson, layers
 from cairn.streaming import fixes as streams
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a local one if it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/plans-{uuid.uuid4().hex}"
-
-
 def _field_objects(spark, sf_dir) -> DataFrame:
     """Objects with vertices: points, lines of two and areas of three."""
     o = derived(spark, sf_dir, "objects")
@@ -45,7 +34,7 @@ def export_features(spark, sf_dir):
 @query("select id, category, lng, lat from objects")
 def write_geojson(spark, sf_dir):
     """Written as lines and read again."""
-    path = shared_path(spark)
+    path = scratch_path(spark)
     geojson.write_geojson(geojson.export_features(_field_objects(spark, sf_dir)), path)
     back = geojson.read_features(spark, path, lines=True)
     kinds = {"Point": "point", "LineString": "line", "Polygon": "area"}
@@ -59,7 +48,7 @@ def write_geojson(spark, sf_dir):
 @query("select contributor_id, count(*) n_features, count(*) filter (category = 'point') n_points, 'ISOM 2017-2 v6' standard from objects group by contributor_id")
 def read_features(spark, sf_dir):
     """One collection a contributor, written and read again."""
-    path = shared_path(spark)
+    path = scratch_path(spark)
     features = geojson.export_features(_field_objects(spark, sf_dir)).join(derived(spark, sf_dir, "objects").select("id", F.col("contributor_id").alias("by")), "id")
     rows = geojson.collections(features.withColumn("value", geojson.feature_text(F.col("id"), F.col("properties"), F.col("geometry"))), "by")
     # a file holds one document: each contributor's in a folder of its own
@@ -69,10 +58,21 @@ def read_features(spark, sf_dir):
     return found.groupBy(by.alias("contributor_id")).agg(F.count("ordinal").alias("n_features"), F.count_if(F.col("geometry_type") == "Point").alias("n_points"), F.first(F.get_json_object("collection_properties", "$.standard")).alias("standard"))
 
 
+@query("""select contributor_id contributor, id, row_number() over (partition by contributor_id order by case category when 'point' then 1 when 'line' then 2 else 3 end, cast(id as bigint), id) - 1 place from objects""")
+def export_order(spark, sf_dir):
+    """Collections list points, then lines, then areas, each in stored order."""
+    path = scratch_path(spark)
+    features = geojson.export_features(_field_objects(spark, sf_dir)).join(derived(spark, sf_dir, "objects").select("id", F.col("contributor_id").alias("by")), "id")
+    rows = geojson.collections(features.withColumn("value", geojson.feature_text(F.col("id"), F.col("properties"), F.col("geometry"))), "by")
+    rows.repartition("by").write.partitionBy("by").text(path)
+    found = geojson.read_features(spark, f"{path}/by=*")
+    return found.select(F.regexp_extract("file", "by=([^/]*)", 1).alias("contributor"), "id", F.col("ordinal").alias("place"))
+
+
 @query("""select contributor_id contributor, category, count(*) n, count(*) filter (nullif(object_type, '') is null) untyped from objects where cast(contributor_id as bigint) % 3 <> 0 or category <> 'area' group by all""")
 def read_field_store(spark, sf_dir):
     """Documents of contributors, some of which are live ones only, and of some of which areas are missing."""
-    path, live = shared_path(spark), shared_path(spark)
+    path, live = scratch_path(spark), scratch_path(spark)
     o = _field_objects(spark, sf_dir)
     item = F.struct("id", F.col("object_type").alias("objectType"), F.to_json("coordinates").alias("coordinates"))
     arrays = [F.collect_list(F.when(F.col("category") == c, item)).alias(n) for c, n in (("point", "observations"), ("line", "tracks"), ("area", "areas"))]
@@ -87,7 +87,7 @@ def read_field_store(spark, sf_dir):
 
 @query("select cast(workspace_id as string) id, name, scale, contour_interval, coalesce(symbol_display_mode, 'print') symbol_display_mode, size_km from workspaces")
 def read_workspaces(spark, sf_dir):
-    path = shared_path(spark)
+    path = scratch_path(spark)
     w = derived(spark, sf_dir, "workspaces")
     rows = w.select(F.to_json(F.struct(F.col("workspace_id").cast("string").alias("id"), "name", "scale", F.col("contour_interval").alias("contourInterval"), F.col("symbol_display_mode").alias("symbolDisplayMode"), F.col("size_km").alias("sizeKm"), F.struct(F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")).alias("center"))).alias("value"), (F.col("workspace_id") % 8).alias("part"))
     # arrays of an eighth of the workspaces each, a document a file
@@ -98,7 +98,7 @@ def read_workspaces(spark, sf_dir):
 @query("select workspace_id, case when workspace_id % 2 = 0 then 'second' else 'first' end written from workspaces where workspace_id % 10 <> 0 and workspace_id % 6 <> 0")
 def write_layer(spark, sf_dir):
     """A layer of all workspaces, replaced for even ones (by nothing for every sixth), dropped for every tenth."""
-    path, w = shared_path(spark), derived(spark, sf_dir, "workspaces").select("workspace_id")
+    path, w = scratch_path(spark), derived(spark, sf_dir, "workspaces").select("workspace_id")
     layers.write_layer(w.withColumn("written", F.lit("first")), path, "contours", w)
     even = w.where("workspace_id % 2 = 0")
     layers.write_layer(even.where("workspace_id % 6 <> 0").withColumn("written", F.lit("second")), path, "contours", even)
@@ -155,14 +155,14 @@ def contour_lines(spark, sf_dir):
 
 def streamed(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a bounded stream to its end; of complete mode the last result counts, else all batches' rows do."""
-    spark, out = stream.sparkSession, shared_path(stream.sparkSession)
+    spark, out = stream.sparkSession, scratch_path(stream.sparkSession)
     last = {"id": -1}
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.parquet(f"{out}/batch={batch}")
         last["id"] = batch
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
     read = spark.read.schema(stream.schema)
     if last["id"] < 0:
         return spark.createDataFrame([], stream.schema)
@@ -171,7 +171,7 @@ def streamed(stream: DataFrame, mode: str) -> DataFrame:
 
 def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The rows as a stream: written to a folder that a stream reads."""
-    path = shared_path(spark)
+    path = scratch_path(spark)
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
@@ -198,7 +198,9 @@ def stream_gps_runs(spark, sf_dir):
 
 @query()
 def stream_recordings(spark, sf_dir):
-    """Sequential by nature: tests hold it against the batch recorder."""
+    """Sequential by nature: tests hold it against the batch recorder. A last event an hour later ends all waiting."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    found = streamed(streams.stream_recordings(_stream(spark, recorder_events(spark, sf_dir))), "append")
+    events = recorder_events(spark, sf_dir)
+    last = events.agg((F.max("ts") + 3_600_000).alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit({"device_id": -1, "seq": -1, "kind": "cancel"}.get(c)).cast(t).alias(c) for c, t in events.dtypes])
+    found = streamed(streams.stream_recordings(_stream(spark, events.unionByName(last)), ttl="1000 days"), "append")
     return found.select("device_id", "ordinal", "category", "object_type", "source", "created_at", F.size("coordinates").alias("n_vertices"))

@@ -118,10 +118,11 @@ def object_counts(spark, sf_dir):
     return objects.object_counts(_objects(spark, sf_dir), "contributor_id", "category")
 
 
-_LOG = "select seq, cast(seq % 500 as string) id, case when seq % 97 = 0 then 'delete' when seq % 3 = 0 then 'move_vertex' else 'move' end action, cast(seq % 2 as int) idx, lng, lat from fixes where seq % 2000 >= 500"
+_LOG = """select seq, cast((seq * 7919) % greatest(n, 1) as string) id, case when seq % 97 = 0 then 'delete' when seq % 3 = 0 then 'move_vertex' else 'move' end action,
+    cast(seq % 2 as int) idx, lng, lat from fixes, (select max(seq) + 1 n from fixes) m"""
 
 
-@query(f"""with log as ({_LOG}), pt as (select cast(seq as string) id, case when seq % 2 = 0 then 'point' else 'line' end category, lng, lat from fixes where seq < 500),
+@query(f"""with log as ({_LOG}), pt as (select cast(seq as string) id, case when seq % 2 = 0 then 'point' else 'line' end category, lng, lat from fixes),
     v as (select id, category, 0 idx, lng, lat from pt union all select id, category, 1, lng + 1, lat + 1 from pt where category = 'line'),
     mv as (select id, arg_max(lng, seq) lng, arg_max(lat, seq) lat from log where action = 'move' group by id),
     mx as (select id, idx, arg_max(lng, seq) lng, arg_max(lat, seq) lat from log where action = 'move_vertex' group by id, idx)
@@ -130,10 +131,12 @@ _LOG = "select seq, cast(seq % 500 as string) id, case when seq % 97 = 0 then 'd
     case when v.category = 'point' and mv.id is not null then 'manual-adjustment' else 'gps' end source
     from v left join mv on v.id = mv.id left join mx on v.id = mx.id and v.idx = mx.idx where v.id not in (select id from log where action = 'delete')""")
 def current_objects(spark, sf_dir):
+    """An object a fix, and an edit a fix that is about another one's object."""
     fixes = derived(spark, sf_dir, "fixes")
-    log = fixes.where("seq % 2000 >= 500").select(F.col("seq").alias("ts"), "seq", F.expr("cast(seq % 500 as string)").alias("id"), F.expr("case when seq % 97 = 0 then 'delete' when seq % 3 = 0 then 'move_vertex' else 'move' end").alias("action"), F.expr("cast(seq % 2 as int)").alias("index"), "lng", "lat")
+    last = fixes.agg((F.max("seq") + 1).alias("n"))
+    log = fixes.crossJoin(F.broadcast(last)).select(F.col("seq").alias("ts"), "seq", F.expr("cast((seq * 7919) % greatest(n, 1) as string)").alias("id"), F.expr("case when seq % 97 = 0 then 'delete' when seq % 3 = 0 then 'move_vertex' else 'move' end").alias("action"), F.expr("cast(seq % 2 as int)").alias("index"), "lng", "lat")
     vertex = lambda d: F.struct((F.col("lng") + d).alias("lng"), (F.col("lat") + d).alias("lat"), F.col("accuracy"), F.lit(0).cast("long").alias("time"), F.lit(None).cast("double").alias("altitude"), F.lit(None).cast("double").alias("altitude_accuracy"))
-    some = fixes.where("seq < 500").select(F.col("seq").cast("string").alias("id"), F.expr("case when seq % 2 = 0 then 'point' else 'line' end").alias("category"), F.lit("gps").alias("source"), "lng", "lat", "accuracy")
+    some = fixes.select(F.col("seq").cast("string").alias("id"), F.expr("case when seq % 2 = 0 then 'point' else 'line' end").alias("category"), F.lit("gps").alias("source"), "lng", "lat", "accuracy")
     start = some.withColumn("coordinates", F.when(F.col("category") == "point", F.array(vertex(0))).otherwise(F.array(vertex(0), vertex(1)))).drop("lng", "lat", "accuracy")
     now = objects.current_objects(start, log)
     return now.select("id", "source", F.posexplode("coordinates").alias("idx", "v")).select("id", "idx", "v.lng", "v.lat", "source")
@@ -145,28 +148,33 @@ def gps_gaps(spark, sf_dir):
     return objects.gps_gaps(derived(spark, sf_dir, "fixes")).select("seq", "lost", "run")
 
 
-def _shapes(spark, sf_dir, limit: int) -> DataFrame:
-    fixes = derived(spark, sf_dir, "fixes").where(f"accuracy <= {limit}")
-    vertices = fixes.select("device_id", "seq", "lng", "lat", "accuracy", F.expr(_US.format("received_at")).alias("time"), "altitude", F.lit(None).cast("double").alias("altitude_accuracy"))
-    return recorder.build_shapes(vertices, "device_id")
+def _shapes(spark, sf_dir) -> DataFrame:
+    """A shape a device and day, of all fixes that may be vertices: so a device's history is no one array."""
+    fixes = objects.accept_fixes(derived(spark, sf_dir, "fixes"))
+    day = F.floor(F.expr(_US.format("received_at")) / 86_400_000_000).cast("long").alias("day_no")
+    vertices = fixes.select("device_id", day, "seq", "lng", "lat", "accuracy", F.expr(_US.format("received_at")).alias("time"), "altitude", F.lit(None).cast("double").alias("altitude_accuracy"))
+    return recorder.build_shapes(vertices, "device_id", "day_no")
 
 
-@query("select device_id, count(*) n, arg_min(lng, seq) first_lng, arg_max(lng, seq) last_lng from fixes where accuracy <= 10 group by device_id")
+_ACCEPTED = "(select *, epoch_us(received_at) // 86400000000 as day_no from fixes where accuracy <= 50) a"
+
+
+@query(f"select device_id, day_no, count(*) n, arg_min(lng, seq) first_lng, arg_max(lng, seq) last_lng from {_ACCEPTED} group by device_id, day_no")
 def build_shapes(spark, sf_dir):
     c = F.col("coordinates")
-    return _shapes(spark, sf_dir, 10).select("device_id", F.size(c).cast("long").alias("n"), F.element_at(c, 1)["lng"].alias("first_lng"), F.element_at(c, -1)["lng"].alias("last_lng"))
+    return _shapes(spark, sf_dir).select("device_id", "day_no", F.size(c).cast("long").alias("n"), F.element_at(c, 1)["lng"].alias("first_lng"), F.element_at(c, -1)["lng"].alias("last_lng"))
 
 
-@query("select device_id, count(*) n from fixes where accuracy <= 3 group by device_id having count(*) >= case when device_id % 2 = 0 then 3 else 2 end")
+@query(f"select device_id, day_no, count(*) n from {_ACCEPTED} group by device_id, day_no having count(*) >= case when device_id % 2 = 0 then 3 else 2 end")
 def complete_shapes(spark, sf_dir):
-    shapes = _shapes(spark, sf_dir, 3).withColumn("category", F.expr("case when device_id % 2 = 0 then 'area' else 'line' end"))
-    return objects.complete_shapes(shapes).select("device_id", F.size("coordinates").cast("long").alias("n"))
+    shapes = _shapes(spark, sf_dir).withColumn("category", F.expr("case when device_id % 2 = 0 then 'area' else 'line' end"))
+    return objects.complete_shapes(shapes).select("device_id", "day_no", F.size("coordinates").cast("long").alias("n"))
 
 
-@query("select device_id, row_number() over (partition by device_id order by seq) - 1 ordinal, accuracy, altitude from fixes where accuracy <= 10")
+@query(f"select device_id || '/' || day_no id, row_number() over (partition by device_id, day_no order by seq) - 1 ordinal, accuracy, altitude from {_ACCEPTED}")
 def vertex_samples(spark, sf_dir):
-    found = objects.vertex_samples(_shapes(spark, sf_dir, 10).withColumnRenamed("device_id", "id"))
-    return found.select(F.col("id").alias("device_id"), F.col("ordinal").cast("long").alias("ordinal"), "accuracy", "altitude")
+    found = objects.vertex_samples(_shapes(spark, sf_dir).withColumn("id", F.concat_ws("/", "device_id", "day_no")))
+    return found.select("id", F.col("ordinal").cast("long").alias("ordinal"), "accuracy", "altitude")
 
 
 @query("select workspace_id, round(west, 6) west, round(south, 6) south, round(east, 6) east, round(north, 6) north from bounds")
@@ -205,10 +213,16 @@ def touch_workspaces(spark, sf_dir):
     return workspaces.touch_workspaces(w, opens).select(F.col("id").alias("workspace_id"), F.unix_micros("updated_at").alias("updated_us"))
 
 
-@query("select device_id user_id, arg_max(lat, row(received_at, seq)) lat, arg_max(lng, row(received_at, seq)) lng from fixes group by device_id")
+@query("""with l as (select device_id user_id, arg_max(lat, row(received_at, seq)) lat, arg_max(lng, row(received_at, seq)) lng, arg_max(seq % 40, row(received_at, seq)) workspace_id from fixes group by device_id),
+    q as (select c_custkey user_id, case when c_custkey % 7 <> 0 then 60.5e0 end qlat, 18.5e0 qlng from customer where c_custkey % 3 = 0)
+    select user_id, l.lat, l.lng, coalesce(w.lat, case when qlat is not null then qlat end, l.lat, 59.3293) open_lat, coalesce(w.lng, case when qlat is not null then qlng end, l.lng, 18.0686) open_lng
+    from l full join q using (user_id) left join (select workspace_id, center_lat lat, center_lng lng from workspaces where workspace_id % 2 = 0) w on w.workspace_id = l.workspace_id""")
 def latest_center(spark, sf_dir):
-    moves = derived(spark, sf_dir, "fixes").select(F.col("device_id").alias("user_id"), F.col("received_at").alias("ts"), "seq", "lat", "lng")
-    return workspaces.latest_center(moves).select("user_id", "lat", "lng")
+    """Users with and without moves, addresses (some without a latitude) and workspaces (some without a centre)."""
+    moves = derived(spark, sf_dir, "fixes").select(F.col("device_id").alias("user_id"), F.col("received_at").alias("ts"), "seq", "lat", "lng", F.expr("seq % 40").alias("workspace_id"))
+    w = derived(spark, sf_dir, "workspaces").selectExpr("workspace_id id", "case when workspace_id % 2 = 0 then struct(center_lat as lat, center_lng as lng) end center")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").selectExpr("c_custkey user_id", "case when c_custkey % 7 <> 0 then 60.5e0 end lat", "18.5e0 lng")
+    return workspaces.latest_center(moves, w, asked)
 
 
 @query("select o.id, b.workspace_id from objects o join bounds b on o.lng between b.west and b.east and o.lat between b.south and b.north")
@@ -231,9 +245,9 @@ def overlapping_workspaces(spark, sf_dir):
     return spatial.overlapping_workspaces(_boxed(spark, sf_dir))
 
 
-@query("select device_id, min(lng) west, min(lat) south, max(lng) east, max(lat) north from fixes where accuracy <= 10 group by device_id")
+@query("select device_id, min(lng) west, min(lat) south, max(lng) east, max(lat) north from fixes where accuracy <= 50 group by device_id")
 def layer_extent(spark, sf_dir):
-    return spatial.layer_extent(_shapes(spark, sf_dir, 10), "device_id")
+    return spatial.layer_extent(_shapes(spark, sf_dir), "device_id")
 
 
 @query(f"""select id, coalesce(nullif(isom_symbol, ''), '506') display_symbol, coalesce(nullif(name, ''), l, 'Väg eller stig') display_name, 'automatic-unverified' status,
@@ -249,10 +263,17 @@ def road_fill_features(spark, sf_dir):
     return reviews.road_fill_features(derived(spark, sf_dir, "previous")).select("id")
 
 
+@query("""select id, case when coalesce(nullif(status, ''), '') = '' then 'automatic-unverified' else status end status, coalesce(nullif(name, ''), 'Byggnad') display_name
+    from (select id, name, case when p_partkey % 2 = 0 then '' when p_partkey % 3 = 0 then 'locally-approved' end status from roads) r""")
+def building_defaults(spark, sf_dir):
+    buildings = derived(spark, sf_dir, "roads").withColumn("status", F.expr("case when p_partkey % 2 = 0 then '' when p_partkey % 3 = 0 then 'locally-approved' end"))
+    return reviews.feature_defaults(buildings, "building").select("id", "status", "display_name")
+
+
 _LAST = "select source_id, arg_max(coalesce(nullif(status, ''), 'automatic-unverified'), ordinal) status, arg_max(coalesce(epoch_us(reviewed_at), -1), ordinal) us, arg_max(isom_symbol, ordinal) isom_symbol, arg_max(road_type, ordinal) road_type from previous group by source_id"
 
 
-@query(_LAST.replace("select", "select", 1))
+@query(_LAST)
 def latest_reviews(spark, sf_dir):
     prev = derived(spark, sf_dir, "previous").withColumn("status", reviews.status_of(F.col("status"))).withColumn("us", F.coalesce(F.expr(_US.format("reviewed_at")), F.lit(-1)))
     return reviews.latest_reviews(prev, ["status", "us", "isom_symbol", "road_type"]).select("source_id", "review.*")
@@ -367,12 +388,15 @@ def portrayal_of_features(spark, sf_dir):
 
 @query("""select id, category, case when category = 'line' then case when t = 'stream' then '#168cab' when t = 'ditch' then '#8d5b36' else '#181b19' end
     else case when t = 'building' then '#181b19' when t in ('lake', 'marsh', 'hard_marsh') then '#168cab' when t in ('field', 'open_land') then '#d2a82f' when t = 'forbidden' then '#9b3d83' else '#1d874e' end end colour,
-    case when category = 'line' then case when t = 'stream' then 4.0 when t in ('ditch', 'fence') then 3.0 when t = 'cliff' then 5.0 when t = 'wide_path' then 5.0 when t like '%path%' then 3.0 when t = 'paved_road' then 7.0 else 5.0 end else 1.0 end weight
+    case when category = 'line' then case when t = 'stream' then 4.0 when t in ('ditch', 'fence') then 3.0 when t = 'cliff' then 5.0 when t = 'wide_path' then 5.0 when t like '%path%' then 3.0 when t = 'paved_road' then 7.0 else 5.0 end else 1.0 end weight,
+    case when category = 'line' then case when t = 'ditch' then '8 5' when t = 'fence' then '3 5' when t = 'wide_path' then '9 5' when t = 'faint_path' then '3 7' when t like '%path%' then '9 5' when t = 'gravel_road' then '12 4' end when t like '%marsh%' then '5 4' end dash,
+    case when category = 'area' then case when t = 'building' then '#181b19' when t = 'lake' then '#7bcfe1' when t like '%marsh%' then '#bce2df' when t in ('field', 'open_land') then '#ffe270' when t = 'forbidden' then '#d995ca' when t = 'very_dense' then '#228847' else '#60aa63' end end fill,
+    case when category = 'area' then case when t = 'building' then 0.82 when t = 'lake' then 0.55 when t like '%marsh%' then 0.5 when t in ('field', 'open_land') then 0.55 when t = 'forbidden' then 0.45 else 0.52 end end fill_opacity, 1.0 opacity
     from (select id, category, coalesce(object_type, '') t from objects where category <> 'point') o""")
 def portrayal_of_objects(spark, sf_dir):
     rows = _objects(spark, sf_dir).where("category <> 'point'").withColumn("layer", F.col("category"))
     rows = rows.withColumns({"status": F.lit(None).cast("string"), "isom_symbol": F.lit(None).cast("string"), "index_contour": F.lit(None).cast("boolean"), "symbol_display_mode": F.lit("digital"), "scale": F.lit(10000)})
-    return portrayal.portrayal(rows, F.lit(15)).select("id", "category", "colour", "weight")
+    return portrayal.portrayal(rows, F.lit(15)).select("id", "category", "colour", "weight", "dash", "fill", "fill_opacity", "opacity")
 
 
 @query("""select p_partkey, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&quot;') html from (select p_partkey, '<' || p_name || ' & "' || p_brand || '''>' t from part) x""")
@@ -389,15 +413,34 @@ def labels(spark, sf_dir):
     return w.select("workspace_id", text.workspace_label(F.col("scale"), F.col("contour_interval"), size, F.col("symbol_display_mode")).alias("label"), text.area_label(size, F.col("center_lat"), F.col("center_lng")).alias("area_label"))
 
 
-@query("select seq, strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' iso, epoch_ms(received_at) millis from fixes")
+@query("""select seq, case when accuracy <= 3 then '★ ' else '' end || 'GPS ± ' || cast(floor(accuracy + 0.5) as bigint) || ' m · ' || case when accuracy <= 3 then 'Utmärkt' when accuracy <= 10 then 'Bra' when accuracy <= 50 then 'Osäkert' else 'Otillräckligt' end gps from fixes""")
+def gps_labels(spark, sf_dir):
+    return derived(spark, sf_dir, "fixes").select("seq", gps.gps_label(F.col("accuracy")).alias("gps"))
+
+
+@query("""select isom_symbol, total || ' · ' || approved || ' godkända · ' || rejected || ' avvisade · ' || unverified || ' ogranskade' buildings, total || ' · ' || reviewed || ' granskade · ' || (total - reviewed - rejected) || ' ogranskade' roads,
+    case when total - 20 > 0 then (total - 20) || ' linjer · ' || case when isom_symbol = '503' then '5' else '2.5' end || ' m' else 'Inte importerade' end contours
+    from (select isom_symbol, count(*) total, count(*) filter (status = 'locally-approved') approved, count(*) filter (status = 'locally-rejected') rejected, count(*) filter (coalesce(status, '') not in ('locally-approved', 'locally-rejected')) unverified,
+    count(*) filter (status in ('locally-approved', 'locally-edited')) reviewed from previous group by isom_symbol) c""")
+def summaries(spark, sf_dir):
+    prev = derived(spark, sf_dir, "previous")
+    b = reviews.building_review_counts(prev, "isom_symbol")
+    r = reviews.road_review_counts(prev, "isom_symbol").select("isom_symbol", "reviewed", F.col("unverified").alias("open"))
+    interval = F.when(F.col("isom_symbol") == "503", 5.0).otherwise(2.5)
+    return b.join(r, "isom_symbol").select("isom_symbol", text.building_summary(F.col("total"), F.col("approved"), F.col("rejected"), F.col("unverified")).alias("buildings"), text.road_summary(F.col("total"), F.col("reviewed"), F.col("open")).alias("roads"), text.contour_label(F.col("total") - 20, interval).alias("contours"))
+
+
+@query("select seq, strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' iso, epoch_us(received_at) // 1000 millis, epoch_us(received_at) // 1000 * 1000 iso_us, epoch_us(received_at) // 1000 * 1000 millis_us from fixes")
 def iso_times(spark, sf_dir):
     ts = F.col("received_at").cast("timestamp")
-    return derived(spark, sf_dir, "fixes").select("seq", text.iso_utc(ts).alias("iso"), text.to_millis(ts).alias("millis"))
+    out = derived(spark, sf_dir, "fixes").select("seq", text.iso_utc(ts).alias("iso"), text.to_millis(ts).alias("millis"))
+    back = lambda c: F.unix_micros(c)
+    return out.select("seq", "iso", "millis", back(text.from_iso(F.col("iso"))).alias("iso_us"), back(text.from_millis(F.col("millis"))).alias("millis_us"))
 
 
-@query("""with v as (select device_id, lng, lat, altitude, seq from fixes where accuracy <= 10) select device_id, count(*) + 1 n_closed, count(*) - 1 n_undone, arg_max(lng, seq) last_lng, arg_min(lng, seq) closing_lng,
-    count(altitude) n_3d, arg_min(lat, seq) swapped_first from v group by device_id""")
+@query(f"""with v as (select * from {_ACCEPTED}) select device_id, day_no, count(*) + 1 n_closed, count(*) - 1 n_undone, arg_max(lng, seq) last_lng, arg_min(lng, seq) closing_lng,
+    count(altitude) n_3d, arg_min(lat, seq) swapped_first from v group by device_id, day_no""")
 def coordinate_arrays(spark, sf_dir):
-    s, c = _shapes(spark, sf_dir, 10), F.col("coordinates")
+    s, c = _shapes(spark, sf_dir), F.col("coordinates")
     flat = geometry.flat_positions(c)
-    return s.select("device_id", F.size(geometry.closed(c)).cast("long").alias("n_closed"), F.size(geometry.without_last(c)).cast("long").alias("n_undone"), F.element_at(flat, -1)[0].alias("last_lng"), F.element_at(geometry.closed(flat), -1)[0].alias("closing_lng"), F.size(F.filter(geometry.positions(c), lambda p: F.size(p) == 3)).cast("long").alias("n_3d"), F.element_at(geometry.swapped(flat), 1)[0].alias("swapped_first"))
+    return s.select("device_id", "day_no", F.size(geometry.closed(c)).cast("long").alias("n_closed"), F.size(geometry.without_last(c)).cast("long").alias("n_undone"), F.element_at(flat, -1)[0].alias("last_lng"), F.element_at(geometry.closed(flat), -1)[0].alias("closing_lng"), F.size(F.filter(geometry.positions(c), lambda p: F.size(p) == 3)).cast("long").alias("n_3d"), F.element_at(geometry.swapped(flat), 1)[0].alias("swapped_first"))

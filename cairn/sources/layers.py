@@ -1,7 +1,9 @@
 """Stored layers: all features of a layer and workspace are replaced as a whole.
 
-A layer is a folder of versions; the newest one counts. A replacement writes a new version of old rows of other
-workspaces and new rows, so replacing by nothing empties a workspace, and readers never see half of a change.
+A layer has data of versions, each the rows of the workspaces that one replacement was about, and a manifest of versions:
+which version holds each workspace.  The newest manifest counts, so readers never see half of a change; a replacement
+writes its own rows and one manifest row a workspace, whatever else the layer holds.  Rows lie in order of workspaces, so
+that reading some of them skips the rest.
 """
 
 from __future__ import annotations
@@ -22,25 +24,35 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and done(n))
 
 
+def _manifest(spark: SparkSession, path: str, layer: str) -> tuple[DataFrame | None, int]:
+    """The newest manifest (workspace_id, version) and its number."""
+    found = _versions(spark, f"{path}/{layer}/manifest")
+    return (spark.read.parquet(f"{path}/{layer}/manifest/v={found[-1]}"), found[-1]) if found else (None, 0)
+
+
 def read_layer(spark: SparkSession, path: str, layer: str, workspace_ids: list | None = None) -> DataFrame | None:
-    """The newest version of a layer, of all or some workspaces; None if it was never written."""
-    versions = _versions(spark, f"{path}/{layer}")
-    if not versions:
+    """The newest state of a layer, of all or some workspaces; None if it was never written."""
+    manifest, newest = _manifest(spark, path, layer)
+    if manifest is None:
         return None
-    rows = spark.read.parquet(f"{path}/{layer}/v={versions[-1]}")
-    return rows if workspace_ids is None else rows.where(F.col("workspace_id").isin(workspace_ids))
+    some = F.lit(True) if workspace_ids is None else F.col("workspace_id").isin(workspace_ids)
+    manifest = manifest.where(some)
+    live = sorted(r[0] for r in manifest.select("version").distinct().collect()) or [newest]
+    data = spark.read.option("mergeSchema", "true").option("basePath", f"{path}/{layer}/data").parquet(*[f"{path}/{layer}/data/v={v}" for v in live])
+    rows = data.where(some).withColumnRenamed("v", "version")
+    return rows.join(manifest, ["workspace_id", "version"], "left_semi").drop("version")
 
 
 def write_layer(rows: DataFrame, path: str, layer: str, workspaces: DataFrame) -> None:
-    """Replaces a layer's rows of the workspaces (workspace_id) by rows; also by none."""
-    spark = rows.sparkSession
-    versions = _versions(spark, f"{path}/{layer}")
-    keys = workspaces.select("workspace_id").distinct()
-    new = rows.join(keys, "workspace_id", "left_semi")
-    if versions:
-        old = spark.read.parquet(f"{path}/{layer}/v={versions[-1]}").join(keys, "workspace_id", "left_anti")
-        new = old.unionByName(new, allowMissingColumns=True)
-    new.write.parquet(f"{path}/{layer}/v={(versions[-1] if versions else 0) + 1}")
+    """Replaces a layer's rows of the workspaces (workspace_id) by rows; also by none. Rows of other workspaces are left out."""
+    manifest, newest = _manifest(rows.sparkSession, path, layer)
+    version = newest + 1
+    keys = workspaces.select("workspace_id").where("workspace_id is not null").distinct()
+    now = keys.withColumn("version", F.lit(version))
+    rows.join(keys, "workspace_id", "left_semi").repartitionByRange("workspace_id").sortWithinPartitions("workspace_id").write.mode("overwrite").parquet(f"{path}/{layer}/data/v={version}")
+    if manifest is not None:
+        now = manifest.join(keys, "workspace_id", "left_anti").unionByName(now)
+    now.write.parquet(f"{path}/{layer}/manifest/v={version}")
 
 
 def drop_layer(spark: SparkSession, path: str, layer: str, workspaces: DataFrame) -> None:

@@ -6,9 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState, StatefulProcessor, StatefulProcessorHandle
 
 from cairn.functions.gps import gps_quality
 from cairn.operators.recorder import OBJECT, _clean, new_state, step
@@ -32,40 +32,130 @@ def stream_gps_runs(fixes: DataFrame, silence: str = "15 seconds", lateness: str
     return runs.agg(F.count("*").alias("n")).select("device_id", F.col("w.start").alias("run_start"), F.col("w.end").alias("run_end"), "n")
 
 
+class Vertices:
+    """The open recording's vertices: those of earlier batches stay in the state, new ones are appended to it.
+
+    Undo leaves a mark (null) there instead of taking the list apart; the list is read when a recording is finished.
+    """
+
+    def __init__(self, stored: ListState, n: int):
+        self.stored, self.n, self.new = stored, n, []
+
+    def __len__(self) -> int:
+        return self.n
+
+    def append(self, vertex: dict) -> None:
+        self.n += 1
+        self.new.append(vertex)
+
+    def pop(self) -> None:
+        self.n -= 1
+        if self.new and self.new[-1] is not None:
+            self.new.pop()
+        else:
+            self.new.append(None)
+
+    def __iter__(self) -> Iterator[dict]:
+        found = []
+        for v in [*(json.loads(v[0]) for v in (self.stored.get() if self.stored.exists() else ())), *self.new]:
+            found.pop() if v is None else found.append(v)
+        return iter(found)
+
+
 class Recorder(StatefulProcessor):
-    """Carries each device's recorder from batch to batch: its vertices as a list, the rest as one value."""
+    """Carries each device's recorder from batch to batch, and its events until the watermark has passed them.
+
+    State: rest (the recorder but for its vertices, as one value), vertices (appended to), pending events, and late, the
+    number of events that came too late.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.rest = handle.getValueState("rest", "json string")
         self.vertices = handle.getListState("vertices", "json string")
+        self.pending = handle.getListState("pending", "json string")
+        self.late = handle.getValueState("late", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = new_state()
-        if self.rest.exists():
-            state = json.loads(self.rest.get()[0])
-        state["vertices"] = [json.loads(v[0]) for v in self.vertices.get()] if self.vertices.exists() else []
-        found = []
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for row in events.to_dict("records"):
-            made = step(state, _clean(row))
+        """Keeps events and asks to be called once the watermark has passed them; a batch at a time.  Late ones are counted."""
+        passed, due, late = timerValues.getCurrentWatermarkInMs(), None, 0
+        for some in rows:
+            events = [_clean(r) for r in some.drop(columns="received_at").to_dict("records")]
+            fresh = [e for e in events if e["ts"] > passed or not passed]
+            late += len(events) - len(fresh)
+            if fresh:
+                self.pending.appendList([(json.dumps(e, default=_plain),) for e in fresh])
+                due = max(int(e["ts"]) for e in fresh) if due is None else max(due, *(int(e["ts"]) for e in fresh))
+        if due is not None:
+            self.handle.registerTimer(due)
+        if late:
+            self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
+        yield pd.DataFrame([], columns=_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Takes the events that the watermark has passed, in order; drops a recording that nothing was added to for long."""
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [json.loads(e[0]) for e in self.pending.get()] if self.pending.exists() else []
+        ready = sorted((e for e in waiting if e["ts"] <= now), key=lambda e: (e["ts"], e["seq"]))
+        state = json.loads(self.rest.get()[0]) if self.rest.exists() else {**new_state(), "n_vertices": 0, "at": None}
+        kept = state["vertices"] = Vertices(self.vertices, state.pop("n_vertices"))
+        at, found = state.pop("at"), []
+        abandoned = lambda until: at is not None and state["category"] is not None and until - at > self.ttl_ms
+        for e in ready:
+            if abandoned(e["ts"]):
+                state.update(category=None, object_type=None, source=None, vertices=[])
+            at = e["ts"]
+            made = step(state, e)
             if made:
-                found.append({"device_id": key[0], **made})
+                found.append({"device_id": key[0], **made, "coordinates": list(made["coordinates"])})
+        if abandoned(now):
+            state.update(category=None, object_type=None, source=None, vertices=[])
+        later = [e for e in waiting if e["ts"] > now]
+        if len(later) < len(waiting):
+            self.pending.put([(json.dumps(e),) for e in later]) if later else self.pending.clear()
         vertices = state.pop("vertices")
-        self.rest.update((json.dumps(state),))
-        if vertices:
+        if vertices is kept:
+            if kept.new:
+                self.vertices.appendList([(json.dumps(v),) for v in kept.new])
+        elif len(vertices):
             self.vertices.put([(json.dumps(v),) for v in vertices])
         else:
             self.vertices.clear()
-        yield pd.DataFrame(found, columns=[f.split()[0] for f in OBJECT.split(", ")[:8]] + ["coordinates"])
+        self.rest.update((json.dumps({**state, "n_vertices": len(vertices), "at": at}),))
+        if later:
+            self.handle.registerTimer(max(e["ts"] for e in later))
+        elif state["category"] is not None and at is not None and at + self.ttl_ms + 1 > now:
+            self.handle.registerTimer(at + self.ttl_ms + 1)
+        yield pd.DataFrame(found, columns=_NAMES)
 
     def close(self) -> None:
         pass
 
 
-def stream_recordings(events: DataFrame) -> DataFrame:
+_NAMES = [f.split()[0] for f in OBJECT.split(", ")[:8]] + ["coordinates"]
+
+
+def _plain(x: object) -> object:
+    """Numbers of numpy as Python's."""
+    return x.item() if hasattr(x, "item") else str(x)
+
+
+def stream_recordings(events: DataFrame, lateness: str = "1 minute", ttl: str = "12 hours") -> DataFrame:
     """Finished objects of a stream of fixes and actions (as the recorder's EVENT), by the exact recorder.
 
-    Events count in the order of (ts, seq) within a batch and in order of arrival between batches.  Needs the RocksDB
-    state store.
+    Events count in the order of (ts, seq), whatever batches they come in: they wait until the watermark, `lateness` behind
+    the latest event of all devices, has passed them.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for `ttl` is dropped.  Needs the
+    RocksDB state store.
     """
-    return events.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(), outputStructType=OBJECT, outputMode="Append", timeMode="None")
+    length = events.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {ttl})").first()[0]
+    timed = events.withColumn("received_at", F.timestamp_millis("ts")).withWatermark("received_at", lateness)
+    return timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(int(length)), outputStructType=OBJECT, outputMode="Append", timeMode="EventTime")
+
+
+def late_events(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """How many events stream_recordings dropped as late: device_id, n; read from the query's checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "late").load(checkpoint)
+    return state.select("key.device_id", F.col("value.n").alias("n"))

@@ -18,7 +18,7 @@ def test_query(name, spark, sf_dir, con):
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    a, b = (compare.rows(QUERIES[n](spark, sf_dir).toPandas()) for n in ("recordings", "stream_recordings"))
+    a, b = (compare.spark_rows(QUERIES[n](spark, sf_dir)) for n in ("recordings", "stream_recordings"))
     assert a and a == b
 
 

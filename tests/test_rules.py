@@ -131,13 +131,89 @@ def test_contour_lines_keep_all_segments(spark):
             a, b = flat[int(ex), int(ey)], flat[int(ex) + (kind == "h"), int(ey) + (kind == "v")]
             t = (x - int(ex)) + (y - int(ey))
             assert math.isclose(a + t * (b - a), 5.0 * r.k, abs_tol=1e-6)
-    results = []
-    for tile in (4, 64):
+    assert_lines(spark, rows, segments, (4, 7, 64))
+
+
+def plain_lines(rows):
+    """Chains of all segments of a level, in one place; rings and open lines begin and run as contour_lines says."""
+    found = []
+    for k in {r.k for r in rows}:
+        for c in contours.chains([(r.e1, (r.e1, r.x1, r.y1), r.e2, (r.e2, r.x2, r.y2)) for r in rows if r.k == k]):
+            c = [p for _, p in c]
+            if c[0][0] == c[-1][0]:
+                body = c[:-1]
+                at = min(range(len(body)), key=lambda i: body[i][0])
+                body = body[at:] + body[:at]
+                c = [*body, body[0]] if body[1][0] <= body[-1][0] else [body[0], *body[:0:-1], body[0]]
+            elif c[-1][0] < c[0][0]:
+                c = c[::-1]
+            found.append((k, [p[1:] for p in c]))
+    return sorted(found)
+
+
+def assert_lines(spark, rows, segments, tiles):
+    want = plain_lines(rows)
+    for tile in tiles:
         lines = contours.contour_lines(segments, 5.0, tile=tile).collect()
-        assert sum(len(r.coordinates) - 1 for r in lines) == len(rows)
-        results.append(sorted((r.elevation, r.closed, len(r.coordinates)) for r in lines))
-        assert all(r.index_contour == (r.elevation % 25 == 0) for r in lines)
-    assert results[0] == results[1]
+        assert sorted((int(r.elevation / 5), [(p.x, p.y) for p in r.coordinates]) for r in lines) == want
+        assert all(r.index_contour == (r.elevation % 25 == 0) and r.closed == (r.coordinates[0] == r.coordinates[-1]) for r in lines)
+
+
+def test_contour_lines_across_the_origin(spark):
+    flat = [(x, y, float(y)) for x in range(-9, 10) for y in range(-6, 7)]
+    (line,) = [r for r in contours.contour_lines(contours.contour_segments(spark.createDataFrame(flat, "x bigint, y bigint, z double"), 5.0), 5.0, tile=4).collect() if r.elevation == 0]
+    assert len(line.coordinates) == 19
+    hill = [(x, y, 60 - (x * x + y * y) / 4 + 6 * math.sin(3 * x) * math.cos(2 * y)) for x in range(-13, 12) for y in range(-11, 14) if (x, y) != (5, 5)]
+    segments = contours.contour_segments(spark.createDataFrame(hill, "x bigint, y bigint, z double"), 5.0)
+    assert_lines(spark, segments.collect(), segments, (3, 8))
+
+
+def test_contour_lines_of_the_given_orders(spark, sf_dir):
+    """The registered query against plain chains, on its whole table."""
+    from cairn.plans.fixtures import derived
+    from cairn.plans.more_queries import contour_lines
+
+    rows = contours.contour_segments(derived(spark, sf_dir, "elevation"), 100.0).collect()
+    got = sorted((r.elevation, r.closed, r.n_points, r.x, r.y) for r in contour_lines(spark, sf_dir).collect())
+    assert got == sorted((k * 100.0, c[0] == c[-1], len(c), round(c[0][0], 6), round(c[0][1], 6)) for k, c in plain_lines(rows))
+
+
+def test_places_at_the_poles(spark):
+    """Boxes that run around the earth, and points far out."""
+    rows = [(1, 90.0, 18.0, 10.0), (2, 89.9, 18.0, 5.0), (3, 60.0, 18.0, 2.0), (4, -90.0, 0.0, 10.0)]
+    w = spark.createDataFrame(rows, "workspace_id int, lat double, lng double, size double").select("workspace_id", geometry.bounds(F.col("lat"), F.col("lng"), F.col("size")).alias("bbox"))
+    points = [(i, lng, lat) for i, (lng, lat) in enumerate([(18.0, 90.0), (-170.0, 89.96), (18.0, 60.0), (18.0, 60.5), (0.0, -89.99), (5e6, 89.97), (math.nan, 60.0), (None, 60.0)])]
+    p = spark.createDataFrame(points, "id int, lng double, lat double")
+    boxes = {r.workspace_id: r.bbox for r in w.collect()}
+    want = sorted((i, k) for i, lng, lat in points for k, b in boxes.items() if lng is not None and b.west <= lng <= b.east and b.south <= lat <= b.north)
+    assert sorted((r.id, r.workspace_id) for r in spatial.objects_in_workspaces(p, w).collect()) == want and len(want) > 4
+    box = F.struct(F.col("lng").alias("west"), F.col("lat").alias("south"), F.col("lng").alias("east"), F.col("lat").alias("north"))
+    assert sorted((r.id, r.workspace_id) for r in spatial.features_in_workspaces(p.withColumn("extent", box), w).collect()) == want
+
+
+def test_where_the_map_opens(spark):
+    moves = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, 7), (1, 2, 0, 3.0, None, 8), (2, 1, 0, 5.0, 6.0, 9), (3, 1, 0, 5.0, 6.0, 7)], "user_id int, ts int, seq int, lat double, lng double, workspace_id int")
+    w = spark.createDataFrame([(7, (50.0, 10.0)), (8, None)], "id int, center struct<lat:double,lng:double>")
+    asked = spark.createDataFrame([(2, 40.0, 20.0), (3, 40.0, 20.0), (4, 41.0, 21.0), (5, 41.0, None)], "user_id int, lat double, lng double")
+    got = {r.user_id: (r.open_lat, r.open_lng) for r in workspaces.latest_center(moves, w, asked).collect()}
+    assert got == {1: workspaces.HOME, 2: (40.0, 20.0), 3: (50.0, 10.0), 4: (41.0, 21.0), 5: workspaces.HOME}
+
+
+def test_layers(spark, tmp_path):
+    """Versions hold what changed; readers of some workspaces see those; replacing by nothing empties."""
+    from cairn.sources import layers
+
+    path = str(tmp_path)
+    ids = lambda *k: spark.createDataFrame([(i,) for i in k], "workspace_id int")
+    rows = lambda text, *k: ids(*k).withColumn("t", F.lit(text))
+    assert layers.read_layer(spark, path, "roads") is None
+    layers.write_layer(rows("a", 1, 2, 3, 9), path, "roads", ids(1, 2, 3, 4))
+    layers.write_layer(rows("b", 2).withColumn("more", F.lit(5)), path, "roads", ids(2, 3))
+    read = lambda *k: sorted((r.workspace_id, r.t) for r in layers.read_layer(spark, path, "roads", *k).collect())
+    assert read() == [(1, "a"), (2, "b")] and read([2, 3]) == [(2, "b")] and read([77]) == []
+    layers.drop_layer(spark, path, "roads", ids(1))
+    assert read() == [(2, "b")]
+    assert {r.workspace_id for r in spark.read.parquet(f"{path}/roads/data/v=2").collect()} == {2}
 
 
 def test_texts(spark):
@@ -156,3 +232,27 @@ def test_empty_tables(spark, sf_dir):
     o = derived(spark, sf_dir, "objects").limit(0)
     assert objects.normalize_objects(o).count() == 0 and objects.catalog_lookup(o).count() == 0
     assert contours.contour_lines(contours.contour_segments(derived(spark, sf_dir, "elevation").limit(0), 5.0), 5.0).count() == 0
+
+
+def test_stream_of_recordings(spark, tmp_path):
+    """Events in any batches give the rows of the batch recorder; late ones are dropped and counted; abandoned lines go."""
+    from cairn.streaming import fixes as streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    minute = 60_000
+    at = lambda device, ts, kind, category=None: (device, ts, ts, kind, category, None, "gps", 1.0 + ts / 1e6, 2.0, 5.0, None, None)
+    batches = [
+        [at(1, 1000, "fix"), at(1, 2000, "action", "line"), at(1, 4000, "fix"), at(2, 1500, "fix"), at(2, 1600, "action", "line")],
+        [at(1, 3000, "fix"), at(1, 3500, "undo"), at(1, 5000, "fix"), at(1, 6000, "finish"), at(2, 1700, "fix"), at(3, 20 * minute, "fix")],  # before what the first batch had
+        [at(1, 6500, "fix"), at(3, 40 * minute, "fix")],  # late: 6500 is long past
+        [at(2, 41 * minute, "fix"), at(2, 41 * minute + 1, "fix"), at(2, 42 * minute, "finish"), at(3, 80 * minute, "fix")],  # after device 2's line was given up
+        [at(3, 100 * minute, "fix")],
+    ]
+    folder, out = tmp_path / "in", []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, recorder.EVENT).coalesce(1).write.parquet(f"{folder}/{i}")
+    stream = spark.readStream.schema(recorder.EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    query = streams.stream_recordings(stream, "1 minute", "30 minutes").writeStream.foreachBatch(lambda rows, _: out.extend(rows.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r.device_id, r.created_at, [v.time for v in r.coordinates]) for r in out] == [(1, 6000, [4000, 5000])]
+    assert [tuple(r) for r in streams.late_events(spark, str(tmp_path / "c")).collect()] == [(1, 1)]
