@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import fresh
+
 #: The type of a message's parts. What doesn't apply to a kind is null.
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
@@ -106,17 +108,18 @@ def formatted(turns: DataFrame, template: Template | None = None, visitor: Visit
     template = template or Template()
     visitor = visitor or Visitor(template)
     pieces = F.transform(F.filter(F.coalesce(F.col(parts), F.array().cast(PARTS)), lambda p: p.isNotNull()), visitor.visit)
-    rows = turns.withColumn("_pieces", pieces)
+    made = fresh(turns, "pieces_of")
+    rows = turns.withColumn(made, pieces)
     head = F.concat(F.lit(template.begin), escaped(F.col(role), template), F.lit(template.middle))
-    body = F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
-    placed = F.filter("_pieces", lambda p: p["text"].startswith("<|"))
+    body = F.array_join(F.transform(made, lambda p: p["text"]), "")
+    placed = F.filter(made, lambda p: p["text"].startswith("<|"))
     return rows.withColumns({
         "formatted": F.concat(head, body, F.lit(template.end)),
         "loss_start": F.length(head),
         "loss_length": F.when(F.coalesce(F.col(role), F.lit("")).isin(*template.trained), F.length(body)).otherwise(0),
         "attachments": F.transform(placed, lambda p: F.struct(p["ref"].alias("ref"), p["tokens"].alias("tokens"))),
-        "expanded_tokens": F.aggregate("_pieces", F.lit(0).cast("long"), lambda n, p: n + p["tokens"]),
-    }).drop("_pieces")
+        "expanded_tokens": F.aggregate(made, F.lit(0).cast("long"), lambda n, p: n + p["tokens"]),
+    }).drop(made)
 
 
 def text_parts(text: Column) -> Column:

@@ -1,36 +1,19 @@
-"""What several operators share: tables, scratch tables, Arrow text and word hashes."""
+"""What several operators share: tables, column names, Arrow text and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.scratch import written  # noqa: F401  operators take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names in spark.checkpoint.dir; a local one if it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/cairn-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, has a known size."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name for use within an operator that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cairn.llm.common import mixed, written
+from cairn.llm.common import fresh, mixed, written
 from cairn.llm.graph import components
 
 SEED = 42
@@ -362,18 +362,20 @@ def _meeting(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000) -> DataFrame:
-    """Links a, b between nodes (fp, set, n, rep, text_hash) that share `similarity` of their distinct shingles.
+    """Links a, b between nodes (fp, set, n, rep, id, text_hash) that share `similarity` of their distinct shingles.
 
     Their components are those of all such pairs that fingerprints propose: first each node is checked against one of its
-    class in every bucket; then every proposed pair whose nodes these links leave apart.  docs has _id, _hash, _text.
+    class in every bucket; then every proposed pair whose nodes these links leave apart.  docs has _id, _hash, _text, and
+    rep numbers the nodes.
     Buckets of over bucket_rows nodes are cut: for the first step into blocks, others in each band; for the second so
     that all nodes left apart still meet.
     """
 
     def checked(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a_set").alias("set")).union(links.select("b_set")).distinct()
-        at = nodes.join(ends, "set", "left_semi").select("set", F.col("rep").alias("_id"), F.col("text_hash").alias("_hash"))
-        return written(_verified(links, docs.join(at, ["_id", "_hash"]), shingle, similarity))
+        at = nodes.join(ends, "set", "left_semi").select("set", "id", "text_hash")
+        texts = docs.join(at, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")))
+        return written(_verified(links, texts.select("set", "_text"), shingle, similarity))
 
     rows = _banded(nodes, words, bands, band_bits, "set", "rep")
     hot = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
@@ -396,7 +398,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words
     whose texts share that part of these, and fp ends with a hash of the set of shingles and its size.
     """
     if similarity is not None:
-        return _similar_components(docs, shingle, budget, words, bands, band_bits, similarity, text, doc_id)
+        return _similar_components(docs, shingle, budget, words, bands, band_bits, similarity, text, doc_id).drop("component_hash")
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.coalesce(F.col(text), F.lit("")), shingle, words).alias("fp")))
     kinds = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     ends = kinds.where("rep is not null")
@@ -407,27 +409,42 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words
 
 
 def _similar_components(docs: DataFrame, shingle: int, budget: int, words: int, bands: int, band_bits: int, similarity: float, text: str, doc_id: str) -> DataFrame:
+    """As simhash_components, with component_hash: the text_hash of the row that component_id names.
+
+    A row is named by its id and text, so rows that share an id are apart; null ids come last.
+    """
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), set_fingerprint(F.coalesce(F.col(text), F.lit("")), shingle, words).alias("fp")))
-    kinds = written(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("k")).select("fp", F.col("k.doc_id").alias("rep"), "k.text_hash"))
-    nodes = kinds.where("rep is not null").select("fp", F.col("fp")[words].alias("set"), F.col("fp")[words + 1].alias("n"), "rep", "text_hash")
+    named = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kinds = prints.groupBy("fp").agg(F.min(named).alias("k"))
+    kinds = written(kinds.withColumn("rep", F.monotonically_increasing_id()))
+    nodes = kinds.select("fp", F.col("fp")[words].alias("set"), F.col("fp")[words + 1].alias("n"), "rep", F.col("k.doc_id").alias("id"), "k.text_hash")
     texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = components(similar_links(texts, nodes, shingle, similarity, words, budget, bands, band_bits))
-    named = kinds.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("kind"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("kind")).select("doc_id", "text_hash", "fp", "component_id")
+    classed = written(kinds.join(found, F.col("rep") == F.col("node"), "left").select("fp", "k", F.coalesce("component", "rep").alias("class")))
+    least = classed.groupBy("class").agg(F.min("k").alias("least"))
+    of = classed.join(least, "class").select(F.col("fp").alias("kind"), F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
+    return prints.join(of, F.col("fp") == F.col("kind")).drop("kind")
 
 
 #: For texts that share 0.8 or more of their five-word shingles: 256 bits, of which such texts differ in 39 (the angle of
-#: their sets of shingles, arccos(2J / (1 + J)) / pi) with a deviation of 6; unrelated texts differ in 128.
-NEAR = {"shingle": 5, "words": 4, "budget": 47, "bands": 64, "band_bits": 18, "similarity": 0.8}
+#: their sets of shingles, arccos(2J / (1 + J)) / pi) with a deviation of 6; unrelated texts differ in 128.  A budget of 58
+#: is three deviations more, and a pair of 39 differing bits is met with a chance of 0.99 in one of 64 choices of 16 bits.
+NEAR = {"shingle": 5, "words": 4, "budget": 58, "bands": 64, "band_bits": 16, "similarity": 0.8}
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest id, once if it's repeated."""
-    found = simhash_components(docs, text=text, doc_id=doc_id, **(how or NEAR)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    each = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("of"), "text_hash").agg(F.count("*").alias("n"))
-    keys = each.groupBy("doc_id", "of").agg(F.min(F.struct("text_hash", "n")).alias("k"))
-    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")))
-    kept = docs.join(keys, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")))
-    once = kept.where("_n = 1").drop("_id", "_hash", "_n")
-    repeated = keys.where("_n > 1")
-    return once if repeated.isEmpty() else once.unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash", "_n"))
+    """docs with one row of each group of near duplicates: that of the smallest id, once if it's repeated.
+
+    how: parameters of simhash_components other than NEAR's.  Of rows that share an id, each counts by its own text, and
+    of the smallest id's the one of the smallest text hash stays.  Rows without an id take part, after all others.  Null
+    and empty texts are one group; an empty table gives none.  All columns pass through.
+    """
+    found = _similar_components(docs, **(NEAR | how), text=text, doc_id=doc_id)
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
+    own, hashed, times = (fresh(docs, n) for n in ("id_of", "hash_of", "times_of"))
+    keys = written(found.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).agg(F.count("*").alias(times)))
+    kept = docs.join(keys, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(hashed)))
+    once = kept.where(F.col(times) == 1)
+    if not keys.where(F.col(times) > 1).isEmpty():
+        once = once.unionByName(kept.where(F.col(times) > 1).dropDuplicates([own, hashed]))
+    return once.drop(own, hashed, times)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mixed, powers, spans, text_bytes, word_hashes, written
+from cairn.llm.common import fresh, mixed, powers, spans, text_bytes, word_hashes, written
 
 #: The window that tiling starts with.
 SEARCH = 20
@@ -202,6 +202,7 @@ def contamination(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: fl
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that contamination() names."""
-    bad = contamination(docs, items, tile, coverage, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(written(bad), F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")
+    """docs without the rows that contamination() names; all their columns pass through, repeated rows stay repeated."""
+    own, hashed = (fresh(docs, n) for n in ("id_of", "hash_of"))
+    bad = contamination(docs, items, tile, coverage, doc_id, text).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(written(bad), F.col(doc_id).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")

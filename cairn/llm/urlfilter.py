@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import fresh, written
 from cairn.llm.graph import components
 
 
@@ -97,18 +97,21 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
 
     redirects: further edges, columns a and b of URLs.  A page that a rule fits has the rule's verdict.  Any other is
     blocked if a page or named address of its component is blocked by a rule and none is allowed by one; else `default`.
-    Pages without a host belong to no component.
+    Pages without a host belong to no component.  Null and empty URLs and HTML are pages without links; repeated pages each
+    have the same result, an empty table gives none.  Columns host, path, rule and verdict are replaced where pages has
+    them, all others pass through.
     """
     edges = alias_edges(pages, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")))
-    judged = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))}).withColumn("_match", matched(rules, F.col("host"), F.col("path")))
+    match, own, node, carries = (fresh(pages, n) for n in ("match_of", "address_of", "node_of", "carried_of"))
+    judged = pages.withColumns({own: address(F.col(url)), "host": host(F.col(url)), "path": path(F.col(url))}).withColumn(match, matched(rules, F.col("host"), F.col("path")))
     found = components(edges)
     full = F.concat(F.lit("x://"), F.col("node"))  # an address's host and path, whether a page has it or not
     ruled = found.withColumn("verdict", matched(rules, host(full), path(full))["verdict"])
     carried = ruled.groupBy("component").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allow"), F.max((F.col("verdict") == "block").cast("int")).alias("block"))
     blocked = carried.where("block = 1 and coalesce(allow, 0) = 0").select("component")
-    aliases = written(found.join(blocked, "component").select(F.col("node").alias("_node"), F.lit("block").alias("_carried")))
-    joined = judged.withColumn("_address", address(F.col(url))).join(aliases, F.col("_address") == F.col("_node"), "left")
-    verdict = F.coalesce(F.col("_match.verdict"), F.col("_carried"), F.lit(default))
-    return joined.withColumns({"rule": F.col("_match.rule"), "verdict": verdict}).drop("_match", "_address", "_node", "_carried")
+    aliases = written(found.join(blocked, "component").select(F.col("node").alias(node), F.lit("block").alias(carries)))
+    joined = judged.join(aliases, F.col(own) == F.col(node), "left")
+    verdict = F.coalesce(F.col(match)["verdict"], F.col(carries), F.lit(default))
+    return joined.withColumns({"rule": F.col(match)["rule"], "verdict": verdict}).drop(match, own, node, carries)

@@ -55,3 +55,33 @@ def test_hot_buckets_are_cut(spark):
     want = {(a, b) for a in label for b in label if a < b and label[a][0] == label[b][0] and label[a][1] != label[b][1]}
     assert want <= met
     assert not any(s >= 200 for b in buckets.values() for s in b)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just at 0.8 are found but for a few in a hundred, pairs just below it never are."""
+    draw, rows, over, under = random.Random(8), [], [], []
+    for i in range(240):
+        words = [f"w{draw.randrange(9000)}" for _ in range(draw.randint(150, 260))]
+        n, other = len(words) - 4, list(words)
+        # a word changed takes five shingles of each text: n - 5c of n + 5c are shared
+        c = int(n / 45) if i % 2 else int(n / 45) + 1
+        for k in range(c):
+            other[(2 * k + 1) * len(words) // (2 * c)] = f"x{i}-{k}"
+        a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (words, other))
+        (over if len(a & b) >= 0.8 * len(a | b) else under).append(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+    left = set(kept(spark, rows))
+    assert len(over) > 100 and len(under) > 100 and set(range(240)) <= left
+    assert len(left & set(over)) <= 0.05 * len(over) and set(under) <= left
+
+
+def test_rows_that_share_an_id(spark):
+    """Are apart where their texts are; rows without an id come after others; other columns pass through."""
+    draw = random.Random(9)
+    text = lambda: " ".join(f"w{draw.randrange(5000)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(5, a, "x"), (5, b, "x"), (5, a, "x"), (7, b + " end", "x"), (None, c, "x"), (None, a, "x"), (None, c, "x"), (8, None, "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id_of string").withColumns({n: F.lit("y") for n in ("_id", "_hash", "hash_of", "_n", "rep", "fp", "k")})
+    got = simhash.deduplicated(docs).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(5, a), (5, b), (-1, c), (8, "")])
+    assert {(r.id_of, r._id, r._hash, r.hash_of, r._n, r.rep, r.fp, r.k) for r in got} == {("x", *"yyyyyyy")}
