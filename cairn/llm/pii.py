@@ -32,7 +32,7 @@ _TITLE = "|".join(t for group in TITLES.values() for t in sorted(group, key=len,
 #: Patterns by kind; where two fit at a place, the first does.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*?\.\p{L}{2,}",
-    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3,4}}[^\p{{L}}\p{{N}}]\d{{3,4}}(?!\d)|\+\d{{1,3}}(?:[ .\-/]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\d\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|(?<![\p{{L}}\p{{N}}.,/\-])(?=(?:[ \-/.]?\d){{9,12}}(?![ \-/.]?\d))0\d{{1,4}}(?:[ \-/.]\d{{2,8}}){{1,4}}(?![\p{{L}}\p{{N}}])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3,4}}[^\p{{L}}\p{{N}}]\d{{3,4}}(?!\d)|\+\d{{1,3}}(?:[ .\-/]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\d\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|0(?<![\p{{L}}\p{{N}}.,/\-]0)(?=(?:[ \-/.]?\d){{8,11}}(?![ \-/.]?\d))\d{{1,4}}(?:[ \-/.]\d{{2,8}}){{1,4}}(?![\p{{L}}\p{{N}}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -42,8 +42,9 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A title and the name after it: initials, and up to three words.
 TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?){{0,3}}\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}"
-#: What a text with any entity has.
-_SIGN = rf"[@]|\d[^\p{{L}}]*\d[^\p{{L}}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{{20}}|(?:{_TITLE})\b"
+#: What a text with any entity but names has, and one with names.
+_SIGN = r"[@]|\d[^\p{L}]*\d[^\p{L}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{20}"
+_TITLE_SIGN = rf"(?:{_TITLE})\b"
 #: Letters by script: lower-case consonants and vowels, and all.
 _SCRIPTS = {
     "Cyrillic": ("бвгдзклмнпрст", "аеиоу", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
@@ -63,7 +64,7 @@ def name_words(text: Column) -> Column:
     """The words of names in a text, each once, also in capitals; of null, none."""
     words = F.flatten(_titled(text))
     words = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
-    return F.when(text.rlike(rf"(?:{_TITLE})\b"), words).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_TITLE_SIGN), words).otherwise(F.array().cast("array<string>"))
 
 
 def pattern_with(names: Column) -> Column:
@@ -75,7 +76,7 @@ def entities(text: Column, names: Column | None = None) -> Column:
     """All entities of a text in order, as it writes them; of null, none.  names: its name_words."""
     names = name_words(text) if names is None else names
     found = F.when(F.size(names) > 0, F.regexp_extract_all(text, pattern_with(names), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    return F.when(text.rlike(_SIGN), found).otherwise(F.array().cast("array<string>"))
+    return F.when((F.size(names) > 0) | text.rlike(_SIGN), found).otherwise(F.array().cast("array<string>"))
 
 
 def kind(raw: Column) -> Column:
@@ -181,14 +182,14 @@ def surrogates(found: Column, key: str) -> Column:
     return F.transform(carded, lambda e: F.when(e["kind"] == "card", F.concat(e["front"], _check_digit(digits(e["front"])))).otherwise(e["new"]))
 
 
-def _votes(text: Column) -> Column:
+def _votes(text: Column, names: Column) -> Column:
     """Structs raw, votes: for each titled name of two words or more its first word, with 1 for a woman's title, -1 for a man's."""
     woman, man = (rf"^(?:{'|'.join(TITLES[g])})\b" for g in "fm")
     titles = F.regexp_extract_all(text, F.lit(TITLED), F.lit(0))
     pairs = F.arrays_zip(titles.alias("t"), _titled(text).alias("w"))
     some = F.filter(pairs, lambda p: (F.size(p["w"]) > 1) & (p["t"].rlike(woman) | p["t"].rlike(man)))
     each = F.transform(some, lambda p: F.struct(p["w"][0].alias("raw"), F.when(p["t"].rlike(woman), 1).otherwise(-1).alias("votes")))
-    return F.when(text.rlike(rf"(?:{_TITLE})\b"), each).otherwise(F.array().cast("array<struct<raw:string,votes:int>>"))
+    return F.when(F.size(names) > 0, each).otherwise(F.array().cast("array<struct<raw:string,votes:int>>"))
 
 
 def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 30) -> DataFrame:
@@ -198,8 +199,10 @@ def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 30)
     Of entities that share a surrogate, in any of the ways that they are written, the smallest canonical form keeps it.
     Needs the distinct entities only; each round is a written table.  Raises if some entities find no free surrogate.
     """
-    plain = F.transform(F.array_distinct(entities(F.col(text))), lambda r: F.struct(r.alias("raw"), F.lit(0).alias("votes")))
-    raw = docs.select(F.inline(F.concat(plain, _votes(F.col(text))))).groupBy("raw").agg(F.sum("votes").alias("votes"))
+    t, names = F.col("t"), F.col("names")
+    named = docs.select(F.col(text).alias("t")).withColumn("names", name_words(t))
+    plain = F.transform(F.array_distinct(entities(t, names)), lambda r: F.struct(r.alias("raw"), F.lit(0).alias("votes")))
+    raw = named.select(F.inline(F.concat(plain, _votes(t, names)))).groupBy("raw").agg(F.sum("votes").alias("votes"))
     known = raw.select("votes", F.inline(described(F.array("raw")))).where("kind <> 'number'")
     found = written(known)
     votes = found.groupBy("kind", "canonical").agg(F.sum("votes").alias("sum"))
