@@ -12,10 +12,11 @@ are.  An item of fewer than `tile` words needs a run of all its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import fresh, mixed, powers, spans, text_bytes, word_hashes, written
@@ -36,7 +37,10 @@ def run_hashes(sums: np.ndarray, length: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles as (first word in doc, first word in item, length), longest first."""
+    """Tiles as (first word in doc, first word in item, length), longest first.
+
+    Always the longest run of free words is marked next; of equally long ones the first in doc, then in item.
+    """
     least = max(1, min(least, len(item)))
     free_d, free_i, found = np.ones(len(doc), bool), np.ones(len(item), bool), []
     sums_d, sums_i = prefix_sums(doc), prefix_sums(item)
@@ -68,10 +72,20 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         if now and now[0][2] > 2 * length:
             length = now[0][2]
             continue
-        for i, j, n in now:
-            if free_d[i : i + n].all() and free_i[j : j + n].all():
-                free_d[i : i + n] = free_i[j : j + n] = False
-                found.append((i, j, n))
+        heap = [(-n, i, j) for i, j, n in now]
+        heapify(heap)
+        while heap:
+            n, i, j = heappop(heap)
+            free = free_d[i : i - n] & free_i[j : j - n]
+            if free.all():
+                free_d[i : i - n] = free_i[j : j - n] = False
+                found.append((i, j, -n))
+                continue
+            # what an earlier tile leaves of it waits for its turn among the others
+            edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a >= length:
+                    heappush(heap, (a - b, i + a, j + a))
         if not now:
             if length == least:
                 break
@@ -180,6 +194,24 @@ def tiled(pairs: DataFrame, tile: int) -> DataFrame:
     return pairs.mapInArrow(of, schema)
 
 
+def seeded(some: DataFrame, known: DataFrame, enough: Column) -> DataFrame:
+    """Pairs row, item that share `enough` runs or more, counted as often as the item has them.
+
+    An item is joined on its rarer runs only: its commonest, of fewer than `enough` occurrences in all, are left out, as a
+    pair that shares enough has one of the others too.  So a run that many documents and items have in common brings pairs
+    together only where nothing rarer can.  All runs of these pairs then count.
+    """
+    seen = some.select("row", F.explode("seeds").alias("seed"))
+    often = seen.groupBy("seed").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("item").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    met = written(known.join(often, "seed").withColumn("enough", enough).withColumn("so_far", F.sum("times").over(order)))
+    pairs = seen.join(met.where("so_far >= enough").select("item", "seed"), "seed").select("row", "item").distinct()
+    runs = met.groupBy("item").agg(F.first("enough").alias("enough"), F.collect_list(F.struct("seed", "times")).alias("runs"))
+    both = pairs.join(some.select("row", "seeds"), "row").join(runs, "item")
+    shared = F.aggregate(F.filter("runs", lambda r: F.array_contains("seeds", r["seed"])), F.lit(0).cast("long"), lambda n, r: n + r["times"])
+    return both.where(shared >= F.col("enough")).select("row", "item")
+
+
 def contamination(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of documents and items of which at least `coverage` of the item's words are tiled.
 
@@ -192,10 +224,8 @@ def contamination(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: fl
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # tile values at most
     bloom = docs.sparkSession.sparkContext.broadcast(seed_filter(known))
     some = written(candidates(docs, bloom, lengths or [tile], doc_id, text).withColumn("row", F.monotonically_increasing_id()))
-    shared = some.select("row", F.explode("seeds").alias("seed")).join(known, "seed")
-    # every tiled word lies in a shared run, so fewer shared runs than this can't cover enough
-    enough = F.sum("times") * F.first("length") >= coverage * F.first("n_words")
-    pairs = shared.groupBy("row", "item").agg(enough.alias("enough")).where("enough").select("row", "item")
+    enough = F.ceil(F.lit(coverage) * F.col("n_words") / F.col("length"))  # every tiled word lies in a shared run
+    pairs = seeded(some, known, enough)
     both = pairs.join(some.select("row", "doc_id", "text_hash", "text"), "row").join(items.withColumnRenamed("text", "item_text"), "item")
     found = tiled(both.select("doc_id", "text_hash", "item_id", "text", "item_text"), tile)
     return found.withColumn("coverage", F.col("covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
