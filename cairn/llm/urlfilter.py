@@ -63,6 +63,29 @@ def matched(rules: list[Rule], host: Column, path: Column) -> Column:
     return found
 
 
+def matched_by_table(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """As matched, for distinct host and path of places and rules of any number (columns verdict, host, path): host, path, match.
+
+    Hosts meet rules by their suffixes, so this is an equi join; places that no rule fits are left out.
+    """
+    each = places.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    named = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "verdict")
+    met = each.withColumn("suffix", F.explode(suffixes)).join(named, "suffix").where(F.col("path").startswith(F.col("start")))
+    text = F.concat("suffix", "start")
+    best = F.max_by(F.struct(text.alias("rule"), "verdict"), F.struct(F.length(text), F.col("verdict") == "allow", text))
+    return met.groupBy("host", "path").agg(best.alias("match"))
+
+
+def with_match(places: DataFrame, rules: list[Rule] | DataFrame, name: str) -> DataFrame:
+    """places (host, path) with a column `name`: the rule that fits, as matched or matched_by_table says."""
+    if isinstance(rules, list):
+        return places.withColumn(name, matched(rules, F.col("host"), F.col("path")))
+    found = matched_by_table(places, rules).withColumnRenamed("match", name)
+    return places.join(found, ["host", "path"], "left").select(*places.columns, name)
+
+
 #: A link or meta tag, and the attribute values in it that name another address.
 _TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
 _CANONICAL = r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
@@ -92,10 +115,10 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return linked.select(address(F.col("url")).alias("a"), address(resolved(F.col("to"), F.col("url"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = "allow", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None, default: str = "allow", url: str = "url", html: str = "html") -> DataFrame:
     """pages with host, path, rule and verdict.
 
-    redirects: further edges, columns a and b of URLs.  A page that a rule fits has the rule's verdict.  Any other is
+    rules: a list, or for many rules a table (verdict, host, path).  redirects: further edges, columns a and b of URLs.  A page that a rule fits has the rule's verdict.  Any other is
     blocked if a page or named address of its component is blocked by a rule and none is allowed by one; else `default`.
     Pages without a host belong to no component.  Null and empty URLs and HTML are pages without links; repeated pages each
     have the same result, an empty table gives none.  Columns host, path, rule and verdict are replaced where pages has
@@ -105,10 +128,10 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if redirects is not None:
         edges = edges.unionByName(redirects.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")))
     match, own, node, carries = (fresh(pages, n) for n in ("match_of", "address_of", "node_of", "carried_of"))
-    judged = pages.withColumns({own: address(F.col(url)), "host": host(F.col(url)), "path": path(F.col(url))}).withColumn(match, matched(rules, F.col("host"), F.col("path")))
+    judged = with_match(pages.withColumns({own: address(F.col(url)), "host": host(F.col(url)), "path": path(F.col(url))}), rules, match)
     found = components(edges)
     full = F.concat(F.lit("x://"), F.col("node"))  # an address's host and path, whether a page has it or not
-    ruled = found.withColumn("verdict", matched(rules, host(full), path(full))["verdict"])
+    ruled = with_match(found.withColumns({"host": host(full), "path": path(full)}), rules, "match").withColumn("verdict", F.col("match")["verdict"])
     carried = ruled.groupBy("component").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allow"), F.max((F.col("verdict") == "block").cast("int")).alias("block"))
     blocked = carried.where("block = 1 and coalesce(allow, 0) = 0").select("component")
     aliases = written(found.join(blocked, "component").select(F.col("node").alias(node), F.lit("block").alias(carries)))

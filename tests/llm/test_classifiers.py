@@ -1,10 +1,12 @@
 """Networks and the compression classifier: gradients, held-out accuracy, odd inputs."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cairn.llm import compression, langid, sample, toxicity
@@ -167,6 +169,49 @@ def test_clashing_names(spark):
     assert {(r._lang, r.lang_of, r._lang_of, r.label, r.place, r.n, r.id) for r in found.collect()} == {("kept",) * 7}
 
 
+def forward(net, symbols):
+    """Features and logits of one sequence, place by place; a place may hold several symbols."""
+    x = np.array([net.emb[np.atleast_1d(s)].sum(axis=0) for s in symbols], np.float64)
+    h = [max(sum(x[i + j] @ f[j][:, c] for j in range(w)) + b[c] for i in range(len(x) - w + 1)) for w, (f, b) in net.filters.items() for c in range(f.shape[2])]
+    return np.maximum(h, 0) @ net.out + net.bias
+
+
+def test_against_plain_versions(spark):
+    """Scores of odd and given texts, computed text by text and place by place."""
+    docs, labels, _ = corpus(spark, 120)
+    learn = labels.where(crc_mod(F.col("id"), 5) > 0)
+    some = ODD[:5] + ODD[7:] + ["word " * 200, "abcde fghij idiot", "x" * 700, "idiot é"]
+    texts = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").withColumn("lang", F.lit("xx"))
+
+    model = langid.fit(docs, F.lit(True))
+    for r in langid.with_language(texts, model).collect():
+        data = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = 0
+        for i in range(0, len(data), langid.WINDOW):
+            part = data[i : i + langid.WINDOW]
+            total = total + len(part) * np.log(softmax(forward(model, [b + 1 for b in part] + [0] * (langid.WINDOW - len(part)))[None])[0] + 1e-9)
+        assert r.lang_pred == model.classes[int(np.argmax(total))] and abs(r.score - softmax(total[None] / len(data))[0].max()) < 1e-4
+
+    model = toxicity.fit(docs, learn.withColumnRenamed("toxic", "label"))
+    symbol, pad = toxicity.symbols(model.known), max(toxicity.WIDTHS) - 1
+    for r in toxicity.with_toxicity(texts, model).collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").lower().encode())
+        places = [symbol[toxicity.buckets(word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]), toxicity.PREFIXES)[0][0])] for w in words]
+        zero = [np.zeros(1 + len(toxicity.PREFIXES), int)] * pad
+        a, b = forward(model.net, zero + places + zero)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * (b - a) + model.shift)))) < 1e-4
+
+    model = compression.fit(docs, learn.withColumnRenamed("quality", "label"))
+    size = lambda data, known: sum(len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(known), write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[i : i + compression.PIECE])) for i in range(0, len(data), compression.PIECE))
+    for r in compression.with_quality(texts, model).collect():
+        data = (r.text or "").encode()
+        want = 1 / (1 + np.exp(-(model.slope * (size(data, model.bad) - size(data, model.good)) / len(data) + model.shift))) if data else model.prior
+        assert abs(r.score - want) < 1e-6
+
+
 @pytest.mark.parametrize("name, column, least", [("op8_language", "lang_pred", 0.93), ("op4_quality", "quality", 0.9), ("op9_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, column, least):
     sf_dir = "/root/testdata/sf0.01"

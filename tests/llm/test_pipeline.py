@@ -24,3 +24,27 @@ def test_pipeline(spark, tmp_path):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert rows[105].n_chars == len(docs[-1][1])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, id_of string"
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and columns, shared ids, repeated rows, very long and empty texts, extra columns, no benchmark."""
+    draw = random.Random(6)
+    text = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    a, b, long = text(60), text(60), text(60_000)
+    rows = [(1, a, "xx"), (1, b, None), (1, a, "xx"), (None, text(50), None), (2, long, "yy"), (3, "", "xx"), (4, None, None), (5, "é", "yy")]
+    docs = [(i, t, lang, None, None, "l", "o") for i, t, lang in rows]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted([(0, 299), (1, len(a)), (1, len(b)), (2, len(long)), (5, 1)])
+    assert all(r.lossless for r in got)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path))
+        assert out.count() == 0 and (name == "tokens" or out.columns == corpus_pipeline.COLUMNS)

@@ -170,6 +170,8 @@ def test_url_filter(spark):
     assert got[5] == got[6] == ("allow", None) and got[7] == ("allow", "com/")
     assert got[8] == got[9] == ("allow", None)
     assert got[10] == ("allow", "www.example.com/en/") and got[11] == ("block", "example.com/en/") and got[12] == ("allow", "com/") and got[13] == ("allow", None)
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules] + [("block", "com", "/")], "verdict string, host string, path string")
+    assert {r.page_id: (r.verdict, r.rule) for r in urlfilter.judge(pages, table).collect()} == got
     more = spark.createDataFrame([("http://c.example.org/z?", "http://blocked.net/es/9")], "a string, b string")
     got = {r.page_id: r.verdict for r in urlfilter.judge(pages, rules, more).collect()}
     assert got[2] == "allow" and got[4] == "block"
@@ -178,6 +180,13 @@ def test_url_filter(spark):
     assert (row.host, row.path, row.verdict) == ("h.com", "/p", "allow")
 
 
+def test_url_filter_columns(spark):
+    pages = spark.createDataFrame([(1, "http://blocked.net/es/x", None), (1, "http://blocked.net/es/x", None), (2, "", "")], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("kept") for c in ("_node", "node_of", "_match", "match_of", "_carried", "carried_of", "address_of", "component", "node")})
+    got = urlfilter.judge(pages, [urlfilter.Rule("block", "net", "/es/")]).collect()
+    assert [(r.verdict, r.node_of, r._node, r.component) for r in sorted(got, key=lambda r: r.page_id)] == [("block", "kept", "kept", "kept")] * 2 + [("allow", "kept", "kept", "kept")]
+
+
 def test_majority_of_long_texts():
     h = np.random.default_rng(0).integers(0, 2**63, 200_000, dtype=np.int64).view(np.uint64)
     want = sum(1 << b for b in range(64) if int(((h >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(h))
