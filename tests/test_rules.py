@@ -234,6 +234,18 @@ def test_empty_tables(spark, sf_dir):
     assert contours.contour_lines(contours.contour_segments(derived(spark, sf_dir, "elevation").limit(0), 5.0), 5.0).count() == 0
 
 
+def test_recordings_against_a_replay(spark, sf_dir):
+    """The registered query against a loop over all events of each device."""
+    from cairn.plans.queries import recorder_events, recordings
+
+    want, states = [], {}
+    for e in sorted((r.asDict() for r in recorder_events(spark, sf_dir).collect()), key=lambda e: (e["ts"], e["seq"])):
+        made = recorder.step(states.setdefault(e["device_id"], recorder.new_state()), e)
+        if made:
+            want.append((e["device_id"], made["ordinal"], made["category"], made["object_type"], made["source"], made["created_at"], len(made["coordinates"])))
+    assert want and sorted(map(str, map(tuple, recordings(spark, sf_dir).collect()))) == sorted(map(str, want))
+
+
 def test_stream_of_recordings(spark, tmp_path):
     """Events in any batches give the rows of the batch recorder; late ones are dropped and counted; abandoned lines go."""
     from cairn.streaming import fixes as streams
