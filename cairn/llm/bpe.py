@@ -289,11 +289,13 @@ def kinds() -> np.ndarray:
     """Each code point's class: 1 letter, 2 number, 3 white space, 0 other."""
     if not _kinds:
         found = np.zeros(0x110000, np.uint8)
-        known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        text = "".join(map(chr, known))
-        for k, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
-            for m in regex.finditer(pattern, text):
-                found[known[m.start()] : known[m.end() - 1] + 1] = k
+        for first in range(0, 0x110000, 0x800):
+            if first == 0xD800:  # surrogates, which texts don't hold
+                continue
+            text = "".join(map(chr, range(first, first + 0x800)))
+            for k, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+                for m in regex.finditer(pattern, text):
+                    found[first + m.start() : first + m.end()] = k
         _kinds.append(found)
     return _kinds[0]
 
