@@ -6,7 +6,7 @@ pairs of nodes go down together, add up differing bits and are dropped when thes
 than `bucket_rows` fingerprints is dealt anew by one more part, which loses no link.
 
 Where a similarity of texts is asked for, fingerprints only propose pairs: each link is checked by the shared part of the
-texts' distinct shingles.
+texts' distinct shingles.  Pairs are compared within tasks, and only those that join something are written.
 """
 
 from __future__ import annotations
@@ -295,19 +295,65 @@ def _stars(dealt: DataFrame, words: int, budget: int, rows_at_once: int = 50_000
     return dealt.select("bucket", *names, "rep").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, _PAIR).distinct()
 
 
-def _close_pairs(dealt: DataFrame, words: int, budget: int, similarity: float, rows_at_once: int = 50_000) -> DataFrame:
-    """Of buckets (bucket, fp0.., set, n, rep, label), all close pairs of different labels whose sizes n allow the similarity."""
-    names = [*(f"fp{i}" for i in range(words)), "set"]
+class Sets:
+    """Sets of shingles of some rows, to count what pairs of them share."""
+
+    def __init__(self, shingles: pa.Array):
+        self.size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.r_[0, np.cumsum(self.size)]
+        known, self.item = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+
+    def similar(self, a: int, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether row a shares that part of its set with each of rows b."""
+        own = self.item[self.first[a] : self.first[a + 1]]
+        self.mark[own] = True
+        size = self.size[b]
+        at = np.repeat(self.first[b] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.diff(np.r_[0, np.cumsum(self.mark[self.item[at]])][np.r_[0, np.cumsum(size)]])
+        self.mark[own] = False
+        either = len(own) + size - common
+        return (common == either) | (common / np.maximum(either, 1) >= similarity)
+
+
+def similar_pairs(prints: np.ndarray, label: np.ndarray, sets: Sets, words: int, budget: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of close fingerprints whose sets are similar, so many as join labels that they join: fewer than labels."""
+    forest = Forest(np.zeros(len(label), np.int64), prints, words)
+    now, found = np.unique(label, return_inverse=True)[1], []
+    for a, b in forest.pairs(label, budget):
+        less, more = np.minimum(sets.size[a], sets.size[b]), np.maximum(sets.size[a], sets.size[b])
+        a, b = (x[less >= similarity * more - 1e-6] for x in (a, b))
+        if not len(a):
+            continue
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            one, others = int(a[i]), b[i:j]
+            others = others[now[others] != now[one]]
+            if not len(others):
+                continue
+            for other in others[sets.similar(one, others, similarity)].tolist():
+                if now[other] != now[one]:
+                    now[now == now[other]] = now[one]
+                    found.append((one, other))
+        forest.label = now[forest.order]
+    return found
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_buckets(batches, ["bucket", *names, "n", "rep", "label"], rows_at_once):
-            for a, b in Forest(rows["bucket"], _prints(rows, names), words).pairs(rows["label"], budget):
-                less, more = np.minimum(rows["n"][a], rows["n"][b]), np.maximum(rows["n"][a], rows["n"][b])
-                a, b = a[less >= similarity * more - 1e-6], b[less >= similarity * more - 1e-6]
-                first = rows["set"][a] < rows["set"][b]
-                yield _pair_batch(rows, np.where(first, a, b), np.where(first, b, a))
 
-    return dealt.select("bucket", *names, "n", "rep", "label").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, _PAIR).distinct()
+def _links_in_clusters(rows: DataFrame, words: int, budget: int, similarity: float) -> DataFrame:
+    """Of clusters (bucket, fp, rep, label, shingles), links a, b that join labels; sets are compared where they are."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        prints = whole(t["fp"]).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+        rep = t["rep"].to_numpy()
+        pairs = similar_pairs(np.ascontiguousarray(prints), t["label"].to_numpy(), Sets(whole(t["shingles"])), words, budget, similarity)
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
+
+    return rows.select("bucket", "fp", "rep", "label", "shingles").groupBy("bucket").applyInArrow(solve, "a bigint, b bigint")
 
 
 def _with_shingles(links: DataFrame, sets: DataFrame, side: str, at_once: int = 1000) -> DataFrame:
@@ -361,31 +407,42 @@ def _meeting(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
     return found.withColumn("bucket", F.explode(to)).drop("main", "mains", "rests", "block")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000, cluster_rows: int = 4000) -> DataFrame:
     """Links a, b between nodes (fp, set, n, rep, id, text_hash) that share `similarity` of their distinct shingles.
 
-    Their components are those of all such pairs that fingerprints propose: first each node is checked against one of its
-    class in every bucket; then every proposed pair whose nodes these links leave apart.  docs has _id, _hash, _text, and
-    rep numbers the nodes.
-    Buckets of over bucket_rows nodes are cut: for the first step into blocks, others in each band; for the second so
-    that all nodes left apart still meet.
+    Their components are those of all such pairs that fingerprints propose.  First each node is checked against one of its
+    class in every bucket, which joins most of what belongs together.  What fingerprints propose makes clusters; in those
+    whose nodes these links leave apart, the nodes' sets of shingles are compared where they are, and only links that join
+    something leave the task: no pairs are written.  Buckets of over bucket_rows nodes are cut into blocks, and count as
+    one cluster; clusters of over cluster_rows are cut so that all nodes left apart still meet.  docs has _id, _hash, _text,
+    and rep numbers the nodes.
     """
 
-    def checked(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("a_set").alias("set")).union(links.select("b_set")).distinct()
-        at = nodes.join(ends, "set", "left_semi").select("set", "id", "text_hash")
-        texts = docs.join(at, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")))
-        return written(_verified(links, texts.select("set", "_text"), shingle, similarity))
+    def texts_of(sets: DataFrame) -> DataFrame:
+        at = nodes.join(sets, "set", "left_semi").select("set", "id", "text_hash")
+        return docs.join(at, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("set", "_text")
 
     rows = _banded(nodes, words, bands, band_bits, "set", "rep")
-    hot = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
+    hot = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where(F.col("n") > bucket_rows))
     none = hot.isEmpty()
-    good = checked(written(_stars(rows if none else _in_blocks(rows, hot, bucket_rows), words, budget)))
+    stars = written(_stars(rows if none else _in_blocks(rows, hot.drop("first"), bucket_rows), words, budget))
+    ends = stars.select(F.col("a_set").alias("set")).union(stars.select("b_set")).distinct()
+    good = written(_verified(stars, texts_of(ends), shingle, similarity))
     label = components(good)
-    labelled = written(nodes.join(label, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component"))
-    rows = _banded(labelled, words, bands, band_bits, "set", "n", "rep", "label")
-    apart = written(_close_pairs(rows if none else _meeting(rows, hot, bucket_rows), words, budget, similarity))
-    return good.unionByName(checked(apart))
+    proposed = stars.select("a", "b")
+    if not none:
+        proposed = proposed.unionByName(rows.join(hot, "bucket").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
+    cluster = components(proposed).select(F.col("node").alias("rep"), F.col("component").alias("bucket"))
+    labelled = nodes.join(cluster, "rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", "fp", "set", "bucket", F.coalesce("component", "rep").alias("label"))
+    labelled = written(labelled)
+    apart = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket", "n")
+    apart = written(apart)
+    left = written(labelled.join(apart, "bucket", "left_semi"))
+    sets = texts_of(left.select("set").distinct()).select("set", shingles(F.col("_text"), shingle).alias("shingles"))
+    sets = written(sets.groupBy("set").agg(F.first("shingles").alias("shingles")))
+    large = apart.where(F.col("n") > cluster_rows)
+    cut = left if large.isEmpty() else _meeting(left, large, cluster_rows)
+    return good.unionByName(_links_in_clusters(cut.join(sets, "set"), words, budget, similarity))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words: int = 1, bands: int = 0, band_bits: int = 0, similarity: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.llm import simhash
@@ -85,3 +87,39 @@ def test_rows_that_share_an_id(spark):
     got = simhash.deduplicated(docs).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(5, a), (5, b), (-1, c), (8, "")])
     assert {(r.id_of, r._id, r._hash, r.hash_of, r._n, r.rep, r.fp, r.k) for r in got} == {("x", *"yyyyyyy")}
+
+
+def test_no_pairs_are_written(spark):
+    """A group of near copies that are close by fingerprint, of which few pairs are similar: links are fewer than rows."""
+    draw = np.random.default_rng(2)
+    base = np.arange(400)
+    rows = [np.unique(np.where(draw.random(400) < share, draw.integers(1000, 10**6, 400), base)) for share in draw.choice([0.02, 0.08, 0.14], 300)]
+    sets = simhash.Sets(pa.array([r.tolist() for r in rows], pa.list_(pa.int64())))
+    label = np.arange(300)
+    prints = np.zeros((300, 5), np.uint64)
+    prints[:, 0], prints[:, 4] = draw.integers(0, 8, 300), label  # equal fingerprints, told apart by a fifth word
+    got = simhash.similar_pairs(prints, label, sets, 4, 256, 0.8)
+    want = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            n = len(np.intersect1d(rows[i], rows[j]))
+            if n >= 0.8 * (len(rows[i]) + len(rows[j]) - n):
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    assert len(got) == 300 - len(set(want)) and 1 < len(set(want)) < 250
+    for a, b in got:
+        assert want[a] == want[b]
+
+
+def test_clusters_that_are_cut(spark, monkeypatch):
+    """Clusters and buckets of many rows, cut into small blocks, give the same groups."""
+    draw = random.Random(4)
+    words = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+    base = [words(60) for _ in range(4)]
+    texts = [" ".join(b[: len(b) - k]) for b in base for k in (0, 3, 6, 9, 12, 15)] + [" ".join(words(60)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = simhash.similar_links
+    how = dict(shingle=5, words=4, budget=256, bands=1, band_bits=0, similarity=0.8)
+    want = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, **how).collect()}
+    monkeypatch.setattr(simhash, "similar_links", lambda *a: whole(*a, bucket_rows=8, cluster_rows=6))
+    assert {r.doc_id: r.component_id for r in simhash.simhash_components(docs, **how).collect()} == want and len(set(want.values())) < 15
