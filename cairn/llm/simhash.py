@@ -407,7 +407,7 @@ def _meeting(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
     return found.withColumn("bucket", F.explode(to)).drop("main", "mains", "rests", "block")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000, cluster_rows: int = 4000) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000, cluster_rows: int = 1000) -> DataFrame:
     """Links a, b between nodes (fp, set, n, rep, id, text_hash) that share `similarity` of their distinct shingles.
 
     Their components are those of all such pairs that fingerprints propose.  First each node is checked against one of its
