@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, compression, knn, langid, pii, tiling, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, infill, knn, langid, pii, tiling, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
@@ -92,6 +92,12 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, unit="line", percent=100, spm_percent=50)
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((F.col("fim"), "output_sha256"), (infill.restored(F.col("form"), F.col("fim")), "restored_sha256"))]
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": op1_topk,
@@ -104,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_urlfilter": op10_urlfilter,
+        "op12_infill": op12_infill,
     }
 
 
@@ -144,7 +151,17 @@ select u.page_id, m.host, m.path, m.rule, case when m.rule in ('com/', 'www.exam
 from u join m on m.url = u.url left join aliases al on al.address = m.address and m.host <> ''
 """
 
+_OP12 = r"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u, sha256('7:' || doc_id) x from documents),
+h as (select *, len(u) n, ('0x' || x[1:8])::bigint h1, ('0x' || x[9:16])::bigint h2, ('0x' || x[17:24])::bigint h3, ('0x' || x[25:32])::bigint h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) i, greatest(h1 % (n + 1), h2 % (n + 1)) j,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from h),
+p as (select *, array_to_string(u[1:i], '') a, array_to_string(u[i + 1:j], '') m, array_to_string(u[j + 1:], '') z from c)
+select doc_id, n, form, case when form <> 'plain' then length(a) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against plain versions."""
-    return {"op1_topk": _OP1, "op7_chat": _OP7, "op10_urlfilter": _OP10}
+    return {"op1_topk": _OP1, "op7_chat": _OP7, "op10_urlfilter": _OP10, "op12_infill": _OP12}
