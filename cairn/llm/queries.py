@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, compression, infill, knn, langid, pii, tiling, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, infill, knn, langid, pii, prefixes, tiling, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
@@ -98,6 +98,26 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
 
 
+def _rebuilt(turns: DataFrame) -> DataFrame:
+    """Of the contract: the first h turns of conversation c - c % 100, then c's own after its first h; h is crc32(c) % 6.
+
+    turns and the result are as prefixes.digests makes them; a row without a digest stands for each conversation itself.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "digest")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    placed = turns.withColumn("turn", F.row_number().over(order))
+    own = placed.where(F.col("turn") > h)
+    convs = turns.select("conv_id").distinct().withColumns({"base": F.col("conv_id") - F.col("conv_id") % 100, "h": h})
+    first = placed.where("turn <= 5 and conv_id % 100 = 0").withColumnRenamed("conv_id", "base")
+    lent = convs.join(first, "base").where("turn <= h").select(own.columns)
+    itself = convs.select("conv_id", F.lit(0).alias("turn"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("chars"))
+    return own.unionByName(lent).unionByName(itself)
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(_rebuilt(prefixes.digests(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": op1_topk,
@@ -111,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": op9_toxicity,
         "op10_urlfilter": op10_urlfilter,
         "op12_infill": op12_infill,
+        "op13_prefixes": op13_prefixes,
     }
 
 
