@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, compression, infill, knn, langid, pii, prefixes, tiling, toxicity, urlfilter
+from cairn.llm import bpe, chat, compression, infill, knn, langid, lsh, pii, prefixes, tiling, toxicity, urlfilter
 from cairn.llm.common import crc_mod, table
 from cairn.llm.simhash import simhash_components
 
@@ -92,6 +92,11 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", lsh.finite("embedding").alias("vec"))
+    return lsh.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, unit="line", percent=100, spm_percent=50)
     digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((F.col("fim"), "output_sha256"), (infill.restored(F.col("form"), F.col("fim")), "restored_sha256"))]
@@ -130,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_urlfilter": op10_urlfilter,
+        "op11_neighbours": op11_neighbours,
         "op12_infill": op12_infill,
         "op13_prefixes": op13_prefixes,
     }
