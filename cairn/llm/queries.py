@@ -188,7 +188,26 @@ select doc_id, n, form, case when form <> 'plain' then length(a) end prefix_char
     sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p
 """
 
+_OP13 = """
+with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first) p, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') k, length(coalesce(text, '')) n
+    from conversations where conv_id is not null),
+ids as (select distinct c, list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i::int, 1))) bytes from t),
+h as (select c, (4294967295 - list_reduce(list_prepend(4294967295::bigint, bytes), lambda x, y:
+    list_reduce(list_prepend(xor(x, y::bigint), range(8)), lambda v, i: xor(v // 2, (v % 2) * 3988292384)))) % 6 h from ids),
+r as (select c, p, k, n from t join h using (c) where p > h union all select h.c, t.p, t.k, t.n from h join t on t.c = h.c - h.c % 100 where t.p <= h.h),
+l as (select h.c, coalesce(list(md5(k) order by p) filter (where k is not null), []) ks, coalesce(list(n order by p) filter (where k is not null), []) ns from h left join r using (c) group by h.c),
+d as (select *, unnest(range(0, len(ks) + 1)) d from l),
+x as (select c, d, md5(array_to_string(ks[1:d], ',')) node, md5(array_to_string(ks[1:d - 1], ',')) parent, case when d > 0 then ns[d] else 0 end n, d = len(ks) is_end from d),
+nodes as (select node, d depth, min(c) conv_id, min(parent) parent, count(*) n_convs, min(n) n, coalesce(string_agg(c::varchar, ',' order by c) filter (where is_end), '') ends from x group by node, d),
+kids as (select parent, depth - 1 depth, count(*) n_children from nodes where depth > 0 group by 1, 2),
+below as (select distinct a.node, a.d, b.node other, b.d other_d from x a join x b on a.c = b.c and b.d >= a.d),
+sums as (select below.node, below.d depth, sum((k.n_children is null)::int) n_leaves, sum((m.n_convs - 1) * m.n) saved from below join nodes m on m.node = below.other and m.depth = below.other_d
+    left join kids k on k.parent = m.node and k.depth = m.depth group by 1, 2)
+select n.conv_id, n.depth, u.conv_id parent_conv_id, n.n_convs, coalesce(k.n_children, 0) n_children, s.n_leaves::bigint n_leaves, s.saved::bigint saved_tokens, sha256(n.ends) ends_sha256
+from nodes n join sums s on s.node = n.node and s.depth = n.depth left join kids k on k.parent = n.node and k.depth = n.depth left join nodes u on n.depth > 0 and u.node = n.parent and u.depth = n.depth - 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against plain versions."""
-    return {"op1_topk": _OP1, "op7_chat": _OP7, "op10_urlfilter": _OP10, "op12_infill": _OP12}
+    return {"op1_topk": _OP1, "op7_chat": _OP7, "op10_urlfilter": _OP10, "op12_infill": _OP12, "op13_prefixes": _OP13}
