@@ -202,17 +202,33 @@ class Index:
         self.factor = self._factor()
         radius = float(np.median(reach(self.sample, self.sample, k, self.factor)))
         width = radius if np.isfinite(radius) and radius > 0 else 1.0
-        trial = Hashes.new(size, 1, FUNCTIONS, width)
-        self.hashes = Hashes.new(size, tables, self._functions(trial.places(self.sample)[:, 0], bucket or max(16, math.isqrt(self.n))), width)
-
-    def _functions(self, places: np.ndarray, bucket: int) -> int:
-        """So many functions as make buckets of `bucket` rows, by the chance that two rows of the sample share a slot."""
-        share = []
-        for column in np.floor(places).T:
-            n = np.unique(column, return_counts=True)[1]
-            share.append((n * (n - 1)).sum() / max(1, len(column) * (len(column) - 1)))
-        together = float(np.clip(np.exp(np.mean(np.log(np.clip(share, 1e-6, 1)))), 1e-6, 0.99))
-        return int(np.clip(math.ceil(math.log(max(1.0, self.n / bucket)) / -math.log(together)), 1, FUNCTIONS))
+        functions, wider = self._functions(width, bucket or max(16, 4 * math.isqrt(self.n)))
+        self.hashes = Hashes.new(size, tables, functions, wider)
+
+    def _functions(self, width: float, bucket: int) -> tuple[int, float]:
+        """So many functions, with slots of `width` or somewhat wider, as make buckets of `bucket` rows.
+
+        That is by the chance that two rows of the sample share a slot: at this width, functions are enough; for a whole
+        number of them slots are then as wide as they may be.
+        """
+        lines = np.random.default_rng(SEED + 1).normal(size=(self.size, FUNCTIONS))
+        at = self.sample @ lines
+        wanted = math.log(min(1.0, bucket / self.n))
+
+        def together(w: float) -> float:
+            """The mean logarithm of that chance."""
+            share = []
+            for column in np.floor(np.clip(np.nan_to_num(at / w), -(2.0**40), 2.0**40)).T:
+                n = np.unique(column, return_counts=True)[1]
+                share.append((n * (n - 1)).sum() / max(1, len(column) * (len(column) - 1)))
+            return float(np.mean(np.log(np.clip(share, 1e-6, 0.99))))
+
+        functions = int(np.clip(math.ceil(wanted / together(width)), 1, FUNCTIONS))
+        low, high = width, 8 * width
+        for _ in range(20):
+            middle = (low + high) / 2
+            low, high = (middle, high) if functions * together(middle) < wanted else (low, middle)
+        return functions, low
 
     def _factor(self) -> float:
         """How far the k-th of all rows is, over how far the k-th of the sample is: exceeded by few of the rows tried."""
@@ -327,8 +343,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES,
     overflow make infinite distances.  Columns but these two and those of is_query are left out, whatever their names.
 
     chance is what a neighbour at the assumed distance is met with; nearer ones are met more often.  bucket: the rows of a
-    bucket that the number of functions aims at, by default the root of all rows, so that a query weighs as many buckets as
-    rows of each.  A query whose neighbours lie in too many buckets sees all rows.
+    bucket that the number of functions aims at, by default four times the root of all rows, since to visit a bucket
+    costs as much as to compare some rows.  A query whose neighbours lie in too many buckets sees all rows.
     """
     ready = prepared(vectors, is_query, k, vec_id, vec)
     if ready is None or ready[1].isEmpty():
