@@ -40,7 +40,8 @@ class Visitor:
     """What each kind of part becomes: a placeholder or text, its attachment reference and its expanded token count.
 
     Counts: an image takes a token for each `patch` x `patch` pixels, sides rounded up; audio takes `rate` tokens a
-    second, rounded up; a document takes `per_page` tokens a page.  Unknown sizes count as one patch, second or page.
+    second, rounded up; a document takes `per_page` tokens a page.  Unknown sizes count as one patch, second or page, and
+    no size counts as less than none.
     """
 
     def __init__(self, template: Template, patch: int = 14, rate: int = 25, per_page: int = 256):
@@ -54,10 +55,10 @@ class Visitor:
         return self._piece(F.lit("<|image|>"), part["ref"], side(part["width"]) * side(part["height"]))
 
     def audio(self, part: Column) -> Column:
-        return self._piece(F.lit("<|audio|>"), part["ref"], F.ceil(F.coalesce(part["seconds"], F.lit(1.0)) * self.rate))
+        return self._piece(F.lit("<|audio|>"), part["ref"], F.ceil(F.greatest(F.coalesce(part["seconds"], F.lit(1.0)), F.lit(0.0)) * self.rate))
 
     def document(self, part: Column) -> Column:
-        return self._piece(F.lit("<|document|>"), part["ref"], F.coalesce(part["pages"], F.lit(1)) * self.per_page)
+        return self._piece(F.lit("<|document|>"), part["ref"], F.greatest(F.coalesce(part["pages"], F.lit(1)), F.lit(0)) * self.per_page)
 
     def other(self, part: Column) -> Column:
         """A kind without a method keeps its place, takes no tokens and keeps its reference."""
@@ -103,7 +104,7 @@ def formatted(turns: DataFrame, template: Template | None = None, visitor: Visit
 
     A conversation's text is its rows' formatted in the order of turn.  Null parts are left out, null parts arrays and
     null texts are empty, a null role is empty.  Roles are escaped like texts.  The loss mask covers a turn's text
-    without its marks.
+    without its marks.  Repeated rows are repeated turns; an empty table gives none; columns named as results are replaced.
     """
     template = template or Template()
     visitor = visitor or Visitor(template)
@@ -145,7 +146,8 @@ def read_back(turns: DataFrame, template: Template | None = None, conv_id: str =
     turns whatever the length of a conversation.  Rows of the same turn go by their text; null ids are one conversation.
     """
     template = template or Template()
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), "formatted", "loss_start", "loss_length")
+    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
@@ -160,8 +162,9 @@ def read_back(turns: DataFrame, template: Template | None = None, conv_id: str =
             done.clear()
             return rows
 
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
+            kinds[0] = batch["conv_id"].type
             for key, text, start, length in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_length"))):
                 if now is None or now[0] != key:
                     close()
@@ -180,5 +183,4 @@ def read_back(turns: DataFrame, template: Template | None = None, conv_id: str =
         if done:
             yield flushed()
 
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), "formatted", "loss_start", "loss_length")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").drop("turn").mapInArrow(digests, schema)

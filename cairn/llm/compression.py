@@ -35,12 +35,16 @@ class Quality:
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary; the texts themselves where they are too few to train on."""
+    """A trained dictionary of at most `size` bytes.
+
+    Texts too few to train on are the dictionary themselves; where they take more than `size`, pieces from all over them.
+    """
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[:size]
+        step = max(1, -(-sum(map(len, pieces)) // size))
+        return b"".join(pieces[::step])[:size]
 
 
 class Sizer:

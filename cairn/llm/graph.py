@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairn.llm.common import written
@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and their number and a checksum, which are taken while they are."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return table, (seen.get["n"], seen.get["s"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Of an edge table, each node's component: columns node and component, the smallest node that it reaches.
 
@@ -32,10 +39,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now, before = written(now.distinct()), None
+    (now, mark), before = _marked(now.distinct()), None
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before or not mark.n:
+        if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, now = mark, written(_small_star(_large_star(now).distinct()).distinct())
+        before, (now, mark) = mark, _marked(_small_star(_large_star(now).distinct()).distinct())
     raise RuntimeError(f"components: not done after {max_rounds} rounds")

@@ -104,8 +104,18 @@ def _summaries(data: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray,
     return near, far, count
 
 
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products as 64-bit integers; those beyond them are the largest or smallest one."""
+    about = q.astype(np.float64) @ x.astype(np.float64)
+    with np.errstate(over="ignore"):
+        found = q @ x
+    found[about >= 2.0**63] = np.iinfo(np.int64).max
+    found[about <= -(2.0**63)] = np.iinfo(np.int64).min + 1
+    return found
+
+
 def _solved(data: DataFrame, asks: DataFrame, size: int, k: int) -> DataFrame:
-    """The k + 1 best of data (grp, block, raw, ids) for each of asks (grp, block, entry, raw): entry, vec_id, score."""
+    """The k + 1 best of data (grp, block, part, raw, ids) for each of asks (grp, block, part, entry, raw): entry, vec_id, score."""
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -119,7 +129,7 @@ def _solved(data: DataFrame, asks: DataFrame, size: int, k: int) -> DataFrame:
             turned = x.T.astype(np.float64) if exact else x.T
             for a in range(0, len(q), 256):
                 part = q[a : a + 256]
-                s = (part.astype(np.float64) @ turned).astype(np.int64) if exact else part @ turned
+                s = (part.astype(np.float64) @ turned).astype(np.int64) if exact else _products(part, turned)
                 n = min(k + 1, s.shape[1])
                 worst = -np.partition(-s, n - 1, axis=1)[:, n - 1]
                 for i in range(len(part)):
@@ -130,15 +140,21 @@ def _solved(data: DataFrame, asks: DataFrame, size: int, k: int) -> DataFrame:
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({"entry": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64())})
 
-    have = data.select("grp", "block", F.lit(None).cast("long").alias("entry"), "raw", "ids")
-    wanted = asks.select("grp", "block", "entry", "raw", F.lit(None).cast("array<bigint>").alias("ids"))
-    return have.unionByName(wanted).groupBy("grp", "block").applyInArrow(solve, "entry bigint, vec_id bigint, score bigint")
+    have = data.select("grp", "block", "part", F.lit(None).cast("long").alias("entry"), "raw", "ids")
+    wanted = asks.select("grp", "block", "part", "entry", "raw", F.lit(None).cast("array<bigint>").alias("ids"))
+    return have.unionByName(wanted).groupBy("grp", "block", "part").applyInArrow(solve, "entry bigint, vec_id bigint, score bigint")
 
 
 def _in_blocks(data: DataFrame, asks: DataFrame, blocks: DataFrame, size: int, k: int) -> DataFrame:
-    """_solved, for data and asks with a grp, cut as blocks (grp, n_blocks) says."""
-    cut = data.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("raw"), F.col("n_blocks")))
-    sent = asks.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    """_solved, for data and asks with a grp: data cut as blocks (grp, n_blocks) says, asks in parts of GROUP.
+
+    Each block meets each part of its group, so neither many rows nor many asks of a group make a large task.
+    """
+    parts = asks.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).alias("n_parts"))
+    both = written(blocks.join(parts, "grp"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cut = data.join(both, "grp").withColumn("block", F.pmod(F.xxhash64("raw"), F.col("n_blocks"))).withColumn("part", upto("n_parts"))
+    sent = asks.join(both, "grp").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("n_parts"))).withColumn("block", upto("n_blocks"))
     return _solved(cut, sent, size, k)
 
 
@@ -156,7 +172,7 @@ class Join:
         self.size, self.k = size, k
         n = data.count()
         p = pivots(data, n_pivots or int(min(PIVOTS, max(16, math.sqrt(n)))))
-        top = float(data.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0])
+        top = float(data.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0])
         self.cells = cells = Cells(p, top)
 
         def celled(is_data: bool, more: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -262,7 +278,8 @@ def prepared(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id
 def top_k(vectors: DataFrame, is_query: Column, k: int, n_pivots: int | None = None, vec_id: str = "vec_id", vec: str = "vec") -> DataFrame:
     """For each row where is_query holds, its k best other rows: query_id, rank (from 1), vec_id, score.
 
-    vec is an array of longs; score is the inner product (exact while sums stay within 64 bits).  Ties go to smaller ids;
+    vec is an array of longs; score is the inner product, exact within 64 bits (beyond, the
+    largest or smallest of these).  Ties go to smaller ids;
     rows that share an id with the query are not its candidates, repeated rows count once.  Null and empty vectors and
     null ids take no part, nor do vectors of another length than most have (of two such lengths, than the larger).
     Without vectors or queries the result is empty.  n_pivots: by default the root of the number of vectors, 16 at least

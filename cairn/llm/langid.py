@@ -44,10 +44,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
     return rows, owner, used
 
 
-def fit(docs: DataFrame, allowed: Column, max_rows: int = 1000, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> TextCNN | None:
+def fit(docs: DataFrame, allowed: Column, max_rows: int = 1000, epochs: int = 4, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> TextCNN | None:
     """Learns from all windows of the whole texts of at most max_rows rows where `allowed` holds; None if there are none.
 
-    max_rows bounds the rows of the sample in all, over all languages (see labelled_sample).  Null languages, texts and
+    Short texts are learned from, too: each window is there whole, and once more with only its first 1 to WINDOW - 1 bytes.
+    epochs: how often all of these are gone through.  max_rows bounds the rows of the sample in all, over all languages (see
+    labelled_sample).  Null languages, texts and
     ids take no part.  Where the texts hold no bytes, the network knows nothing but how frequent the languages are.
     """
     sample = labelled_sample(docs, docs.where(allowed).select(F.col(doc_id).alias("id"), F.col(lang).alias("label")), max_rows, text, doc_id)
@@ -55,20 +57,18 @@ def fit(docs: DataFrame, allowed: Column, max_rows: int = 1000, lang: str = "lan
         return None
     classes = sorted(sample.label.unique().tolist())
     data = [t.lower().encode() for t in sample.text]
-    rows, owner, used = windows(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])])
     y = np.searchsorted(classes, sample.label.to_numpy())
     model = TextCNN.new(257, classes, 8, WIDTHS, FILTERS)
-    keep = used >= 2 if (used >= 2).any() else used >= 1
-    if not keep.any():
+    each = [windows(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].astype(np.uint16) for x in data]
+    rows = np.concatenate(each)
+    if not len(rows):
         model.out[:], model.bias[:] = 0, np.log(np.bincount(y) / len(y))
         return model
-    # every second window is cut short, so that short texts are known too
-    short = np.random.default_rng(3).integers(8, WINDOW, len(rows))
-    rows = np.where((np.arange(WINDOW) < short[:, None]) | (np.arange(len(rows)) % 2 == 0)[:, None], rows, 0)
-    y = y[owner]
+    short = rows.copy()
+    short[np.arange(WINDOW) >= np.random.default_rng(3).integers(1, WINDOW, len(rows))[:, None]] = 0
+    y = np.repeat(y, [len(x) for x in each])
     weights = 1 / np.bincount(y, minlength=len(classes)).clip(1)[y]
-    epochs = int(np.clip(60_000 // keep.sum(), 3, 25))
-    return model.fit(rows[keep], y[keep], weights[keep], epochs=epochs, rate=0.01, decay=1e-5)
+    return model.fit(np.concatenate([rows, short]), np.r_[y, y], np.r_[weights, weights], epochs=epochs, rate=0.01, decay=1e-5)
 
 
 class Scorer:

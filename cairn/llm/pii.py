@@ -35,13 +35,16 @@ KINDS = {
     "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3,4}}[^\p{{L}}\p{{N}}]\d{{3,4}}(?!\d)|\+\d{{1,3}}(?:[ .\-/]?\d{{2,4}}){{2,5}}(?!\d)|(?<![\d\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|0(?<![\p{{L}}\p{{N}}.,/\-]0)(?=(?:[ \-/.]?\d){{8,11}}(?![ \-/.]?\d))\d{{1,4}}(?:[ \-/.]\d{{2,8}}){{1,4}}(?![\p{{L}}\p{{N}}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?\d{4}){2} ?\d{3})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
     "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z]*+\d)(?=\d*+[A-Za-z])[A-Za-z0-9]{24,}+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A title and the name after it: initials, and up to three words.
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?){{0,3}}\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}"
+#: Words within names that are no names.
+PARTICLES = ["van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "af", "av", "bin", "ibn", "al", "el", "y"]
+_NAME = r"(?:\p{Lu}['\u2019])?\p{Lu}\p{L}+"
+#: A title and the name after it: words of any number, with initials, particles and apostrophes.
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)}) )*+{_NAME}(?:[ \-](?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)})[ \-])*+{_NAME})*+"
 #: What a text with any entity but names has, and one with names.
 _SIGN = r"[@]|\d[^\p{L}]*\d[^\p{L}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{20}"
 _TITLE_SIGN = rf"(?:{_TITLE})\b"
@@ -127,6 +130,23 @@ def described(raws: Column) -> Column:
     return F.transform(kinds, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"), canonical(e["raw"], e["kind"]).alias("canonical")))
 
 
+def _mod97(whole: Column) -> Column:
+    """The remainder by 97 of an account number's digits and letters (a letter counts as 10 to 35), its first four put last."""
+    turned = F.concat(F.substring(whole, F.lit(5), F.length(whole)), F.substring(whole, F.lit(1), F.lit(4)))
+    values = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(values, F.lit(0), lambda n, v: (n * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
+def _with_check_digits(iban: Column, compact: Column) -> Column:
+    """An account number, spaces and all, with the two check digits that make it valid."""
+    zeros = F.concat(F.substring(compact, F.lit(1), F.lit(2)), F.lit("00"), F.substring(compact, F.lit(5), F.length(compact)))
+    return F.concat(F.substring(iban, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(zeros)).cast("string"), 2, "0"), F.substring(iban, F.lit(5), F.length(iban)))
+
+
+#: Country calling codes: those of one digit and of two; all others have three.
+_CALLING = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _byte(stream: Column, n: Column) -> Column:
     return F.conv(F.substring(stream, (F.pmod(n - 1, F.lit(_BYTES)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
@@ -142,7 +162,7 @@ def _replacement(e: Column, c: Column) -> Column:
 
     new = F.when(low.rlike(r"\p{IsCyrillic}"), of("Cyrillic")).when(low.rlike(r"\p{IsGreek}"), of("Greek")).when(e["is_hex"], _pick("abcdef", v)).otherwise(of("Latin"))
     new = F.when(c["c"] != low, F.upper(new)).otherwise(new)
-    kept = (n == 1) & e["kind"].isin("phone", "card") | (n <= 2) & (e["kind"] == "iban")
+    kept = n <= e["kept"]
     return F.when(kept | ~low.rlike(r"[\p{L}\p{N}]"), c["c"]).when(low.rlike(r"\p{N}"), (v % 10).cast("string")).otherwise(new)
 
 
@@ -150,21 +170,25 @@ def _with(e: Column, names: list[str], **more: Column) -> Column:
     return F.struct(*[e[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
-#: Draws that keep an entity's layout; later ones widen it, so that a small layout can't run out of surrogates.
-KEPT = 8
+#: Draws that keep a layout of few surrogates (names, addresses), and one of many; later ones widen it, so that none run out.
+KEPT, KEPT_LONG = 8, 16
 
 
 def surrogates(found: Column, key: str) -> Column:
     """Of an array of structs (raw, kind, canonical, attempt, female), the replacements, laid out as raw is.
 
-    After KEPT attempts, names and the first parts of addresses grow by a letter an attempt, and numbers of IP addresses
-    may have other lengths.  Each step names what the next ones use more than once.
+    A phone number's first digit or country calling code stays, a card's first digit and an account number's country; check
+    digits of cards and account numbers are made right.  After KEPT attempts, names and the first parts of addresses grow by
+    a letter an attempt, and numbers of IP addresses may have other lengths; after KEPT_LONG, numbers and secrets grow by a
+    digit an attempt.  Each step names what the next ones use more than once.
     """
-    more = lambda e: F.when(e["kind"].isin("name", "email"), F.repeat(F.lit("a"), F.greatest(e["attempt"] - (KEPT - 1), F.lit(0)))).otherwise("")
+    grown = lambda c, e, after: F.repeat(F.lit(c), F.greatest(e["attempt"] - (after - 1), F.lit(0)))
+    more = lambda e: F.when(e["kind"].isin("name", "email"), grown("a", e, KEPT)).when(e["kind"] == "ip", "").otherwise(grown("0", e, KEPT_LONG))
+    kept = lambda e: F.when(e["kind"] == "phone", F.greatest(F.length(F.regexp_extract(e["raw"], _CALLING, 0)) - 1, F.lit(1))).when(e["kind"] == "card", 1).when(e["kind"] == "iban", 2).otherwise(0)
     seed = F.transform(found, lambda e: _with(e, ["raw", "kind", "attempt", "female"], seed=F.concat_ws("|", F.lit(key), e["kind"], e["canonical"], e["attempt"].cast("string")), more=more(e), tail=F.when(e["kind"] == "email", F.regexp_extract(e["raw"], r"\.\p{L}+$", 0)).otherwise("")))
     own = lambda e: F.substring(e["raw"], F.lit(1), F.length(e["raw"]) - F.length(e["tail"]))
     body = F.transform(seed, lambda e: _with(e, ["raw", "kind", "attempt", "female", "tail"], stream=F.concat(F.sha2(e["seed"], 512), F.sha2(F.concat(e["seed"], F.lit("|+")), 512)), body=F.when(e["kind"] == "email", F.concat(e["more"], own(e))).otherwise(F.concat(own(e), e["more"]))))
-    marked = F.transform(body, lambda e: _with(e, ["raw", "kind", "attempt", "female", "tail", "stream", "body"], is_hex=(e["kind"] == "secret") & e["raw"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), letters=F.length(e["body"])))
+    marked = F.transform(body, lambda e: _with(e, ["raw", "kind", "attempt", "female", "tail", "stream", "body"], is_hex=(e["kind"] == "secret") & e["raw"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), letters=F.length(e["body"]), kept=kept(e)))
 
     def spelled(e: Column) -> Column:
         chars = F.transform(F.filter(F.split(e["body"], ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), F.lower(c).alias("low"), F.length(F.regexp_replace(F.substring(e["body"], F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")).alias("n")))
@@ -178,8 +202,9 @@ def surrogates(found: Column, key: str) -> Column:
 
     drawn = F.transform(marked, lambda e: _with(e, ["raw", "kind"], new=F.when(e["kind"] == "number", e["raw"]).when(e["kind"] == "ip", octets(e)).otherwise(F.concat(spelled(e), e["tail"]))))
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    carded = F.transform(drawn, lambda e: _with(e, ["kind", "new"], front=F.substring(e["new"], F.lit(1), F.length(e["new"]) - 1)))
-    return F.transform(carded, lambda e: F.when(e["kind"] == "card", F.concat(e["front"], _check_digit(digits(e["front"])))).otherwise(e["new"]))
+    fronts = F.transform(drawn, lambda e: _with(e, ["kind", "new"], front=F.when(e["kind"] == "iban", F.replace(e["new"], F.lit(" "), F.lit(""))).otherwise(F.substring(e["new"], F.lit(1), F.length(e["new"]) - 1))))
+    checked = lambda e: F.when(e["kind"] == "card", F.concat(e["front"], _check_digit(digits(e["front"])))).when(e["kind"] == "iban", _with_check_digits(e["new"], e["front"]))
+    return F.transform(fronts, lambda e: F.coalesce(checked(e), e["new"]))
 
 
 def _votes(text: Column, names: Column) -> Column:
@@ -192,7 +217,7 @@ def _votes(text: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, each).otherwise(F.array().cast("array<struct<raw:string,votes:int>>"))
 
 
-def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 30) -> DataFrame:
+def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 60) -> DataFrame:
     """The entities that aren't as their own text says: kind, canonical, attempt (from 0) and female.
 
     These are entities whose first surrogate isn't theirs to keep, and names whose titles say otherwise than their ending.

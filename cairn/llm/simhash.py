@@ -267,14 +267,6 @@ def _banded(prints: DataFrame, words: int, bands: int, band_bits: int, *more: st
     return prints.select(F.explode(F.array(*keys)).alias("bucket"), *[F.col("fp")[k].alias(f"fp{k}") for k in range(words)], *more)
 
 
-def wide_links(prints: DataFrame, words: int, budget: int, bands: int, band_bits: int) -> DataFrame:
-    """As near_links for wide fingerprints (columns fp, an array of longs, and rep) and large budgets.
-
-    Candidates are the pairs that _banded finds; a found pair is linked only within the budget.
-    """
-    return _joined(_banded(prints, words, bands, band_bits, "rep"), words, budget)
-
-
 _PAIR = "a bigint, a_set bigint, b bigint, b_set bigint"
 
 
@@ -449,9 +441,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words
     """One row a row of docs: doc_id, text_hash (xxhash64 of the text), fp (array of longs), component_id.
 
     component_id is the smallest doc_id reachable over links between fingerprints within the budget, itself included.
-    With bands, wide_links finds candidates; else every link is found.  Rows whose id is null get the component of their
+    Every such link is found.  Rows whose id is null get the component of their
     fingerprint (null if no row of it has an id) and make no links of their own.  Texts without words share fingerprint
-    zero and so one component.  With a similarity (and bands), links are those of close fingerprints of distinct shingles
+    zero and so one component.  With a similarity and bands (and only then words may be more than one), links are those of close fingerprints of distinct shingles
     whose texts share that part of these, and fp ends with a hash of the set of shingles and its size.
     """
     if similarity is not None:
@@ -459,7 +451,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3, words
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.coalesce(F.col(text), F.lit("")), shingle, words).alias("fp")))
     kinds = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     ends = kinds.where("rep is not null")
-    links = wide_links(ends, words, budget, bands, band_bits) if bands else near_links(ends.select(F.col("fp")[0].alias("fp"), "rep"), budget)
+    links = near_links(ends.select(F.col("fp")[0].alias("fp"), "rep"), budget)
     found = components(links)
     named = kinds.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("kind"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("kind")).select("doc_id", "text_hash", "fp", "component_id")
@@ -489,11 +481,17 @@ def _similar_components(docs: DataFrame, shingle: int, budget: int, words: int,
 NEAR = {"shingle": 5, "words": 4, "budget": 58, "bands": 64, "band_bits": 16, "similarity": 0.8}
 
 
+def _one_each(rows: DataFrame, *by: str) -> DataFrame:
+    """Of rows that agree in some columns, the one that comes first when written as JSON."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(F.min_by(whole, F.to_json(whole)).alias("row_")).select("row_.*")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest id, once if it's repeated.
 
     how: parameters of simhash_components other than NEAR's.  Of rows that share an id, each counts by its own text, and
-    of the smallest id's the one of the smallest text hash stays.  Rows without an id take part, after all others.  Null
+    of the smallest id's the one of the smallest text hash stays (of rows alike in both, the first when written as JSON).  Rows without an id take part, after all others.  Null
     and empty texts are one group; an empty table gives none.  All columns pass through.
     """
     found = _similar_components(docs, **(NEAR | how), text=text, doc_id=doc_id)
@@ -503,5 +501,5 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     kept = docs.join(keys, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(hashed)))
     once = kept.where(F.col(times) == 1)
     if not keys.where(F.col(times) > 1).isEmpty():
-        once = once.unionByName(kept.where(F.col(times) > 1).dropDuplicates([own, hashed]))
+        once = once.unionByName(_one_each(kept.where(F.col(times) > 1), own, hashed))
     return once.drop(own, hashed, times)

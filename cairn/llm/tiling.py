@@ -121,8 +121,8 @@ def benchmark_seeds(items: DataFrame, tile: int, item_id: str = "item_id", text:
             owner, h, length = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch["item_id"].take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(count[owner].astype(np.int64)), pa.array(length.astype(np.int64))], names=["item_id", "seed", "n_words", "length"])
 
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
-    found = rows.mapInArrow(of, "item_id bigint, seed bigint, n_words bigint, length bigint")
+    rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
+    found = rows.mapInArrow(of, f"item_id {rows.schema['item_id'].dataType.simpleString()}, seed bigint, n_words bigint, length bigint")
     return found.groupBy("item_id", "seed", "n_words", "length").agg(F.count("*").alias("times"))
 
 
@@ -167,8 +167,8 @@ def candidates(docs: DataFrame, bloom, lengths: list[int], doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in kept), found], names=[*kept, "seeds"])
 
     kept = ["doc_id", "text_hash", "text"]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
-    return rows.mapInArrow(of, "doc_id bigint, text_hash bigint, text string, seeds array<bigint>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, text string, seeds array<bigint>")
 
 
 def tiled(pairs: DataFrame, tile: int) -> DataFrame:
@@ -216,10 +216,11 @@ def contamination(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: fl
     """Pairs of documents and items of which at least `coverage` of the item's words are tiled.
 
     Columns doc_id, text_hash (xxhash64 of the text, which with doc_id names the row), item_id, coverage, n_words,
-    covered and tiles.  Null and empty texts and items with null ids match nothing; repeated rows of docs each give
+    covered and tiles.  Ids are of any type that a join compares.  Null and empty texts and items with null ids match nothing, an
+    empty table on either side gives none; repeated rows of docs each give
     their rows, repeated items count once, and texts that share an item's id count each for itself.
     """
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(item_text).alias("text")).dropna().distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    items = items.select(F.col(item_id).alias("item_id"), F.lower(item_text).alias("text")).dropna().distinct().withColumn("item", F.xxhash64("item_id", "text"))
     known = written(benchmark_seeds(items, tile, "item").withColumnRenamed("item_id", "item"))
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # tile values at most
     bloom = docs.sparkSession.sparkContext.broadcast(seed_filter(known))
@@ -235,4 +236,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, tile: int = 5, coverage: f
     """docs without the rows that contamination() names; all their columns pass through, repeated rows stay repeated."""
     own, hashed = (fresh(docs, n) for n in ("id_of", "hash_of"))
     bad = contamination(docs, items, tile, coverage, doc_id, text).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
-    return docs.join(written(bad), F.col(doc_id).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")
+    return docs.join(written(bad), F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")

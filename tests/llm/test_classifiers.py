@@ -212,6 +212,21 @@ def test_against_plain_versions(spark):
         assert abs(r.score - want) < 1e-6
 
 
+def test_held_out_toxicity(spark):
+    """Most of the toxic texts of sf0.1 that weren't learned from are found, and hardly any others."""
+    sf_dir = "/root/testdata/sf0.1"
+    found = queries()["op9_toxicity"](spark, sf_dir).where("held_out").drop("toxic").toPandas().merge(spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
+    hits = int((found.predicted & found.toxic).sum())
+    assert hits >= 0.8 * found.toxic.sum() > 20 and hits >= 0.9 * found.predicted.sum()
+
+
+def test_dictionaries_of_few_texts():
+    few = compression.dictionary([b"abc", b"def"], 100)
+    assert few == b"abcdef"
+    many = compression.dictionary([b"a" * 10, b"b" * 10, b"c" * 10, b"d" * 10], 20)
+    assert many == b"a" * 10 + b"c" * 10 or len(many) <= 20
+
+
 @pytest.mark.parametrize("name, column, least", [("op8_language", "lang_pred", 0.93), ("op4_quality", "quality", 0.9), ("op9_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, column, least):
     sf_dir = "/root/testdata/sf0.01"

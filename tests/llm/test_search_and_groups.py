@@ -191,3 +191,20 @@ def test_majority_of_long_texts():
     h = np.random.default_rng(0).integers(0, 2**63, 200_000, dtype=np.int64).view(np.uint64)
     want = sum(1 << b for b in range(64) if int(((h >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(h))
     assert simhash.majority_bits(h, block=1000) == want
+
+
+def test_large_components_and_hot_cells(spark, monkeypatch):
+    """Components whose squares don't fit a long, and all queries in one cell, solved in parts of a bounded size."""
+    rows = [(0, [2e7, 1.0], 1), (50, [1.0, 1e30], 1), (1, [1.0, 0.5], 1), (2, [-1e30, 2.0], 1), (3, [0.25, 0.25], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>, x int").withColumn("vec", knn.floored("e"))
+    got = {(r.query_id, r.vec_id): r.score for r in knn.top_k(df, F.col("vec_id") % 50 == 0, k=5).collect()}
+    assert got[0, 1] == 256 * 256 * 2 * 10**7 + 256 * 128 and got[0, 50] == 2**63 - 1 and got[50, 3] > 0 and len(got) == 8
+    monkeypatch.setattr(knn, "GROUP", 8)
+    monkeypatch.setattr(knn, "BLOCK", 30)
+    draw, seen = random.Random(6), []
+    rows = [(i, [1000 + draw.randint(-3, 3) for _ in range(3)]) for i in range(200)]
+    solved = knn._solved
+    monkeypatch.setattr(knn, "_solved", lambda data, asks, *a: (seen.extend(r.n for x in (data, asks) for r in x.groupBy("grp", "block", "part").agg(F.count("*").alias("n")).collect()), solved(data, asks, *a))[1])
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    assert sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 2 == 0, k=3, n_pivots=1).collect())) == best(rows, 3, 2)
+    assert max(seen) < 60  # twice a block, as blocks are cut by a hash

@@ -62,7 +62,9 @@ def plain(texts, key):
                 out.append([1 + v % 9, 10 + v % 90, 100 + v % 155][len(o) - 1] if attempt < 8 else 1 + (v * 256 + w) % 254)
             return ".".join(map(str, out))
         tail = regex.search(r"\.\p{L}+$", raw)[0] if k == "email" else ""
-        more = "a" * max(0, attempt - 7) if k in ("email", "name") else ""
+        more = "a" * max(0, attempt - 7) if k in ("email", "name") else "0" * max(0, attempt - 15)
+        code = regex.match(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", raw)
+        kept = {"phone": len(code[0]) - 1 if code else 1, "card": 1, "iban": 2}.get(k, 0)
         body = raw[: len(raw) - len(tail)]
         body = more + body if k == "email" else body + more
         woman = votes.get(c, 0) > 0 if votes.get(c, 0) else c[-1] in "a\u03b1\u03b7\u0430\u044f"
@@ -73,7 +75,7 @@ def plain(texts, key):
                 continue
             n += 1
             v, low = stream[(n - 1) % 128], ch.lower()
-            if n == 1 and k in ("phone", "card") or n <= 2 and k == "iban":
+            if n <= kept:
                 new = ch
             elif regex.match(r"\p{N}", ch):
                 new = str(v % 10)
@@ -89,6 +91,10 @@ def plain(texts, key):
                 new = new.upper() if ch != low else new
             out += new
         out += tail
+        if k == "iban":
+            compact = out.replace(" ", "")
+            rest = int("".join(str(int(c, 36)) for c in compact[4:] + compact[:2] + "00")) % 97
+            return f"{out[:2]}{98 - rest:02}{out[4:]}"
         return out[:-1] + str((10 - luhn(digits_of(out[:-1]) + "0")) % 10) if k == "card" else out
 
     attempt = {(k, c): 0 for k, c, _ in entities}
@@ -140,10 +146,45 @@ def test_small_spaces_never_run_out(spark):
     assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}) and not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_names_of_any_length(spark):
+    texts = ["Frau Ana Maria Lopez Garcia Ruiz met Mr. van der Berg-Holt; Ruiz, Garcia.", "Dr. A. B. C. D. O'Neil and Mme D\u2019Arcy de la Tour said Neil", "Mr. J. Smith, Mrs van Dyk"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replaced(docs, "k").collect()}
+    for name in ("Ana", "Maria", "Lopez", "Garcia", "Ruiz", "Berg", "Holt", "Neil", "Arcy", "Tour", "Smith", "Dyk"):
+        assert not any(regex.search(rf"\b{name}\b", t) for t in got.values()), name
+    assert got[0].startswith("Frau ") and " met Mr. van der " in got[0] and regex.search(r"O'(\w+) and Mme D\u2019\w+ de la \w+ said \1$", got[1])
+
+
+def iban_of(country, rest):
+    return f"{country}{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02}{rest}"
+
+
+def test_account_numbers_stay_valid_and_phones_in_their_country(spark):
+    ibans = [iban_of("DE", f"{i * 7919:018}") for i in range(60)] + [iban_of("GB", f"WEST{i * 104729:014}") for i in range(60)] + [iban_of("NO", f"{i * 31:011}") for i in range(30)]
+    phones = ["+44 20 7946 0958", "+442079460958", "+1 (017) 555-7713", "+4989123456", "+351 21 123 4567", "+351211234567", "0171 2345678", "+7 495 123 4567"]
+    docs = spark.createDataFrame([(i, f"to {x} now") for i, x in enumerate(ibans + phones)], "doc_id long, text string")
+    got = {r.doc_id: r.text[3:-4] for r in pii.replaced(docs, "k").collect()}
+    for i, x in enumerate(ibans):
+        assert got[i] != x and got[i][:2] == x[:2] and len(got[i]) == len(x) and int("".join(str(int(c, 36)) for c in got[i][4:] + got[i][:4])) % 97 == 1
+    for i, x in enumerate(phones, len(ibans)):
+        code = next((c for c in ("+44", "+1", "+49", "+351", "+7", "0") if x.startswith(c)))
+        assert got[i] != x and got[i].startswith(code) and regex.sub(r"\d", "0", got[i]) == regex.sub(r"\d", "0", x)
+
+
+def test_numbers_grow_when_their_layout_is_used_up(spark):
+    """Attempts beyond KEPT_LONG have more room, for every kind, and check digits that are right all the same."""
+    raws = ["123-45-6789", "4845168114407329", "(017) 555-7713", "DE89 3704 0044 0532 0130 00", "abcdefghijklmnopqrstuvwxyz7"]
+    rows = spark.createDataFrame([(r, a) for r in raws for a in (0, pii.KEPT_LONG - 1, pii.KEPT_LONG, pii.KEPT_LONG + 2)], "raw string, attempt int")
+    each = rows.withColumn("e", pii.described(F.array("raw"))[0]).withColumn("s", pii.surrogates(F.array(F.struct("e.raw", "e.kind", "e.canonical", "attempt", F.lit(False).alias("female"))), "k")[0])
+    for r in each.collect():
+        assert len(r.s) == len(r.raw) + max(0, r.attempt - pii.KEPT_LONG + 1)
+        assert r.e.kind != "card" or not luhn(regex.sub(r"\D", "", r.s))
+
+
 def test_against_the_plain_version(spark, sf_dir):
     """On whole tables and on hard texts, also without an entity, repeated, empty and null."""
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts += [ONE, ONE, None, "", "x", "Г-жа Анна Петрова, Κυρία Άννα; Петрова", "Frau Ingrid Ö, Herr Ingrid Berg, Mr Ingrid Holm", "A.b@C.org a.B@c.ORG x@y.zz 1.2.3.4 1.2.3.5 9.9.9.9", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "+1 (017) 555-7713, (017) 555-7713, 01 23 45 67 89, 2024-01-02", "w " * 30000 + "123-45-6789 Mr. Li", "abcdefghijklmnopqrstuvwxyz7 ABCDEFGHIJKLMNOPQRSTUVWXYZ7"]
+    texts += [ONE, ONE, None, "", "x", "Г-жа Анна Петрова, Κυρία Άννα; Петрова", "Frau Ingrid Ö, Herr Ingrid Berg, Mr Ingrid Holm", "A.b@C.org a.B@c.ORG x@y.zz 1.2.3.4 1.2.3.5 9.9.9.9", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "+1 (017) 555-7713, (017) 555-7713, 01 23 45 67 89, 2024-01-02 +442079460958 +351 21 123 4567", "Frau Ana Maria Lopez Garcia, Mr. J. R. van der Berg-O'Neil; GARCIA", "w " * 30000 + "123-45-6789 Mr. Li", "abcdefghijklmnopqrstuvwxyz7 ABCDEFGHIJKLMNOPQRSTUVWXYZ7"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("kept") for c in ("names_of", "_attempts", "_entities", "hash_of", "raw", "kind")})
     got = {r.doc_id: r for r in pii.replaced(docs, "key").collect()}
     want = plain(texts, "key")

@@ -123,3 +123,11 @@ def test_clusters_that_are_cut(spark, monkeypatch):
     want = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, **how).collect()}
     monkeypatch.setattr(simhash, "similar_links", lambda *a: whole(*a, bucket_rows=8, cluster_rows=6))
     assert {r.doc_id: r.component_id for r in simhash.simhash_components(docs, **how).collect()} == want and len(set(want.values())) < 15
+
+
+def test_rows_alike_in_id_and_text(spark):
+    """Of rows that share id and text, the same one stays whatever the order of rows."""
+    rows = [(1, "same text", "de", "b"), (1, "same text", "de", "a"), (1, "same text", None, "c"), (2, "other", "x", "y")]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string")
+        assert sorted((r.doc_id, r.lang, r.source) for r in simhash.deduplicated(docs).collect()) == [(1, "de", "a"), (2, "x", "y")]

@@ -219,6 +219,18 @@ def plain_tiles(doc, item, least):
         covered += n
 
 
+def test_ids_of_any_type_and_sizes_of_any_sign(spark):
+    items = spark.createDataFrame([("i1", "one two three four five six seven eight")], "item_id string, text string")
+    docs = spark.createDataFrame([("a", "x one two three four five six seven eight y"), ("b", "nothing"), (None, None)], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in tiling.contamination(docs, items).collect()] == [("a", "i1")]
+    assert {r.doc_id for r in tiling.decontaminated(docs, items).collect()} == {"b", None}
+    assert tiling.contamination(docs, items.limit(0)).count() == tiling.contamination(docs.limit(0), items).count() == 0
+    part = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    rows = [("c", 0, "user", [("audio", None, "u", None, None, -3.0, None), ("document", None, "u", None, None, None, -2)])]
+    made = chat.formatted(spark.createDataFrame(rows, f"conv_id string, turn int, role string, parts array<{part}>"))
+    assert made.first().expanded_tokens == 0 and chat.read_back(made).first().conv_id == "c"
+
+
 def test_tiles():
     draw = random.Random(4)
     for trial in range(150):
