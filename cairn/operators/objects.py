@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.catalog import catalog, default_type, resolved_alias, truthy
 from cairn.functions.gps import LIMIT
+from cairn.operators import scan
 
 
 def _catalogued(objects: DataFrame, how: str) -> DataFrame:
@@ -112,9 +113,23 @@ def vertex_samples(objects: DataFrame) -> DataFrame:
     return rows.select("id", "ordinal", "v.accuracy", "v.time", "v.altitude", "v.altitude_accuracy")
 
 
-def gps_gaps(fixes: DataFrame, seconds: int = 15) -> DataFrame:
-    """Adds gap_s (seconds since the device's fix before), lost (over `seconds`) and run (from 0, one more after each loss)."""
-    order = Window.partitionBy("device_id").orderBy("received_at", "seq")
-    gap = F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.lag("received_at").over(order).cast("timestamp"))
-    marked = fixes.withColumn("gap_s", gap / 1e6).withColumn("lost", F.coalesce(F.col("gap_s") > seconds, F.lit(False)))
-    return marked.withColumn("run", F.sum(F.col("lost").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+def gps_gaps(fixes: DataFrame, seconds: int = 15, slice_seconds: int = scan.SLICE) -> DataFrame:
+    """Adds gap_s (seconds since the device's fix before), lost (over `seconds`) and run (from 0, one more after each loss).
+
+    Histories are cut into slices, each of which hands on the time of its last fix and its number of losses.
+    """
+    micros = F.unix_micros(F.col("received_at").cast("timestamp"))
+    inner = Window.partitionBy("device_id", "slice").orderBy("received_at", "seq")
+    rows = fixes.withColumn("slice", scan.slice_of(fixes, "received_at", slice_seconds)).withColumn("_at", micros)
+    rows = rows.withColumn("_gap", F.col("_at") - F.lag("_at").over(inner)).withColumn("_nth", F.row_number().over(inner))
+    lost = lambda gap: F.coalesce(gap > seconds * 1_000_000, F.lit(False))
+    each = rows.groupBy("device_id", "slice").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count_if(lost(F.col("_gap"))).alias("_n"))
+    device = Window.partitionBy("device_id").orderBy("slice")
+    each = each.withColumn("_since", F.col("_from") - F.lag("_to").over(device))
+    total = F.col("_n") + lost(F.col("_since")).cast("long")
+    carry = each.select(F.col("device_id").alias("_device"), F.col("slice").alias("_slice"), "_since", F.coalesce(F.sum(total).over(scan.before("device_id")), F.lit(0)).alias("_runs"))
+    both = rows.join(carry, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("slice") == F.col("_slice")))
+    gap = F.when(F.col("_nth") == 1, F.col("_since")).otherwise(F.col("_gap"))
+    marked = both.withColumn("gap_s", gap / 1e6).withColumn("lost", lost(gap))
+    run = F.col("_runs") + F.sum(F.col("lost").cast("long")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("run", run).select(*fixes.columns, "gap_s", "lost", "run")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import VERTEX
 from cairn.functions.gps import LIMIT
+from cairn.operators import scan
 
 #: What a recording's object looks like.
 OBJECT = f"device_id bigint, ordinal bigint, category string, object_type string, source string, quality string, created_at bigint, accuracy double, coordinates array<{VERTEX}>"
@@ -22,32 +23,47 @@ EVENT = "device_id bigint, ts bigint, seq bigint, kind string, category string,
 LEAST = {"line": 2, "area": 3}
 
 
-def fix_at_action(actions: DataFrame, fixes: DataFrame) -> DataFrame:
+_FIX = "struct<lng:double,lat:double,accuracy:double>"
+
+
+def fix_at_action(actions: DataFrame, fixes: DataFrame, seconds: int = scan.SLICE) -> DataFrame:
     """Each action with its device's fix before it, of any accuracy, but not from before a stop of the GPS.
 
     actions: device_id, ts, seq, action; fixes: device_id, received_at, seq, lng, lat, accuracy.  Adds fix (a struct, or
-    null).  At the same time and seq a fix goes first.  One sort by device; no rows are multiplied.
+    null).  At the same time and seq a fix goes first.  Histories are cut into slices of `seconds`, each of which hands on
+    its last fix or stop; rows of a slice are sorted by themselves.  Times are timestamps, or numbers of milliseconds.
     """
-    fix = F.struct("lng", "lat", "accuracy")
-    a = actions.select(F.struct(*actions.columns).alias("a"), "device_id", F.col("ts").alias("t"), "seq", F.lit(1).alias("later"), F.lit(None).cast("struct<lng:double,lat:double,accuracy:double>").alias("fix"), (F.col("action") == "stop_gps").cast("int").alias("stop"))
-    f = fixes.select(F.lit(None).cast(a.schema["a"].dataType).alias("a"), "device_id", F.col("received_at").alias("t"), "seq", F.lit(0).alias("later"), fix.alias("fix"), F.lit(0).alias("stop"))
-    order = Window.partitionBy("device_id").orderBy("t", "seq", "later").rowsBetween(Window.unboundedPreceding, 0)
-    runs = a.unionByName(f).withColumn("run", F.coalesce(F.sum("stop").over(order), F.lit(0)))
-    in_run = Window.partitionBy("device_id", "run").orderBy("t", "seq", "later").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("fix", F.last("fix", ignorenulls=True).over(in_run)).where("later = 1").select("a.*", "fix")
-
-
-def fixes_in_recording(actions: DataFrame, fixes: DataFrame) -> DataFrame:
+    known = F.struct(F.struct("lng", "lat", "accuracy").alias("fix"))
+    stop = F.when(F.col("action") == "stop_gps", F.struct(F.lit(None).cast(_FIX).alias("fix")))
+    a = actions.select(F.struct(*actions.columns).alias("a"), "device_id", F.col("ts").alias("t"), "seq", F.lit(1).alias("later"), stop.alias("state"), scan.slice_of(actions, "ts", seconds).alias("slice"))
+    f = fixes.select(F.lit(None).cast(a.schema["a"].dataType).alias("a"), "device_id", F.col("received_at").alias("t"), "seq", F.lit(0).alias("later"), known.alias("state"), scan.slice_of(fixes, "received_at", seconds).alias("slice"))
+    rows = a.unionByName(f)
+    place = F.when(F.col("state").isNotNull(), F.struct(F.col("t").isNotNull(), "t", F.col("seq").isNotNull(), "seq", "later"))
+    carry = scan.handed(rows, "device_id", {"state": F.max_by("state", place)}, {"state": F.last("state", ignorenulls=True)})
+    first = carry.select(F.lit(None).cast(a.schema["a"].dataType).alias("a"), "device_id", F.lit(None).cast(a.schema["t"].dataType).alias("t"), F.lit(None).cast(rows.schema["seq"].dataType).alias("seq"), F.lit(-1).alias("later"), "state", "slice")
+    order = Window.partitionBy("device_id", "slice").orderBy(F.col("later") >= 0, "t", "seq", "later").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.unionByName(first).withColumn("state", F.last("state", ignorenulls=True).over(order))
+    return filled.where("later = 1").select("a.*", F.col("state.fix").alias("fix"))
+
+
+def fixes_in_recording(actions: DataFrame, fixes: DataFrame, seconds: int = scan.SLICE) -> DataFrame:
     """Good fixes between a begin and the next end or begin of the device, with the recording's number (from 1).
 
-    The simple form, in which every finish succeeds.  The fix that is current at the begin isn't part of it.
+    The simple form, in which every finish succeeds.  The fix that is current at the begin isn't part of it.  Histories are
+    cut into slices of `seconds`, each of which hands on its number of begins and whether a recording is open.
     """
-    marks = actions.where("action in ('begin', 'finish', 'cancel')").select("device_id", F.col("ts").alias("t"), "seq", F.lit(0).alias("is_fix"), (F.col("action") == "begin").alias("begin"), F.lit(None).cast("struct<lng:double,lat:double,accuracy:double>").alias("fix"))
-    f = fixes.select("device_id", F.col("received_at").alias("t"), "seq", F.lit(1).alias("is_fix"), F.lit(None).cast("boolean").alias("begin"), F.struct("lng", "lat", "accuracy").alias("fix"))
-    order = Window.partitionBy("device_id").orderBy("t", "seq", "is_fix").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(f)
-    placed = both.withColumns({"recording": F.count_if(F.col("begin")).over(order), "open": F.last("begin", ignorenulls=True).over(order)})
-    return placed.where(F.col("is_fix") == 1).where("open").where((F.col("fix.accuracy") <= LIMIT) & ~F.isnan("fix.accuracy")).select("device_id", "recording", F.col("t").alias("received_at"), "seq", "fix.lng", "fix.lat", "fix.accuracy")
+    begin = (F.col("action") == "begin").alias("begin")
+    marks = actions.where("action in ('begin', 'finish', 'cancel')").select("device_id", F.col("ts").alias("t"), "seq", F.lit(0).alias("is_fix"), begin, F.lit(None).cast(_FIX).alias("fix"), scan.slice_of(actions, "ts", seconds).alias("slice"))
+    f = fixes.select("device_id", F.col("received_at").alias("t"), "seq", F.lit(1).alias("is_fix"), F.lit(None).cast("boolean").alias("begin"), F.struct("lng", "lat", "accuracy").alias("fix"), scan.slice_of(fixes, "received_at", seconds).alias("slice"))
+    rows = marks.unionByName(f).withColumn("n", F.col("begin").cast("long"))
+    place = F.when(F.col("begin").isNotNull(), F.struct(F.col("t").isNotNull(), "t", F.col("seq").isNotNull(), "seq"))
+    carry = scan.handed(rows, "device_id", {"begin": F.max_by("begin", place), "n": F.sum("n")}, {"begin": F.last("begin", ignorenulls=True), "n": F.sum("n")})
+    nothing = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("t", "seq", "fix")}
+    first = carry.withColumns(nothing | {"is_fix": F.lit(-1)})
+    order = Window.partitionBy("device_id", "slice").orderBy(F.col("is_fix") >= 0, "t", "seq", "is_fix").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.unionByName(first).withColumns({"recording": F.sum("n").over(order), "open": F.last("begin", ignorenulls=True).over(order)})
+    good = (F.col("fix.accuracy") <= LIMIT) & ~F.isnan("fix.accuracy")
+    return placed.where(F.col("is_fix") == 1).where("open").where(good).select("device_id", "recording", F.col("t").alias("received_at"), "seq", "fix.lng", "fix.lat", "fix.accuracy")
 
 
 def build_shapes(vertices: DataFrame, *by: str) -> DataFrame:
