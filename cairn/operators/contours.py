@@ -65,9 +65,13 @@ def contour_requests(workspaces: DataFrame, generalization: str | Column = "soft
 
 
 def split_tiles(requests: DataFrame, tile_m: int = 1000) -> DataFrame:
-    """Each request's square in tiles of tile_m metres: tile_x, tile_y from the south-west, and the tile's bbox."""
+    """Each request's square in tiles of tile_m metres: tile_x, tile_y from the south-west, and the tile's bbox.
+
+    A request without a size, or of none, has no tiles.
+    """
     n = F.ceil(F.col("size_km") * 1000 / tile_m)
-    tiles = requests.withColumn("tile_x", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("tile_y", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size_km") * 1000 / tile_m) - 1)))
+    upto = lambda: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    tiles = requests.where("size_km > 0").withColumn("tile_x", upto()).withColumn("tile_y", upto())
     share = tile_m / 1000 / F.col("size_km")
     b = F.col("bbox")
     at = lambda lo, hi, i: lo + (hi - lo) * F.least(i * share, F.lit(1.0))
@@ -80,6 +84,33 @@ def resample_grid(grid: DataFrame, factor: int, *by: str) -> DataFrame:
     return grid.groupBy(*by, F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y")).agg(F.avg("z").alias("z"))
 
 
+def shares(cell: Column, from_m: float, to_m: Column) -> Column:
+    """The cells of another size that a cell overlaps along one axis: structs of cell and metres of overlap."""
+    low, high = cell * F.lit(float(from_m)), (cell + 1) * F.lit(float(from_m))
+    to = to_m.cast("double")
+    over = lambda i: F.least(high, (i + 1) * to) - F.greatest(low, i * to)
+    each = F.transform(F.sequence(F.floor(low / to), F.ceil(high / to) - 1), lambda i: F.struct(i.alias("cell"), over(i).alias("metres")))
+    return F.filter(each, lambda s: s["metres"] > 0)
+
+
+def overlaps(grid: DataFrame, from_m: float, to_m: Column) -> DataFrame:
+    """Each cell (x, y, z) of from_m metres with the cells of to_m metres that it overlaps, as x and y, and the overlap's
+    area. Cells without a finite z have none."""
+    finite = F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf"))
+    cut = grid.where(finite).withColumn("_i", F.explode(shares(F.col("x"), from_m, to_m))).withColumn("_j", F.explode(shares(F.col("y"), from_m, to_m)))
+    return cut.withColumns({"x": F.col("_i.cell"), "y": F.col("_j.cell"), "area": F.col("_i.metres") * F.col("_j.metres")}).drop("_i", "_j")
+
+
+def weighted_mean() -> Column:
+    """Of what overlaps() makes, a cell's mean over the area that is known."""
+    return F.sum(F.col("z") * F.col("area")) / F.sum("area")
+
+
+def resample(grid: DataFrame, from_m: float, to_m: float, *by: str) -> DataFrame:
+    """Elevation of cells of from_m metres on cells of to_m metres, of any ratio: means weighted by overlapping areas."""
+    return overlaps(grid, from_m, F.lit(to_m)).groupBy(*by, "x", "y").agg(weighted_mean().alias("z"))
+
+
 #: Sides of a cell: bottom, right, top, left.
 _B, _R, _T, _L = range(4)
 #: Sides that a level crosses, by which corners are inside (1: south-west, 2: south-east, 4: north-east, 8:
@@ -90,20 +121,34 @@ _CASES = {
 }
 
 
+def corners(nodes: DataFrame, *by: str) -> DataFrame:
+    """Nodes (x, y, z) to cells with all four corners: by, x, y (the south-west one), sw, se, ne, nw.
+
+    Each node goes to the four cells that it's a corner of: one shuffle, by cell, with partial sums instead of three
+    joins.  Nodes without a finite z are none.
+    """
+    corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
+    finite = F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf"))
+    rows = nodes.where(finite).select(*by, "x", "y", "z", corner.alias("c")).select(*by, (F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y"), "z", "c")
+    pick = lambda dx, dy: F.max(F.when((F.col("c.dx") == dx) & (F.col("c.dy") == dy), F.col("z")))
+    return rows.groupBy(*by, "x", "y").agg(pick(0, 0).alias("sw"), pick(1, 0).alias("se"), pick(1, 1).alias("ne"), pick(0, 1).alias("nw")).dropna(subset=["sw", "se", "ne", "nw"])
+
+
 def contour_segments(grid: DataFrame, interval: float, *by: str) -> DataFrame:
     """Segments of all levels: by, x, y (the cell's south-west node), k, and ends x1, y1, e1, x2, y2, e2.
 
     e1, e2 name the grid edges that the ends lie on, as 'h:x:y' (from node x, y to the east) or 'v:x:y' (to the north).
-    Cells without all four corners have none.  Each node goes to the four cells that it's a corner of: one shuffle, by
-    cell, with partial sums instead of three joins.
+    Cells without all four corners have none.
     """
-    corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
-    nodes = grid.where(F.col("z").isNotNull() & ~F.isnan("z")).select(*by, "x", "y", "z", corner.alias("c")).select(*by, (F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y"), "z", "c")
-    pick = lambda dx, dy: F.max(F.when((F.col("c.dx") == dx) & (F.col("c.dy") == dy), F.col("z")))
-    cells = nodes.groupBy(*by, "x", "y").agg(pick(0, 0).alias("sw"), pick(1, 0).alias("se"), pick(1, 1).alias("ne"), pick(0, 1).alias("nw")).dropna(subset=["sw", "se", "ne", "nw"])
+    return crossings(corners(grid, *by), interval, *by)
+
+
+def crossings(cells: DataFrame, interval: float | Column, *by: str) -> DataFrame:
+    """contour_segments of cells with their corners; the interval may be a column of them."""
+    interval = interval if isinstance(interval, Column) else F.lit(float(interval))
     low, high = F.least("sw", "se", "ne", "nw"), F.greatest("sw", "se", "ne", "nw")
     first, last = F.floor(low / interval) + 1, F.floor(high / interval)  # low < level <= high
-    levels = cells.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("level", F.col("k") * F.lit(float(interval)))
+    levels = cells.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("level", F.col("k") * interval)
     inside = sum(((F.col(c) >= F.col("level")).cast("int") * w for c, w in (("sw", 1), ("se", 2), ("ne", 4), ("nw", 8))), F.lit(0))
     mean_in = (F.col("sw") + F.col("se") + F.col("ne") + F.col("nw")) / 4 >= F.col("level")
     case = F.when((inside == 5) & mean_in, 10).when((inside == 10) & mean_in, 5).otherwise(inside)
@@ -216,8 +261,8 @@ def _across_seams(ends: DataFrame, by: list[str]) -> DataFrame:
     return kept.select(F.floor(F.col("id") / 2).alias("chain"), F.col("least").alias("line"), (-F.col("n")).alias("place"), (F.col("id") % 2 == 1).alias("flip"))
 
 
-def contour_lines(segments: DataFrame, interval: float, *by: str, tile: int = 256) -> DataFrame:
-    """Lines: by, elevation, interval, index_contour, closed, coordinates (array of struct x, y).
+def contour_lines(segments: DataFrame, interval: float | Column, *by: str, tile: int = 256) -> DataFrame:
+    """Lines (interval: a number, or a column of by): by, elevation, interval, index_contour, closed, coordinates (array of struct x, y).
 
     Segments are chained within tiles of `tile` cells, by level.  Chains that are open there are numbered, and their ends
     alone are joined at the seams between tiles; their points are put together once, by line.  So no task holds more than
@@ -226,6 +271,7 @@ def contour_lines(segments: DataFrame, interval: float, *by: str, tile: int = 25
     tiles.
     """
     keys = list(by)
+    interval = interval if isinstance(interval, Column) else F.lit(float(interval))
     parts = written(_in_tiles(segments, keys, tile).withColumn("chain", F.monotonically_increasing_id()))
     open_ = parts.where("not closed")
     places = _across_seams(open_.select(*keys, "k", "chain", F.col("c")[0]["e"].alias("a"), F.element_at("c", -1)["e"].alias("b")), keys)
@@ -240,4 +286,4 @@ def contour_lines(segments: DataFrame, interval: float, *by: str, tile: int = 25
     whole = whole.withColumn("c", F.when(F.col("closed"), ring).otherwise(F.col("c")))
     second = F.when(F.col("closed"), F.try_element_at("c", F.lit(-2))["e"] < F.col("c")[1]["e"]).otherwise(F.element_at("c", -1)["e"] < F.col("c")[0]["e"])
     whole = whole.withColumn("c", F.when(second, F.reverse("c")).otherwise(F.col("c")))
-    return whole.select(*keys, (F.col("k") * F.lit(float(interval))).alias("elevation"), F.lit(float(interval)).alias("interval"), (F.col("k") % INDEX == 0).alias("index_contour"), "closed", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coordinates"))
+    return whole.select(*keys, (F.col("k") * interval).alias("elevation"), interval.alias("interval"), (F.col("k") % INDEX == 0).alias("index_contour"), "closed", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coordinates"))

@@ -41,6 +41,10 @@ SQL = {
         case when event_id%2=0 then 'line' else 'area' end category, value accuracy from {events}""",
     "grid": """select distinct cast(o_orderkey%100 as bigint) x, cast(floor(o_orderkey/100e0) as bigint) y from {orders}""",
     "elevation": """select x, y, 100e0+(3*x*x+5*y*y-4*x*y)/256e0 z from ({_grid}) g""",
+    "ground": """select x, y, 100.013e0+(u*u+v*v-u*v/2e0)/40e0 z from (select x, y, abs(x%60-30) u, abs(y%80-40) v from ({_grid}) g) w""",
+    "sheets": """select workspace_id, contour_interval, case workspace_id%3 when 0 then 'detailed' when 1 then 'normal' else 'soft' end generalization, w/57334e0+17.5e0 west, s/111320e0+59e0 south,
+        (w+20e0+(workspace_id%5)*7.37e0)/57334e0+17.5e0 east, (s+15e0+(workspace_id%4)*6.43e0)/111320e0+59e0 north
+        from (select s_suppkey workspace_id, case s_suppkey%2 when 0 then 2.5e0 else 5e0 end contour_interval, (s_suppkey*37)%240+3.31e0 w, s_suppkey*4.1e0+1.17e0 s from {supplier}) q""",
     "shapes": """select c_custkey id, c_custkey%2=0 is_area, 59e0+((c_custkey*7919)%10000)/20000e0 lat, 17.5e0+((c_custkey*104729)%10000)/10000e0 lng, (c_custkey%7)/100e0 w, (c_custkey%5)/100e0 h from {customer}""",
 }
 

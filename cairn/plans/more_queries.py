@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import contours
+from cairn.operators import contour_layers, contours
 from cairn.plans.fixtures import derived
 from cairn.plans.queries import _QUALITY, _boxed, query, recorder_events
 from cairn.scratch import scratch_path
@@ -153,6 +153,58 @@ def contour_lines(spark, sf_dir):
     return lines.select("elevation", "index_contour", "closed", F.size("coordinates").alias("n_points"), F.round(F.col("coordinates")[0]["x"], 6).alias("x"), F.round(F.col("coordinates")[0]["y"], 6).alias("y"))
 
 
+#: Where the elevation of the field tables lies: cells of three metres.
+FRAME = contour_layers.Frame(17.5, 59.0, 57334.0, 111320.0, 3.0)
+_DETAILS = "(values (2), (5), (10)) r(r)"
+#: Elevation on cells of r metres, by the areas that cells of three metres share with them.
+_RESAMPLED = f"""select r, i x, j y, sum(z * a * b) / sum(a * b) z from (select r, z, i.range i, j.range j, least((g.x + 1) * 3e0, (i.range + 1) * r * 1e0) - greatest(g.x * 3e0, i.range * r * 1e0) a,
+    least((g.y + 1) * 3e0, (j.range + 1) * r * 1e0) - greatest(g.y * 3e0, j.range * r * 1e0) b
+    from ground g, {_DETAILS}, lateral (select range from range(cast(floor(g.x * 3e0 / r) as bigint), cast(ceil((g.x + 1) * 3e0 / r) as bigint))) i, lateral (select range from range(cast(floor(g.y * 3e0 / r) as bigint), cast(ceil((g.y + 1) * 3e0 / r) as bigint))) j) o group by all"""
+
+
+@query(f"select r, x, y, round(z, 6) z from ({_RESAMPLED}) e")
+def resample(spark, sf_dir):
+    """Elevation of three metres on each detail's cells: finer, coarser, and of no whole ratio."""
+    ground = derived(spark, sf_dir, "ground")
+    parts = [contours.resample(ground, 3, r).select(F.lit(r).alias("r"), "x", "y", F.round("z", 6).alias("z")) for r in contours.DETAIL.values()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _sheets(spark, sf_dir) -> DataFrame:
+    return derived(spark, sf_dir, "sheets").withColumn("bbox", F.struct("west", "south", "east", "north")).withColumn("size_km", F.lit(1))
+
+
+@query(f"""with e as ({_RESAMPLED}),
+    c as (select a.r, a.x, a.y, a.z sw, b.z se, c.z ne, d.z nw from e a join e b on b.r = a.r and b.x = a.x + 1 and b.y = a.y join e c on c.r = a.r and c.x = a.x + 1 and c.y = a.y + 1 join e d on d.r = a.r and d.x = a.x and d.y = a.y + 1),
+    b as (select workspace_id, contour_interval i, case generalization when 'detailed' then 2 when 'normal' then 5 else 10 end r, west, south, east, north from sheets),
+    box as (select workspace_id, i, r, (west - 17.5e0) * 57334e0 / r - 0.5e0 u0, (south - 59e0) * 111320e0 / r - 0.5e0 v0, (east - 17.5e0) * 57334e0 / r - 0.5e0 u1, (north - 59e0) * 111320e0 / r - 0.5e0 v1 from b),
+    k as (select box.*, x, y, sw, se, ne, nw, k.range k, k.range * i l from box join c on c.r = box.r and c.x >= floor(u0) and c.x <= u1 and c.y >= floor(v0) and c.y <= v1,
+        lateral (select range from range(cast(floor(least(sw, se, ne, nw) / i) as bigint) + 1, cast(floor(greatest(sw, se, ne, nw) / i) as bigint) + 1)) k),
+    p as (select *, (sw >= l)::int + (se >= l)::int * 2 + (ne >= l)::int * 4 + (nw >= l)::int * 8 q, (sw + se + ne + nw) / 4 >= l m, x + (l - sw) / (se - sw) bx, x + (l - nw) / (ne - nw) tx, y + (l - sw) / (nw - sw) ly, y + (l - se) / (ne - se) ry from k),
+    s as (select *, case when q = 5 and m then 10 when q = 10 and m then 5 else q end c from p),
+    e2 as (select workspace_id, k, r, u0, v0, u1, v1, unnest(case when c in (1, 14) then [[x, ly, bx, y]] when c in (2, 13) then [[bx, y, x + 1, ry]] when c in (3, 12) then [[x, ly, x + 1, ry]] when c in (4, 11) then [[x + 1, ry, tx, y + 1]]
+        when c in (6, 9) then [[bx, y, tx, y + 1]] when c in (7, 8) then [[x, ly, tx, y + 1]] when c = 5 then [[x, ly, bx, y], [x + 1, ry, tx, y + 1]] else [[bx, y, x + 1, ry], [tx, y + 1, x, ly]] end) g from s),
+    d as (select *, g[3] - g[1] dx, g[4] - g[2] dy from e2),
+    t as (select *, greatest(0, case when dx > 0 then (u0 - g[1]) / dx when dx < 0 then (u1 - g[1]) / dx end, case when dy > 0 then (v0 - g[2]) / dy when dy < 0 then (v1 - g[2]) / dy end) t0,
+        least(1, case when dx > 0 then (u1 - g[1]) / dx when dx < 0 then (u0 - g[1]) / dx end, case when dy > 0 then (v1 - g[2]) / dy when dy < 0 then (v0 - g[2]) / dy end) t1 from d
+        where not (dx = 0 and (g[1] < u0 or g[1] > u1)) and not (dy = 0 and (g[2] < v0 or g[2] > v1)))
+    select workspace_id, k, count(*) n, round(sum(sqrt(dx * dx + dy * dy) * (t1 - t0) * r), 4) metres from t where t0 < t1 group by all""")
+def workspace_segments(spark, sf_dir):
+    """What of each level lies within each workspace's box: segments, and metres of them."""
+    requests = contours.contour_requests(_sheets(spark, sf_dir), F.col("generalization"))
+    found = contour_layers.workspace_segments(derived(spark, sf_dir, "ground"), requests, FRAME, tile=32)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return found.groupBy("workspace_id", "k").agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt(dx * dx + dy * dy) * F.col("resolution_m")), 4).alias("metres"))
+
+
+@query()
+def contour_layer(spark, sf_dir):
+    """Elevation and workspaces to stored, checked and counted layers; lines have no order in SQL, so tests hold them to a plain version."""
+    sheets = _sheets(spark, sf_dir)
+    lines = contour_layers.workspace_contours(derived(spark, sf_dir, "ground"), sheets, FRAME, F.col("generalization"))
+    return contour_layers.replace_contours(lines, sheets, scratch_path(spark)).select("workspace_id", "n_lines", "interval", "valid", "interval_mismatch")
+
+
 def streamed(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a bounded stream to its end; of complete mode the last result counts, else all batches' rows do."""
     spark, out = stream.sparkSession, scratch_path(stream.sparkSession)

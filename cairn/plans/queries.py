@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import catalog as fixed
@@ -203,7 +203,8 @@ def validate_workspaces(spark, sf_dir):
 def recent_workspaces(spark, sf_dir):
     w = derived(spark, sf_dir, "workspaces").select(F.col("workspace_id").alias("id"), F.expr("(workspace_id * 37) % 11").alias("updated_at"))
     top = workspaces.recent_workspaces(w, 20)
-    return top.agg(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("p", "workspace_id")).select("workspace_id", (F.col("p") + 1).cast("long").alias("pos"))
+    order = Window.orderBy(F.desc("updated_at"), "id")  # twenty rows
+    return top.select(F.col("id").alias("workspace_id"), F.row_number().over(order).cast("long").alias("pos"))
 
 
 @query("select w.workspace_id, greatest(epoch_us(timestamp '2024-01-10 00:00:00'), coalesce(max(epoch_us(f.received_at)), 0)) updated_us from workspaces w left join fixes f on f.device_id = w.workspace_id group by w.workspace_id")

@@ -1,6 +1,7 @@
 """Edge values and hand-made rows."""
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,7 +214,35 @@ def test_layers(spark, tmp_path):
     assert read() == [(1, "a"), (2, "b")] and read([2, 3]) == [(2, "b")] and read([77]) == []
     layers.drop_layer(spark, path, "roads", ids(1))
     assert read() == [(2, "b")]
-    assert {r.workspace_id for r in spark.read.parquet(f"{path}/roads/data/v=2").collect()} == {2}
+    written = [{r.workspace_id for r in spark.read.parquet(str(f)).collect()} for f in Path(path, "roads/data").glob("v=*")]
+    assert sorted(map(sorted, written)) == [[], [1, 2, 3], [2]]  # each replacement wrote the rows of its own workspaces only
+
+
+def test_two_writers_of_a_layer(spark, tmp_path, monkeypatch):
+    """Each counts whole: one that finds its number taken goes on from the other's state; a claim left behind is taken over."""
+    from cairn.sources import layers
+
+    path, ids = str(tmp_path), lambda *k: spark.createDataFrame([(i,) for i in k], "workspace_id int")
+    layers.write_layer(ids(1, 2).withColumn("t", F.lit("old")), path, "roads", ids(1, 2))
+    renamed, others = layers._renamed, [("b", 2), ("c", 3)]
+
+    def late(*a):
+        if others:  # another writer is done just before
+            t, k = others.pop()
+            layers.write_layer(ids(k).withColumn("t", F.lit(t)), path, "roads", ids(k))
+        return renamed(*a)
+
+    monkeypatch.setattr(layers, "_renamed", late)
+    layers.write_layer(ids(1).withColumn("t", F.lit("a")), path, "roads", ids(1))
+    read = lambda: sorted((r.workspace_id, r.t) for r in layers.read_layer(spark, path, "roads").collect())
+    assert read() == [(1, "a"), (2, "b"), (3, "c")]
+    newest = layers._manifest(spark, path, "roads")[1]
+    Path(path, f"roads/manifest/v={newest + 1}.claimed").touch()
+    with pytest.raises(RuntimeError):
+        layers.write_layer(ids(1).withColumn("t", F.lit("d")), path, "roads", ids(1), tries=1)
+    monkeypatch.setattr(layers, "STALE", -1)
+    layers.write_layer(ids(1).withColumn("t", F.lit("d")), path, "roads", ids(1), tries=1)
+    assert read() == [(1, "d"), (2, "b"), (3, "c")]
 
 
 def test_texts(spark):
