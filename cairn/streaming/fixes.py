@@ -65,41 +65,68 @@ class Vertices:
 class Recorder(StatefulProcessor):
     """Carries each device's recorder from batch to batch, and its events until the watermark has passed them.
 
-    State: rest (the recorder but for its vertices, as one value), vertices (appended to), pending events, and late, the
-    number of events that came too late.
+    Events wait in buckets of event time, each with a timer at its end; a bucket is read once, when its timer comes, so
+    neither a batch nor a timer ever holds more than one bucket of a device, however long the history that waits.
+    State: rest (the recorder but for its vertices, as one value), vertices (appended to), pending (events by bucket and
+    chunk), chunks (their number by bucket), waiting (the number of buckets, and the last one done), and late, the number of
+    events that came too late.
     """
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, bucket_ms: int):
+        self.ttl_ms, self.bucket_ms = ttl_ms, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rest = handle.getValueState("rest", "json string")
         self.vertices = handle.getListState("vertices", "json string")
-        self.pending = handle.getListState("pending", "json string")
+        self.pending = handle.getMapState("pending", "bucket bigint, chunk bigint", "json string")
+        self.chunks = handle.getMapState("chunks", "bucket bigint", "n bigint")
+        self.waiting = handle.getValueState("waiting", "n bigint, done bigint")
         self.late = handle.getValueState("late", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Keeps events and asks to be called once the watermark has passed them; a batch at a time.  Late ones are counted."""
-        passed, due, late = timerValues.getCurrentWatermarkInMs(), None, 0
+        """Puts events into their buckets and asks to be called at a bucket's end; some rows at a time.  Late ones are counted."""
+        passed, late = timerValues.getCurrentWatermarkInMs(), 0
+        n, done = self.waiting.get() if self.waiting.exists() else (0, None)
         for some in rows:
             events = [_clean(r) for r in some.drop(columns="received_at").to_dict("records")]
             fresh = [e for e in events if e["ts"] > passed or not passed]
             late += len(events) - len(fresh)
-            if fresh:
-                self.pending.appendList([(json.dumps(e, default=_plain),) for e in fresh])
-                due = max(int(e["ts"]) for e in fresh) if due is None else max(due, *(int(e["ts"]) for e in fresh))
-        if due is not None:
-            self.handle.registerTimer(due)
+            buckets: dict[int, list[str]] = {}
+            for e in fresh:
+                buckets.setdefault(int(e["ts"]) // self.bucket_ms, []).append(json.dumps(e, default=_plain))
+            for bucket, events in buckets.items():
+                known = self.chunks.containsKey((bucket,))
+                chunk = self.chunks.getValue((bucket,))[0] if known else 0
+                self.pending.updateValue((bucket, chunk), (f"[{','.join(events)}]",))
+                self.chunks.updateValue((bucket,), (chunk + 1,))
+                if not known:
+                    n += 1
+                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        self.waiting.update((n, done))
         if late:
             self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
         yield pd.DataFrame([], columns=_NAMES)
 
+    def _taken(self, bucket: int) -> list[dict]:
+        """The events of a bucket, in order; it's gone then."""
+        if not self.chunks.containsKey((bucket,)):
+            return []
+        n, done = self.waiting.get()
+        if done is not None and bucket <= done:
+            raise RuntimeError(f"bucket {bucket} came after {done}")  # timers come in order of time
+        found = []
+        for chunk in range(self.chunks.getValue((bucket,))[0]):
+            found += json.loads(self.pending.getValue((bucket, chunk))[0])
+            self.pending.removeKey((bucket, chunk))
+        self.chunks.removeKey((bucket,))
+        self.waiting.update((n - 1, bucket))
+        return sorted(found, key=lambda e: (e["ts"], e["seq"]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Takes the events that the watermark has passed, in order; drops a recording that nothing was added to for long."""
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = [json.loads(e[0]) for e in self.pending.get()] if self.pending.exists() else []
-        ready = sorted((e for e in waiting if e["ts"] <= now), key=lambda e: (e["ts"], e["seq"]))
+        """Takes the events of the bucket that ends; drops a recording that nothing was added to for long."""
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        ready = self._taken(end // self.bucket_ms - 1)
         state = json.loads(self.rest.get()[0]) if self.rest.exists() else {**new_state(), "n_vertices": 0, "at": None}
         kept = state["vertices"] = Vertices(self.vertices, state.pop("n_vertices"))
         at, found = state.pop("at"), []
@@ -111,11 +138,9 @@ class Recorder(StatefulProcessor):
             made = step(state, e)
             if made:
                 found.append({"device_id": key[0], **made, "coordinates": list(made["coordinates"])})
-        if abandoned(now):
+        alone = not self.waiting.exists() or self.waiting.get()[0] == 0
+        if abandoned(timerValues.getCurrentWatermarkInMs() if alone else end):
             state.update(category=None, object_type=None, source=None, vertices=[])
-        later = [e for e in waiting if e["ts"] > now]
-        if len(later) < len(waiting):
-            self.pending.put([(json.dumps(e),) for e in later]) if later else self.pending.clear()
         vertices = state.pop("vertices")
         if vertices is kept:
             if kept.new:
@@ -125,10 +150,8 @@ class Recorder(StatefulProcessor):
         else:
             self.vertices.clear()
         self.rest.update((json.dumps({**state, "n_vertices": len(vertices), "at": at}),))
-        if later:
-            self.handle.registerTimer(max(e["ts"] for e in later))
-        elif state["category"] is not None and at is not None and at + self.ttl_ms + 1 > now:
-            self.handle.registerTimer(at + self.ttl_ms + 1)
+        if state["category"] is not None and alone:  # at a bucket's end, so that all events before are known by then
+            self.handle.registerTimer(-(-(at + self.ttl_ms + 1) // self.bucket_ms) * self.bucket_ms)
         yield pd.DataFrame(found, columns=_NAMES)
 
     def close(self) -> None:
@@ -143,16 +166,17 @@ def _plain(x: object) -> object:
     return x.item() if hasattr(x, "item") else str(x)
 
 
-def stream_recordings(events: DataFrame, lateness: str = "1 minute", ttl: str = "12 hours") -> DataFrame:
+def stream_recordings(events: DataFrame, lateness: str = "1 minute", ttl: str = "12 hours", bucket: str = "1 minute") -> DataFrame:
     """Finished objects of a stream of fixes and actions (as the recorder's EVENT), by the exact recorder.
 
     Events count in the order of (ts, seq), whatever batches they come in: they wait until the watermark, `lateness` behind
-    the latest event of all devices, has passed them.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for `ttl` is dropped.  Needs the
-    RocksDB state store.
+    the latest event of all devices, has passed the end of their bucket of event time, which is all of a device's events that
+    is ever held at once.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for
+    `ttl` is dropped.  Needs the RocksDB state store.
     """
-    length = events.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {ttl})").first()[0]
+    length, width = events.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {ttl}), unix_millis(timestamp_millis(0) + interval {bucket})").first()
     timed = events.withColumn("received_at", F.timestamp_millis("ts")).withWatermark("received_at", lateness)
-    return timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(int(length)), outputStructType=OBJECT, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(int(length), int(width)), outputStructType=OBJECT, outputMode="Append", timeMode="EventTime")
 
 
 def late_events(spark: SparkSession, checkpoint: str) -> DataFrame:
