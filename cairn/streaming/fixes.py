@@ -20,10 +20,56 @@ def stream_fix_quality(fixes: DataFrame, window: str = "10 minutes", lateness: s
     return marked.groupBy(F.window("received_at", window).alias("w"), "quality").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "quality", "n")
 
 
-def stream_last_position(fixes: DataFrame) -> DataFrame:
-    """The latest fix of each device, of any accuracy; for update or complete mode."""
-    last = fixes.groupBy("device_id").agg(F.max_by(F.struct("received_at", "lng", "lat", "accuracy"), F.struct("received_at", "seq")).alias("f"))
-    return last.select("device_id", "f.*")
+class LastPosition(StatefulProcessor):
+    """Each device's latest fix, until no fix has come for ttl_ms of event time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms bigint, seq bigint, lng double, lat double, accuracy double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = tuple(self.last.get()) if self.last.exists() else None
+        last = old
+        for some in rows:
+            some = some.sort_values(["ms", "seq"]).iloc[-1]
+            new = (int(some["ms"]), int(some["seq"]), *(None if pd.isna(some[c]) else float(some[c]) for c in ("lng", "lat", "accuracy")))
+            last = new if last is None or new[:2] > last[:2] else last
+        if last != old:
+            if old is not None:
+                self.handle.deleteTimer(old[0] + self.ttl_ms)
+            self.handle.registerTimer(last[0] + self.ttl_ms)
+            self.last.update(last)
+            yield pd.DataFrame([(key[0], last[0], *last[2:])], columns=["device_id", "ms", "lng", "lat", "accuracy"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame([], columns=["device_id", "ms", "lng", "lat", "accuracy"])
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(spark: SparkSession, interval: str) -> int:
+    return int(spark.sql(f"select unix_millis(timestamp_millis(0) + interval {interval})").first()[0])
+
+
+def stream_last_position(fixes: DataFrame, ttl: str | None = None, lateness: str = "1 minute") -> DataFrame:
+    """The latest fix of each device, of any accuracy: device_id, received_at, lng, lat, accuracy; for update mode, without a
+    ttl also for complete mode.
+
+    With a ttl, a device of which no fix has come for so long (of event time, behind the watermark) is forgotten: the state
+    holds those only that still send.  If it comes back, so does its row.  Needs the RocksDB state store then.
+    """
+    if ttl is None:
+        last = fixes.groupBy("device_id").agg(F.max_by(F.struct("received_at", "lng", "lat", "accuracy"), F.struct("received_at", "seq")).alias("f"))
+        return last.select("device_id", "f.*")
+    timed = fixes.select("device_id", "received_at", F.unix_millis("received_at").alias("ms"), "seq", "lng", "lat", "accuracy").withWatermark("received_at", lateness)
+    schema = "device_id bigint, ms bigint, lng double, lat double, accuracy double"
+    found = timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=LastPosition(_ms(fixes.sparkSession, ttl)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return found.select("device_id", F.timestamp_millis("ms").alias("received_at"), "lng", "lat", "accuracy")
 
 
 def stream_gps_runs(fixes: DataFrame, silence: str = "15 seconds", lateness: str = "1 minute") -> DataFrame:
@@ -174,9 +220,9 @@ def stream_recordings(events: DataFrame, lateness: str = "1 minute", ttl: str =
     is ever held at once.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for
     `ttl` is dropped.  Needs the RocksDB state store.
     """
-    length, width = events.sparkSession.sql(f"select unix_millis(timestamp_millis(0) + interval {ttl}), unix_millis(timestamp_millis(0) + interval {bucket})").first()
+    length, width = (_ms(events.sparkSession, x) for x in (ttl, bucket))
     timed = events.withColumn("received_at", F.timestamp_millis("ts")).withWatermark("received_at", lateness)
-    return timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(int(length), int(width)), outputStructType=OBJECT, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("device_id").transformWithStateInPandas(statefulProcessor=Recorder(length, width), outputStructType=OBJECT, outputMode="Append", timeMode="EventTime")
 
 
 def late_events(spark: SparkSession, checkpoint: str) -> DataFrame:
