@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import contour_layers, contours
+from cairn.operators import chunks, contour_layers, contours, objects
 from cairn.plans.fixtures import derived
 from cairn.plans.queries import _QUALITY, _boxed, query, recorder_events
 from cairn.scratch import scratch_path
@@ -50,9 +50,7 @@ def read_features(spark, sf_dir):
     """One collection a contributor, written and read again."""
     path = scratch_path(spark)
     features = geojson.export_features(_field_objects(spark, sf_dir)).join(derived(spark, sf_dir, "objects").select("id", F.col("contributor_id").alias("by")), "id")
-    rows = geojson.collections(features.withColumn("value", geojson.feature_text(F.col("id"), F.col("properties"), F.col("geometry"))), "by")
-    # a file holds one document: each contributor's in a folder of its own
-    rows.repartition("by").write.partitionBy("by").text(path)
+    geojson.write_geojson(features, path, "by")
     found = geojson.read_features(spark, f"{path}/by=*")
     by = F.regexp_extract("file", "by=([^/]*)", 1)
     return found.groupBy(by.alias("contributor_id")).agg(F.count("ordinal").alias("n_features"), F.count_if(F.col("geometry_type") == "Point").alias("n_points"), F.first(F.get_json_object("collection_properties", "$.standard")).alias("standard"))
@@ -63,8 +61,7 @@ def export_order(spark, sf_dir):
     """Collections list points, then lines, then areas, each in stored order."""
     path = scratch_path(spark)
     features = geojson.export_features(_field_objects(spark, sf_dir)).join(derived(spark, sf_dir, "objects").select("id", F.col("contributor_id").alias("by")), "id")
-    rows = geojson.collections(features.withColumn("value", geojson.feature_text(F.col("id"), F.col("properties"), F.col("geometry"))), "by")
-    rows.repartition("by").write.partitionBy("by").text(path)
+    geojson.write_geojson(features, path, "by")
     found = geojson.read_features(spark, f"{path}/by=*")
     return found.select(F.regexp_extract("file", "by=([^/]*)", 1).alias("contributor"), "id", F.col("ordinal").alias("place"))
 
@@ -153,6 +150,19 @@ def contour_lines(spark, sf_dir):
     return lines.select("elevation", "index_contour", "closed", F.size("coordinates").alias("n_points"), F.round(F.col("coordinates")[0]["x"], 6).alias("x"), F.round(F.col("coordinates")[0]["y"], 6).alias("y"))
 
 
+@query("""with v as (select device_id, seq, lng, lat, row_number() over w p, count(*) over (partition by device_id) n, lead(lng) over w lng2, lead(lat) over w lat2 from fixes where accuracy <= 50 window w as (partition by device_id order by seq))
+    select device_id, count(*) n_vertices, min(lng) west, min(lat) south, max(lng) east, max(lat) north, arg_max(lng, p) last_lng,
+    round(coalesce(sum(2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng) / 2), 2)))), 0), 3) length_m from v where p < n or n = 1 group by device_id""".replace("where p < n or n = 1 group", "group"))
+def chunked_shapes(spark, sf_dir):
+    """Each device's whole history as one shape, in chunks: measured without an array of it."""
+    fixes = objects.accept_fixes(derived(spark, sf_dir, "fixes"))
+    vertices = fixes.select("device_id", "seq", "lng", "lat", "accuracy", F.unix_millis(F.col("received_at").cast("timestamp")).alias("time"), "altitude", F.lit(None).cast("double").alias("altitude_accuracy"))
+    parts = chunks.chunked(vertices, "device_id", size=16)
+    last = parts.groupBy("device_id").agg(F.max_by(F.element_at("vertices", -1)["lng"], "chunk").alias("last_lng"))
+    found = chunks.measured(parts, "device_id").join(last, "device_id")
+    return found.select("device_id", "n_vertices", "extent.west", "extent.south", "extent.east", "extent.north", "last_lng", F.round("length_m", 3).alias("length_m"))
+
+
 #: Where the elevation of the field tables lies: cells of three metres.
 FRAME = contour_layers.Frame(17.5, 59.0, 57334.0, 111320.0, 3.0)
 _DETAILS = "(values (2), (5), (10)) r(r)"

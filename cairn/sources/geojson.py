@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import closed, flat_positions, positions, samples
@@ -86,17 +86,27 @@ def feature_text(id: Column, properties: Column, geometry: Column) -> Column:
 
 
 def write_geojson(features: DataFrame, path: str, by: str | None = None, app: str = "field-map") -> None:
-    """Features as lines of JSON; or with `by`, one FeatureCollection a value of that column, points first, then lines
-    and areas, in stored order. A collection is one row: for workspaces, whose size is limited."""
+    """Features as lines of JSON; or with `by`, one FeatureCollection a value of that column, in a folder <by>=<value> of its
+    own, points first, then lines and areas, in stored order."""
     text = features.withColumn("value", feature_text(F.col("id"), F.col("properties"), F.col("geometry")))
     if by is None:
         text.select("value").write.text(path)
         return
-    collections(text, by, app).select("value").write.text(path)
+    rank = F.array_position(F.array(F.lit("point"), F.lit("line"), F.lit("area")), F.col("category"))
+    placed = text.withColumn("place", F.struct(rank.alias("rank"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.col("id").alias("id"), F.col("value").alias("value")))
+    write_collections(placed, path, by, F.lit(True), app)
 
 
-def collections(text: DataFrame, by: str, app: str = "field-map") -> DataFrame:
-    rank = F.array_position(F.array(F.lit("point"), F.lit("line"), F.lit("area")), F.col("category"))
-    items = text.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "id", "value"))).alias("items"))
+def write_collections(pieces: DataFrame, path: str, by: str, starts: Column, app: str) -> None:
+    """One document a value of `by`, of pieces of text (value) in the order of place; starts: whether a piece begins a feature.
+
+    A document's pieces are lines of one file, which a task writes as they come, sorted: header and first feature, the
+    others, the last one and the footer.  So no task holds a collection, and a file is there once its task has committed.
+    Values of by without a piece have no document.
+    """
     head = '{"type":"FeatureCollection","properties":{"app":"%s","version":6,"standard":"ISOM 2017-2 v6"},"features":[' % app
-    return items.select(by, F.concat(F.lit(head), F.array_join(F.transform("items", lambda i: i["value"]), ","), F.lit("]}")).alias("value"))
+    order = Window.partitionBy(by).orderBy("place")
+    placed = pieces.withColumn("starts", starts).withColumns({"nth": F.row_number().over(order), "more": F.lead("starts").over(order).isNotNull()})
+    before = F.when(F.col("nth") == 1, head).when(F.col("starts"), ",").otherwise("")
+    lines = placed.select(by, F.concat(before, F.col("value"), F.when(F.col("more"), "").otherwise("]}")).alias("value"))
+    lines.write.partitionBy(by).option("maxRecordsPerFile", 0).text(path)
