@@ -67,11 +67,12 @@ def replay_reviews(events: DataFrame, kind: str = "road") -> DataFrame:
     return found.withColumn("symbol_since", since).withColumn("has_reset", F.col("reset_at").isNotNull()).drop("reset_at", "change_at")
 
 
-def apply_reviews(features: DataFrame, events: DataFrame, kind: str = "road") -> DataFrame:
+def apply_reviews(features: DataFrame, events: DataFrame, kind: str = "road", few: bool = False) -> DataFrame:
     """Features after the actions of a log; those of unknown features do nothing, other features stay as stored.
 
     Status and reviewed_at come from the last effective event; reviewed_at is null after a reset. A reset takes a road's
-    symbol and type back to the automatic ones where there are any, each column for itself; else it leaves them.
+    symbol and type back to the automatic ones where there are any, each column for itself; else it leaves them.  few: so few
+    features have actions that these can be sent to all executors.
     """
     after = replay_reviews(events, kind)
     keys = _keys(events)
@@ -79,7 +80,7 @@ def apply_reviews(features: DataFrame, events: DataFrame, kind: str = "road") ->
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     renamed = after.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn("_id", F.col("feature_id").cast("string")).drop("feature_id")
-    joined = features.join(renamed, on, "left")
+    joined = features.join(F.broadcast(renamed) if few else renamed, on, "left")
     seen, action = F.col("_id").isNotNull(), F.col("last_action")
     known = F.when(action == "approved", APPROVED).when(action == "rejected", REJECTED)
     if kind == "road":

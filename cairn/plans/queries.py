@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions import catalog as fixed
 from cairn.functions import geometry, gps, text
-from cairn.operators import objects, portrayal, recorder, reviews, spatial, workspaces
+from cairn.operators import objects, portrayal, recorder, refresh, reviews, spatial, workspaces
 from cairn.plans.fixtures import derived, duck
+from cairn.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,6 +317,33 @@ def apply_reviews(spark, sf_dir):
     return out.select("id", "status", F.coalesce(F.expr(_US.format("reviewed_at")), F.lit(-1)).alias("us"), "isom_symbol", "road_type")
 
 
+@query(f"""with s as (select r.id, p_partkey % 5 ws, r.source_id, p_partkey ord, case when e.feature_id is not null then case last_action when 'approved' then 'locally-approved' when 'rejected' then 'locally-rejected' when 'change' then 'locally-edited' else 'automatic-unverified' end
+        else case p_partkey % 4 when 0 then 'automatic-unverified' when 1 then 'locally-approved' when 2 then 'locally-rejected' else 'locally-edited' end end status from roads r left join ({_REPLAY}) e on r.id = e.feature_id),
+    l as (select ws, source_id, arg_max(status, ord) status from s group by 1, 2),
+    f as (select cast(substr(id, 2) as int) % 5 ws, source_id from following),
+    n as (select f.ws, case when l.status <> 'automatic-unverified' then l.status else 'automatic-unverified' end status from f left join l on l.ws = f.ws and l.source_id is not distinct from f.source_id where f.ws <> 4 union all select ws, status from s where ws = 4)
+    select ws workspace_id, count(*) total, count(*) filter (status = 'locally-rejected') rejected, count(*) filter (status = 'automatic-unverified') unverified, count(*) filter (status in ('locally-approved', 'locally-edited')) reviewed from n group by 1""")
+def refresh_layer(spark, sf_dir):
+    """A stored layer of roads, actions on it, and a new extract for all workspaces but one."""
+    roads = derived(spark, sf_dir, "roads")
+    status = F.expr("case p_partkey % 4 when 0 then null when 1 then 'locally-approved' when 2 then 'locally-rejected' else 'locally-edited' end")
+    layer = roads.select(F.expr("p_partkey % 5").alias("workspace_id"), "id", "ordinal", "source_id", status.alias("status"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"), "isom_symbol", "road_type", "automatic_isom_symbol", "automatic_road_type")
+    before, after = scratch_path(spark), scratch_path(spark)
+    refresh.store(layer, before, buckets=16)
+    events = derived(spark, sf_dir, "review_events").withColumn("workspace_id", F.expr("event_id % 200 % 5"))
+    extract = layer.where("cast(substr(id, 2) as int) % 10 <> 3 and workspace_id <> 4").withColumn("status", F.lit(None).cast("string"))
+    return refresh.refresh(spark, before, events, extract.drop("ordinal"), after, buckets=16)
+
+
+@query("""select f.id, case when e.feature_id is null then 'stored' when a = 'approved' then 'locally-approved' when a = 'rejected' then 'locally-rejected' else 'automatic-unverified' end status,
+    case when e.feature_id is null or a = 'reset' then -1 else epoch_us(t) end us from roads f left join (select feature_id, arg_max(action, n) a, max(ts) t from (select *, row_number() over (order by ts, event_id) n from review_events) q group by feature_id) e on f.id = e.feature_id""")
+def apply_building_reviews(spark, sf_dir):
+    """Of a building any other action than those listed leaves a time and no verdict."""
+    stored = derived(spark, sf_dir, "roads").select("id").withColumns({"status": F.lit("stored"), "reviewed_at": F.lit(None).cast("timestamp_ntz")})
+    out = reviews.apply_reviews(stored, derived(spark, sf_dir, "review_events"), "building")
+    return out.select("id", "status", F.coalesce(F.expr(_US.format("reviewed_at")), F.lit(-1)).alias("us"))
+
+
 @query("select isom_symbol, count(*) total, count(*) filter (status = 'locally-approved') approved, count(*) filter (status = 'locally-rejected') rejected, count(*) filter (coalesce(status, '') not in ('locally-approved', 'locally-rejected')) unverified from previous group by isom_symbol")
 def building_review_counts(spark, sf_dir):
     return reviews.building_review_counts(derived(spark, sf_dir, "previous"), "isom_symbol")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def folder(spark: SparkSession) -> str:
     """This application's folder: within the one that the session names in spark.checkpoint.dir, else in the warehouse.
 
-    Only where all of Spark is one local process is it a temporary folder of this machine.
+    Only where all of Spark is one local process is it a temporary folder of this machine.  On a cluster one of the two
+    settings has to name a folder that all machines share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not named and (master == "local" or master.startswith("local[")):
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
