@@ -9,7 +9,7 @@ from cairn.operators import chunks, contour_layers, contours, objects
 from cairn.plans.fixtures import derived
 from cairn.plans.queries import _QUALITY, _boxed, query, recorder_events
 from cairn.scratch import scratch_path
-from cairn.sources import geojson, layers
+from cairn.sources import geojson, large_geojson, layers
 from cairn.streaming import fixes as streams
 
 
@@ -56,6 +56,16 @@ def read_features(spark, sf_dir):
     return found.groupBy(by.alias("contributor_id")).agg(F.count("ordinal").alias("n_features"), F.count_if(F.col("geometry_type") == "Point").alias("n_points"), F.first(F.get_json_object("collection_properties", "$.standard")).alias("standard"))
 
 
+@query("select contributor_id, id, row_number() over (partition by contributor_id order by case category when 'point' then 1 when 'line' then 2 else 3 end, cast(id as bigint), id) - 1 ordinal, case category when 'point' then 'Point' when 'line' then 'LineString' else 'Polygon' end geometry_type from objects")
+def read_large_features(spark, sf_dir):
+    """Collections written piece by piece, and read by as many tasks as they have blocks."""
+    path = scratch_path(spark)
+    features = geojson.export_features(_field_objects(spark, sf_dir)).join(derived(spark, sf_dir, "objects").select("id", F.col("contributor_id").alias("by")), "id")
+    geojson.write_geojson(features, path, "by")
+    found = large_geojson.read_large_features(spark, f"{path}/by=*")
+    return found.select(F.regexp_extract("file", "by=([^/]*)", 1).alias("contributor_id"), "id", "ordinal", "geometry_type")
+
+
 @query("""select contributor_id contributor, id, row_number() over (partition by contributor_id order by case category when 'point' then 1 when 'line' then 2 else 3 end, cast(id as bigint), id) - 1 place from objects""")
 def export_order(spark, sf_dir):
     """Collections list points, then lines, then areas, each in stored order."""
