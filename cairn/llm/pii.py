@@ -6,7 +6,8 @@ digits a replacement of the same class and script, so layout, length, case and c
 entities of all texts, surrogates that coincide with each other or with an entity that occurs are drawn anew until none
 does: different entities stay different, equal ones equal, across all texts.
 
-Names are found after titles.  Each word of a name is an entity of its own, so a person's surrogate is the same under any
+Names are found after titles and, if asked for, where words that the corpus has after titles stand beside each other
+without one.  Each word of a name is an entity of its own, so a person's surrogate is the same under any
 title and in any order; and a text's name words are replaced wherever in the text they stand, with a title or without.
 Whether a given name's surrogate ends as a woman's or a man's is settled once for all texts, by the titles before it.
 """
@@ -44,7 +45,10 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 PARTICLES = ["van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "af", "av", "bin", "ibn", "al", "el", "y"]
 _NAME = r"(?:\p{Lu}['\u2019])?\p{Lu}\p{L}+"
 #: A title and the name after it: words of any number, with initials, particles and apostrophes.
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)}) )*+{_NAME}(?:[ \-](?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)})[ \-])*+{_NAME})*+"
+_NEXT = rf"(?:[ \-](?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)})[ \-])*+{_NAME})"
+TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\b\.? (?:\p{{Lu}}\. ?)*+(?:(?:{'|'.join(PARTICLES)}) )*+{_NAME}{_NEXT}*+"
+#: Words that could be a name, whatever is before them: two or more, with initials, particles and apostrophes.
+RUN = rf"(?<![\p{{L}}\p{{N}}]){_NAME}{_NEXT}++"
 #: What a text with any entity but names has, and one with names.
 _SIGN = r"[@]|\d[^\p{L}]*\d[^\p{L}]*\d|\d[a-zA-Z]|[A-Za-z0-9]{20}"
 _TITLE_SIGN = rf"(?:{_TITLE})\b"
@@ -70,6 +74,39 @@ def name_words(text: Column) -> Column:
     return F.when(text.rlike(_TITLE_SIGN), words).otherwise(F.array().cast("array<string>"))
 
 
+def known_names(docs: DataFrame, least: int, text: str = "text") -> DataFrame:
+    """Words in lower case that stand in titled names of `least` or more different texts: column word."""
+    words = F.transform(name_words(F.col(text)), F.lower)
+    each = docs.select(F.xxhash64(text).alias("h"), F.explode(words).alias("word")).distinct()
+    return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+
+
+def untitled(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """Of texts in which two known words follow each other as a name's would: h (a hash of the text) and these words.
+
+    They are given as the text writes them, in capitals, and with a capital first.  known: column word, each once.  It is
+    joined with the pairs of each text, so known words may be of any number.
+    """
+    runs = F.transform(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0)), lambda r: F.regexp_extract_all(r, F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
+    pairs = F.flatten(F.transform(runs, lambda w: F.transform(F.slice(w, F.lit(2), F.size(w)), lambda second, i: F.struct(w[i].alias("first"), second.alias("second")))))
+    each = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(pairs)).alias("p")).select("h", "p.first", "p.second")
+    for side in ("first", "second"):
+        each = each.join(known, F.lower(side) == F.col("word"), "left_semi")
+    words = each.select("h", F.explode(F.array("first", "second")).alias("word"))
+    capital = F.concat(F.substring("word", 1, 1), F.lower(F.substring(F.col("word"), F.lit(2), F.length("word"))))
+    return words.select("h", F.explode(F.array("word", F.upper("word"), capital)).alias("word")).groupBy("h").agg(F.sort_array(F.collect_set("word")).alias("words"))
+
+
+def _with_names(docs: DataFrame, names: str, hashed: str, more: DataFrame | None, text: str) -> DataFrame:
+    """docs with a column of each text's name words; with more (columns h and words), also of its hash."""
+    found = docs.withColumn(names, name_words(F.col(text)))
+    if more is None:
+        return found
+    words = fresh(found, "words_of")
+    found = found.withColumn(hashed, F.xxhash64(text)).join(more.toDF(hashed, words), hashed, "left")
+    return found.withColumn(names, F.array_distinct(F.concat(names, F.coalesce(words, F.array().cast("array<string>"))))).drop(words)
+
+
 def pattern_with(names: Column) -> Column:
     """PATTERN with an alternative for the given words, which are letters only."""
     return F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
@@ -217,15 +254,16 @@ def _votes(text: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, each).otherwise(F.array().cast("array<struct<raw:string,votes:int>>"))
 
 
-def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 60) -> DataFrame:
+def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 60, more: DataFrame | None = None) -> DataFrame:
     """The entities that aren't as their own text says: kind, canonical, attempt (from 0) and female.
 
     These are entities whose first surrogate isn't theirs to keep, and names whose titles say otherwise than their ending.
     Of entities that share a surrogate, in any of the ways that they are written, the smallest canonical form keeps it.
     Needs the distinct entities only; each round is a written table.  Raises if some entities find no free surrogate.
+    more: names without titles, as untitled gives them.
     """
     t, names = F.col("t"), F.col("names")
-    named = docs.select(F.col(text).alias("t")).withColumn("names", name_words(t))
+    named = _with_names(docs.select(F.col(text).alias("t")), "names", "h", more, "t")
     plain = F.transform(F.array_distinct(entities(t, names)), lambda r: F.struct(r.alias("raw"), F.lit(0).alias("votes")))
     raw = named.select(F.inline(F.concat(plain, _votes(t, names)))).groupBy("raw").agg(F.sum("votes").alias("votes"))
     known = raw.select("votes", F.inline(described(F.array("raw")))).where("kind <> 'number'")
@@ -248,26 +286,34 @@ def redrawn(docs: DataFrame, key: str, text: str = "text", max_rounds: int = 60)
     raise RuntimeError("surrogates: too few free ones")
 
 
-def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text: str = "text", learn: int = 0) -> DataFrame:
     """docs with entities in text replaced, and n_entities; a null text stays null and has none.
 
+    learn: words that are in titled names of so many different texts, or more, are names without a title, too, in texts
+    where two of them follow each other; with 0, names are those of the text's own titles only.
+
     Each row has its own result, so ties and repeated rows are kept; an empty table gives none.  A column n_entities is
     replaced where docs has one, all others pass through.
     """
-    special = written(redrawn(docs, key, text).withColumn("name", F.concat_ws("|", "kind", "canonical")))
+    more = None
+    if learn:
+        known = written(known_names(docs, learn, text))
+        if not known.isEmpty():
+            more = written(untitled(docs, known, text))
+    special = written(redrawn(docs, key, text, more=more).withColumn("name", F.concat_ws("|", "kind", "canonical")))
     names, listed, hashed, drawn = (fresh(docs, n) for n in ("names_of", "entities_of", "hash_of", "drawn_of"))
-    found = docs.withColumn(names, name_words(F.col(text))).withColumn(listed, described(entities(F.col(text), F.col(names))))
+    found = _with_names(docs, names, hashed, more, text).withColumn(listed, described(entities(F.col(text), F.col(names))))
     of = lambda e: F.lit(None).cast("struct<attempt:int,female:boolean>")
     if not special.isEmpty():
         # texts with such entities, by a hash of the text: a text that shares the hash gets names that it doesn't have
         at = found.where(F.size(listed) > 0).select(F.xxhash64(text).alias("h"), F.explode(listed).alias("e"))
         at = at.select("h", F.concat_ws("|", "e.kind", "e.canonical").alias("name")).distinct().join(special.select("name", "attempt", "female"), "name")
         maps = written(at.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("attempt", "female")))).alias(drawn)).withColumnRenamed("h", hashed))
-        found = found.withColumn(hashed, F.xxhash64(text)).join(maps, hashed, "left").drop(hashed)
+        found = (found if more is not None else found.withColumn(hashed, F.xxhash64(text))).join(maps, hashed, "left")
         of = lambda e: F.try_element_at(F.col(drawn), F.concat_ws("|", e["kind"], e["canonical"]))
     known = F.transform(listed, lambda e: _with(e, ["raw", "kind", "canonical"], of=of(e)))
     known = F.transform(known, lambda e: _with(e, ["raw", "kind", "canonical"], attempt=F.coalesce(e["of"]["attempt"], F.lit(0)), female=F.coalesce(e["of"]["female"], female(e["canonical"]))))
     between = F.when(F.size(names) > 0, F.split(F.col(text), pattern_with(F.col(names)), -1)).otherwise(F.split(F.col(text), PATTERN, -1))
     parts = F.zip_with(between, F.concat(surrogates(known, key), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     whole = F.when(F.size(listed) > 0, F.array_join(parts, "")).otherwise(F.col(text))
-    return found.withColumns({text: whole, "n_entities": F.size(F.filter(listed, lambda e: e["kind"] != "number"))}).drop(names, listed, drawn)
+    return found.withColumns({text: whole, "n_entities": F.size(F.filter(listed, lambda e: e["kind"] != "number"))}).drop(names, listed, drawn, hashed)

@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import random
+from collections import Counter
 
 import regex
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def luhn(digits):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
-def plain(texts, key):
+def plain(texts, key, learn=0):
     """Surrogates for all texts, word by word and draw by draw."""
     titles = sorted(itertools.chain(*pii.TITLES.values()), key=len, reverse=True)
     kinds = {k: regex.compile(p) for k, p in pii.KINDS.items()}
@@ -39,9 +41,20 @@ def plain(texts, key):
     def canonical(raw, k):
         return digits_of(raw) if k in ("phone", "ssn", "card") else raw.replace(" ", "") if k == "iban" else raw if k == "secret" else raw.lower()
 
-    votes, found = {}, []
+    votes, found, seen = {}, [], {}
+    for t in {t for t in texts if t} if learn else ():
+        for m in titled.finditer(t):
+            for w in regex.findall(r"\p{Lu}\p{L}+", m[0][len(next(x for x in titles if m[0].startswith(x))) :]):
+                seen.setdefault(w.lower(), set()).add(t)
+    known = {w for w, where in seen.items() if len(where) >= learn}
+    run = regex.compile(pii.RUN)
     for t in texts:
         words = []
+        for m in run.finditer(t or "") if known else ():
+            each = regex.findall(r"\p{Lu}\p{L}+", m[0])
+            for pair in zip(each, each[1:]):
+                if all(w.lower() in known for w in pair):
+                    words += [x for w in pair for x in (w, w.upper(), w[0] + w[1:].lower())]
         for m in titled.finditer(t or ""):
             title = next(x for x in titles if m[0].startswith(x))
             own = regex.findall(r"\p{Lu}\p{L}+", m[0][len(title) :])
@@ -190,3 +203,40 @@ def test_against_the_plain_version(spark, sf_dir):
     want = plain(texts, "key")
     assert [got[i].text for i in range(len(texts))] == want
     assert {(r.names_of, r._attempts, r._entities, r.hash_of, r.raw, r.kind) for r in got.values()} == {("kept",) * 6}
+
+
+LEARNED = [
+    "Mrs Anna Smith and Mr. Peter van Dyk", "Dr. Anna Berg", "Herr Peter Smith", "Frau Berg, Mr Dyk", "Anna Smith came; Anna left, SMITH too", "Peter J. van Dyk-Berg", "Anna Zorn saw Berg",
+    "Peter. Anna", "Peter Anna Zorn", "ANNA SMITH of Anna", "Zorn Peter Smith Anna", None, "", "x", "Anna Smith came; Anna left, SMITH too", "Mr Once Only", "Once Only", "\u03a0\u03ad\u03c4\u03c1\u03bf\u03c2 Smith",
+]
+
+
+def test_names_without_titles(spark):
+    """Names that other texts have after titles, two beside each other; not one alone, nor words of one text's title only."""
+    docs = spark.createDataFrame(list(enumerate(LEARNED)), "doc_id long, text string").withColumns({c: F.lit("kept") for c in ("h", "words_of", "hash_of", "word")})
+    rows = {r.doc_id: r for r in pii.replaced(docs, "k", learn=2).collect()}
+    got = {i: r.text for i, r in rows.items()}
+    assert [got[i] for i in range(len(LEARNED))] == plain(LEARNED, "k", 2)
+    anna, smith = regex.match(r"Mrs (\w+) (\w+)", got[0]).groups()
+    assert got[4] == got[14] == f"{anna} {smith} came; {anna} left, {smith.upper()} too" and {anna, smith}.isdisjoint({"Anna", "Smith"})
+    assert regex.fullmatch(r"\w{5} J\. van \w{3}-\w{4}", got[5]) and not regex.search("Peter|Dyk|Berg", got[5]) and not regex.search("Anna|ANNA|SMITH", got[9])
+    assert got[8].endswith(" Zorn") and got[10].startswith("Zorn ") and "Peter" not in got[8] + got[10]
+    assert all(got[i] == LEARNED[i] for i in (6, 7, 11, 12, 13, 16, 17)) and rows[4].n_entities == 4 and {tuple(r[2:6]) for r in rows.values()} == {("kept",) * 4}
+    assert {r.doc_id: r.text for r in pii.replaced(docs, "k").collect()}[4] == LEARNED[4]
+
+
+def test_share_of_untitled_names_found(spark):
+    """Of planted untitled full names, those of people whose words two other texts or more have after titles are found."""
+    draw = random.Random(8)
+    syllables = ["ba", "le", "mi", "ro", "tu", "na", "ke", "so"]
+    first, last = (sorted({"".join(draw.choices(syllables, k=k)).title() for _ in range(120)})[:80] for k in (2, 3))
+    people = [(draw.choice(first), draw.choice(last)) for _ in range(400)]
+    titled = [f"word {draw.choice(['Mr', 'Mrs', 'Dr.'])} {a} {b} word" for a, b in people[:200]]
+    free = [f"then {a} {b} went by Green Gate" for a, b in people[200:]]
+    docs = spark.createDataFrame(list(enumerate(titled + free)), "doc_id long, text string")
+    got = [r.text for r in pii.replaced(docs, "k", learn=2).orderBy("doc_id").collect()][200:]
+    often = Counter(w for a, b in {*people[:200]} for w in (a, b))
+    findable = [often[a] > 1 and often[b] > 1 for a, b in people[200:]]
+    assert sum(findable) > 80 and all(g.endswith(" went by Green Gate") for g in got)
+    assert all((a in g.split() or b in g.split()) != f for (a, b), g, f in zip(people[200:], got, findable) if f)
+    assert all(g == t for g, t, f in zip(got, free, findable) if not f)
