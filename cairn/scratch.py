@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +25,27 @@ def folder(spark: SparkSession) -> str:
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
 
 
+#: The lists of the blocks that this thread is in.
+_within: ContextVar[tuple[list[str], ...]] = ContextVar("within", default=())
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """Lists the paths that are given out in a block, in order, so that their tables can be removed when it is done."""
+    made: list[str] = []
+    before = _within.set((*_within.get(), made))
+    try:
+        yield made
+    finally:
+        _within.reset(before)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path there."""
-    return f"{folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    for made in _within.get():
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -36,5 +57,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Removes all of this application's scratch tables; to be called when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, [folder(spark)])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no result needs any more; paths without one are passed over."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

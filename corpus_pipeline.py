@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn import scratch
 from cairn.llm import bpe, langid, pii, simhash, tiling
 from cairn.llm.common import crc_mod, table, written
 
@@ -13,6 +14,8 @@ from cairn.llm.common import crc_mod, table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The key of surrogates. A deployment sets its own, kept secret, in the session's setting of this name.
 KEY, KEY_SETTING = "cairn", "spark.cairn.surrogates.key"
+#: Words after titles in so many texts are names without a title, too.
+LEARN = 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All rows stay, repeated ones alike; a null text stays null, with a null n_chars.
     """
     key = spark.conf.get(KEY_SETTING, KEY)
-    return pii.replaced(docs, key).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return pii.replaced(docs, key, learn=LEARN).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again by the next.
+
+    When a stage is written, the tables that it made on the way are removed, and so is its predecessor's.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch.tables() as made:
+            docs = written(stage(spark, docs, sf_dir))
+        scratch.remove(spark, before + made[:-1])
+        before = made[-1:]
     return docs
