@@ -399,10 +399,36 @@ def _meeting(rows: DataFrame, hot: DataFrame, bucket_rows: int) -> DataFrame:
     return found.withColumn("bucket", F.explode(to)).drop("main", "mains", "rests", "block")
 
 
+#: Sets of at most so many shingles (texts of up to 13 words of five-word ones) are met exactly: two of them that share 0.8
+#: of their shingles differ by one that one of them has beyond the other, or by one each.
+SMALL, SMALL_SIMILARITY = 9, 0.8
+
+
+def small_links(sets: DataFrame, similarity: float = SMALL_SIMILARITY) -> DataFrame:
+    """Links a, b between reps of sets (rep, shingles: distinct, sorted, at most SMALL) that share `similarity` of their shingles.
+
+    A spanning set of all such pairs, for a similarity of 0.8 or more.  Each set meets others under itself and under itself
+    without each one of its shingles.  What meets under a key differs from it by at most one shingle, so where the key has
+    k of them, all that meet share k of k + 2 or more: where that is enough they are linked to the smallest rep, else to
+    those that are the key itself.  So links are fewer than ten times the sets.  Sets that are equal are linked, too.
+    """
+    if similarity < SMALL_SIMILARITY:
+        raise ValueError("small_links: sets below a similarity of 0.8 may differ by more than a shingle")
+    without = F.transform("shingles", lambda x, i: F.struct(F.array_remove("shingles", x).alias("key"), F.lit(1).alias("out")))
+    keys = F.concat(F.array(F.struct(F.col("shingles").alias("key"), F.lit(0).alias("out"))), without)
+    met = sets.where(F.size("shingles").between(1, SMALL)).select("rep", F.explode(keys).alias("k")).select("rep", "k.key", "k.out")
+    k = F.size("key")
+    met = met.where((F.col("out") == 0) | (k >= similarity * (k + 1)))
+    hub = F.when(k >= similarity * (k + 2), F.min("rep")).otherwise(F.min(F.when(F.col("out") == 0, F.col("rep"))))
+    hubs = met.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n")
+    return met.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, words: int, budget: int, bands: int, band_bits: int, bucket_rows: int = 50_000, cluster_rows: int = 1000) -> DataFrame:
     """Links a, b between nodes (fp, set, n, rep, id, text_hash) that share `similarity` of their distinct shingles.
 
-    Their components are those of all such pairs that fingerprints propose.  First each node is checked against one of its
+    Their components are those of all such pairs that fingerprints propose, and of all pairs of at most SMALL shingles (with
+    a similarity of 0.8 or more), which small_links finds: fingerprints of so few shingles vary too much.  First each node is checked against one of its
     class in every bucket, which joins most of what belongs together.  What fingerprints propose makes clusters; in those
     whose nodes these links leave apart, the nodes' sets of shingles are compared where they are, and only links that join
     something leave the task: no pairs are written.  Buckets of over bucket_rows nodes are cut into blocks, and count as
@@ -419,7 +445,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     none = hot.isEmpty()
     stars = written(_stars(rows if none else _in_blocks(rows, hot.drop("first"), bucket_rows), words, budget))
     ends = stars.select(F.col("a_set").alias("set")).union(stars.select("b_set")).distinct()
-    good = written(_verified(stars, texts_of(ends), shingle, similarity))
+    good = _verified(stars, texts_of(ends), shingle, similarity)
+    few = nodes.where(F.col("n").between(1, SMALL))
+    if similarity >= SMALL_SIMILARITY and not few.isEmpty():
+        short = texts_of(few.select("set")).select("set", shingles(F.col("_text"), shingle).alias("shingles"))
+        short = short.groupBy("set").agg(F.first("shingles").alias("shingles"))
+        good = good.unionByName(small_links(few.select("set", "rep").join(short, "set")))
+    good = written(good)
     label = components(good)
     proposed = stars.select("a", "b")
     if not none:

@@ -131,3 +131,48 @@ def test_rows_alike_in_id_and_text(spark):
     for some in (rows, rows[::-1]):
         docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string")
         assert sorted((r.doc_id, r.lang, r.source) for r in simhash.deduplicated(docs).collect()) == [(1, "de", "a"), (2, "x", "y")]
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_small_sets_are_met_exactly(spark):
+    """Components of small_links are those of all pairs of at most nine shingles that share 0.8."""
+    draw, sets = random.Random(3), []
+    for _ in range(40):
+        base = draw.sample(range(1000), draw.randint(1, 9))
+        for _ in range(8):
+            some = set(base)
+            for _ in range(draw.randint(0, 2)):
+                some -= {draw.choice(base)} if draw.random() < 0.6 else set()
+                some |= {draw.randrange(1000, 1004)} if len(some) < 9 and draw.random() < 0.6 else set()
+            sets.append(frozenset(some or base[:1]))
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+    links = [(r.a, r.b) for r in simhash.small_links(spark.createDataFrame(rows, "rep long, shingles array<long>")).collect()]
+    assert all(similar(sets[a], sets[b]) for a, b in links) and len(links) < 10 * len(sets)
+
+    def classes(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = sorted((label[a], label[b]))
+            label = [x if w == y else w for w in label]
+        return label
+
+    want = classes([(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])])
+    assert classes(links) == want and 40 < len(set(want)) < 250
+    assert simhash.small_links(spark.createDataFrame([], "rep long, shingles array<long>")).count() == 0
+
+
+def test_recall_of_short_texts(spark):
+    """All pairs of texts of 8 to 13 words are found, whose fingerprints alone would miss one in ten."""
+    draw, rows, close = random.Random(11), [], []
+    for i in range(300):
+        n = draw.randint(8, 12 if i % 3 else 13)
+        words = [f"w{draw.randrange(9000)}" for _ in range(n)]
+        other = words + ["end"] if i % 3 else ["x", *words[1:]]
+        a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (words, other))
+        close += [1000 + i] if similar(a, b) else []
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+    left = set(kept(spark, rows))
+    assert len(close) > 180 and left.isdisjoint(close) and left == {i for i, _ in rows} - set(close)
