@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,10 @@ def stream_gps_runs(fixes: DataFrame, silence: str = "15 seconds", lateness: str
     return runs.agg(F.count("*").alias("n")).select("device_id", F.col("w.start").alias("run_start"), F.col("w.end").alias("run_end"), "n")
 
 
+#: Events of a device that wait together, unless a single bucket has more.
+MOST = 1000
+
+
 class Vertices:
     """The open recording's vertices: those of earlier batches stay in the state, new ones are appended to it.
 
@@ -111,11 +117,13 @@ class Vertices:
 class Recorder(StatefulProcessor):
     """Carries each device's recorder from batch to batch, and its events until the watermark has passed them.
 
-    Events wait in buckets of event time, each with a timer at its end; a bucket is read once, when its timer comes, so
-    neither a batch nor a timer ever holds more than one bucket of a device, however long the history that waits.
-    State: rest (the recorder but for its vertices, as one value), vertices (appended to), pending (events by bucket and
-    chunk), chunks (their number by bucket), waiting (the number of buckets, and the last one done), and late, the number of
-    events that came too late.
+    Events wait in spans of buckets of event time: a span holds MOST events at most, or is a single bucket.  A device has one
+    timer, at the end of its first bucket that waits; when it comes, all buckets that the watermark has passed are taken, a
+    span at a time, and of a span that it stands in the rest is put back.  So neither a batch nor a timer ever holds more than
+    one span of a device, however long the history that waits, and a device with few events costs as few calls of the state.
+    State: rest (the recorder but for its vertices, as one value), vertices (appended to), pending (events by first bucket of
+    a span and chunk), chunks (their number by span), spans (first and last bucket and number of events of each, in order, and
+    the timer), waiting (the number of spans, and the last one done), and late, the number of events that came too late.
     """
 
     def __init__(self, ttl_ms: int, bucket_ms: int):
@@ -127,78 +135,152 @@ class Recorder(StatefulProcessor):
         self.vertices = handle.getListState("vertices", "json string")
         self.pending = handle.getMapState("pending", "bucket bigint, chunk bigint", "json string")
         self.chunks = handle.getMapState("chunks", "bucket bigint", "n bigint")
+        self.spans = handle.getValueState("spans", "json string")
         self.waiting = handle.getValueState("waiting", "n bigint, done bigint")
         self.late = handle.getValueState("late", "n bigint")
 
+    def _bucket(self, event: dict) -> int:
+        return int(event["ts"]) // self.bucket_ms
+
+    def _known(self) -> tuple[list[list[int]], int | None]:
+        return tuple(json.loads(self.spans.get()[0])) if self.spans.exists() else ([], None)
+
+    def _keep(self, spans: list[list[int]], timer: int | None, passed: int) -> None:
+        """Stores the spans, and asks to be called when the first bucket that waits has ended."""
+        if spans:
+            end = (spans[0][0] + 1) * self.bucket_ms
+            if timer is None or end < timer or timer <= passed:
+                self.handle.registerTimer(end)
+                timer = end
+        self.spans.update((json.dumps((spans, timer)),))
+
+    def _cut(self, events: list[dict]) -> Iterator[list[dict]]:
+        """Events in order of time, in parts of MOST events at most or of one bucket."""
+        part: list[dict] = []
+        for _, some in groupby(events, self._bucket):
+            some = list(some)
+            if part and len(part) + len(some) > MOST:
+                yield part
+                part = []
+            part += some
+        if part:
+            yield part
+
+    def _new(self, events: list[dict]) -> list[list[int]]:
+        """Writes events in order of time as spans of their own."""
+        made = []
+        for part in self._cut(events):
+            first = self._bucket(part[0])
+            self.pending.updateValue((first, 0), (json.dumps(part, default=_plain),))
+            self.chunks.updateValue((first,), (1,))
+            made.append([first, self._bucket(part[-1]), len(part)])
+        return made
+
+    def _add(self, spans: list[list[int]], events: list[dict]) -> None:
+        """Puts events, in order of time, into the spans that hold their buckets, and into new ones between those."""
+        at = 0
+        while at < len(events):
+            bucket = self._bucket(events[at])
+            i = bisect_right(spans, bucket, key=lambda s: s[0]) - 1
+            within = i >= 0 and bucket <= spans[i][1]
+            beyond = spans[i][1] + 1 if within else spans[i + 1][0] if i + 1 < len(spans) else float("inf")
+            upto = bisect_left(events, beyond, lo=at, key=self._bucket)
+            if not within:
+                spans[i + 1 : i + 1] = self._new(events[at:upto])
+            else:
+                first, last, n = spans[i]
+                chunk = self.chunks.getValue((first,))[0]
+                self.pending.updateValue((first, chunk), (json.dumps(events[at:upto], default=_plain),))
+                self.chunks.updateValue((first,), (chunk + 1,))
+                spans[i][2] = n + upto - at
+                if spans[i][2] > MOST and first < last:
+                    spans[i : i + 1] = self._new(self._read(first))
+            at = upto
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Puts events into their buckets and asks to be called at a bucket's end; some rows at a time.  Late ones are counted."""
+        """Puts events into their spans and asks to be called at a bucket's end; some rows at a time.  Late ones are counted."""
         passed, late = timerValues.getCurrentWatermarkInMs(), 0
-        n, done = self.waiting.get() if self.waiting.exists() else (0, None)
+        spans, timer = self._known()
         for some in rows:
             events = [_clean(r) for r in some.drop(columns="received_at").to_dict("records")]
-            fresh = [e for e in events if e["ts"] > passed or not passed]
+            fresh = sorted((e for e in events if e["ts"] > passed or not passed), key=lambda e: e["ts"])
             late += len(events) - len(fresh)
-            buckets: dict[int, list[str]] = {}
-            for e in fresh:
-                buckets.setdefault(int(e["ts"]) // self.bucket_ms, []).append(json.dumps(e, default=_plain))
-            for bucket, events in buckets.items():
-                known = self.chunks.containsKey((bucket,))
-                chunk = self.chunks.getValue((bucket,))[0] if known else 0
-                self.pending.updateValue((bucket, chunk), (f"[{','.join(events)}]",))
-                self.chunks.updateValue((bucket,), (chunk + 1,))
-                if not known:
-                    n += 1
-                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-        self.waiting.update((n, done))
+            self._add(spans, fresh)
+        self.waiting.update((len(spans), self.waiting.get()[1] if self.waiting.exists() else None))
+        self._keep(spans, timer, passed)
         if late:
             self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
         yield pd.DataFrame([], columns=_NAMES)
 
-    def _taken(self, bucket: int) -> list[dict]:
-        """The events of a bucket, in order; it's gone then."""
-        if not self.chunks.containsKey((bucket,)):
-            return []
-        n, done = self.waiting.get()
-        if done is not None and bucket <= done:
-            raise RuntimeError(f"bucket {bucket} came after {done}")  # timers come in order of time
+    def _read(self, bucket: int) -> list[dict]:
+        """The events of a span, in order; it's gone then."""
         found = []
         for chunk in range(self.chunks.getValue((bucket,))[0]):
             found += json.loads(self.pending.getValue((bucket, chunk))[0])
             self.pending.removeKey((bucket, chunk))
         self.chunks.removeKey((bucket,))
-        self.waiting.update((n - 1, bucket))
         return sorted(found, key=lambda e: (e["ts"], e["seq"]))
 
+    def _taken(self, bucket: int) -> list[dict]:
+        """The events of a span that is done, in order."""
+        if not self.chunks.containsKey((bucket,)):
+            return []
+        n, done = self.waiting.get()
+        if done is not None and bucket <= done:
+            raise RuntimeError(f"bucket {bucket} came after {done}")  # spans are taken in order of time
+        found = self._read(bucket)
+        self.waiting.update((n - 1, bucket))
+        return found
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Takes the events of the bucket that ends; drops a recording that nothing was added to for long."""
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        ready = self._taken(end // self.bucket_ms - 1)
+        """Takes the events of all buckets that have ended; drops a recording that nothing was added to for long."""
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        ended = passed // self.bucket_ms  # the first bucket that hasn't
+        spans, timer = self._known()
         state = json.loads(self.rest.get()[0]) if self.rest.exists() else {**new_state(), "n_vertices": 0, "at": None}
         kept = state["vertices"] = Vertices(self.vertices, state.pop("n_vertices"))
-        at, found = state.pop("at"), []
+        at = state.pop("at")
         abandoned = lambda until: at is not None and state["category"] is not None and until - at > self.ttl_ms
-        for e in ready:
-            if abandoned(e["ts"]):
-                state.update(category=None, object_type=None, source=None, vertices=[])
-            at = e["ts"]
-            made = step(state, e)
-            if made:
-                found.append({"device_id": key[0], **made, "coordinates": list(made["coordinates"])})
-        alone = not self.waiting.exists() or self.waiting.get()[0] == 0
-        if abandoned(timerValues.getCurrentWatermarkInMs() if alone else end):
+
+        def stored() -> Vertices:
+            """Vertices are brought to the state span by span, so that those of a long recording are never held."""
+            vertices = state["vertices"]
+            if vertices is kept:
+                if kept.new:
+                    self.vertices.appendList([(json.dumps(v),) for v in kept.new])
+            elif len(vertices):
+                self.vertices.put([(json.dumps(v),) for v in vertices])
+            else:
+                self.vertices.clear()
+            state["vertices"] = Vertices(self.vertices, len(vertices))
+            return state["vertices"]
+
+        while spans and spans[0][0] < ended:
+            first, last, _ = spans.pop(0)
+            ready, found = self._taken(first), []
+            if last >= ended:
+                cut = bisect_left(ready, ended, key=self._bucket)
+                spans[:0] = self._new(ready[cut:])
+                self.waiting.update((len(spans), first))
+                ready = ready[:cut]
+            for e in ready:
+                if abandoned(e["ts"]):
+                    state.update(category=None, object_type=None, source=None, vertices=[])
+                at = e["ts"]
+                made = step(state, e)
+                if made:
+                    found.append({"device_id": key[0], **made, "coordinates": list(made["coordinates"])})
+            kept = stored()
+            if found:
+                yield pd.DataFrame(found, columns=_NAMES)
+        if not spans and abandoned(passed):
             state.update(category=None, object_type=None, source=None, vertices=[])
-        vertices = state.pop("vertices")
-        if vertices is kept:
-            if kept.new:
-                self.vertices.appendList([(json.dumps(v),) for v in kept.new])
-        elif len(vertices):
-            self.vertices.put([(json.dumps(v),) for v in vertices])
-        else:
-            self.vertices.clear()
-        self.rest.update((json.dumps({**state, "n_vertices": len(vertices), "at": at}),))
-        if state["category"] is not None and alone:  # at a bucket's end, so that all events before are known by then
+        n = len(stored())
+        self.rest.update((json.dumps({**{k: v for k, v in state.items() if k != "vertices"}, "n_vertices": n, "at": at}),))
+        self._keep(spans, timer, passed)
+        if state["category"] is not None and not spans:  # at a bucket's end, so that all events before are known by then
             self.handle.registerTimer(-(-(at + self.ttl_ms + 1) // self.bucket_ms) * self.bucket_ms)
-        yield pd.DataFrame(found, columns=_NAMES)
+        yield pd.DataFrame([], columns=_NAMES)
 
     def close(self) -> None:
         pass
@@ -216,8 +298,8 @@ def stream_recordings(events: DataFrame, lateness: str = "1 minute", ttl: str =
     """Finished objects of a stream of fixes and actions (as the recorder's EVENT), by the exact recorder.
 
     Events count in the order of (ts, seq), whatever batches they come in: they wait until the watermark, `lateness` behind
-    the latest event of all devices, has passed the end of their bucket of event time, which is all of a device's events that
-    is ever held at once.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for
+    the latest event of all devices, has passed the end of their bucket of event time; a bucket, or MOST events, is all of a
+    device's events that is ever held at once.  Later ones are dropped, and late_events counts them.  A recording to which nothing is added for
     `ttl` is dropped.  Needs the RocksDB state store.
     """
     length, width = (_ms(events.sparkSession, x) for x in (ttl, bucket))

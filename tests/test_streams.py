@@ -193,3 +193,67 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
         keep(spark.range(n).withColumnRenamed("id", "k"), 0)
     keep(spark.range(1).withColumnRenamed("id", "k"), 1)
     assert sinks.appended(spark, str(tmp_path)).count() == 3 and sinks.updated(spark, str(tmp_path), "k").count() == 2
+
+
+def test_calls_of_the_state_do_not_grow_with_buckets(spark, monkeypatch):
+    """Few events in many buckets are one span, which one timer takes; a span of many is cut, and none holds more than MOST."""
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, k):  # noqa: N802
+            return k in self
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            Map.calls += 1
+            self[k] = v
+
+        removeKey = dict.pop  # noqa: N815
+
+    class Value:
+        v = None
+        exists, get = lambda self: bool(self.v), lambda self: self.v
+        update = put = lambda self, v: setattr(self, "v", v)
+        clear = lambda self: setattr(self, "v", None)
+        appendList = lambda self, v: setattr(self, "v", [*(self.v or ()), *v])  # noqa: E731, N815
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+            self.registerTimer = self.timers.append
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    def table(rows):
+        import pandas as pd
+
+        return pd.DataFrame([{**e, "received_at": None} for e in as_events(rows)])
+
+    for most, step in ((1000, 20_000), (20, 1_000)):
+        monkeypatch.setattr(streams, "MOST", most)
+        Map.calls = 0
+        r = streams.Recorder(10**12, MINUTE)
+        r.handle, r.pending, r.chunks = Handle(), Map(), Map()
+        r.rest, r.vertices, r.spans, r.waiting, r.late = Value(), Value(), Value(), Value(), Value()
+        rows = history(600, [1], 5, step)
+        shuffled = random.Random(6).sample(rows, len(rows))
+        got, key = [], (1,)
+        for part in (shuffled[:300], shuffled[300:]):
+            list(r.handleInputRows(key, iter([table(part)]), At(0)))
+        assert all(n <= most or first == last for first, last, n in r._known()[0])
+        if most == 1000:
+            assert Map.calls <= 8 and len(r.handle.timers) <= 2
+        # a watermark in the middle, and one at the end
+        for now in (rows[300][1], rows[-1][1] + 5 * MINUTE):
+            for df in r.handleExpiredTimer(key, At(now), At(min(r.handle.timers))):
+                got += df.to_dict("records")
+            assert r.waiting.get()[0] == len(r._known()[0])
+        assert not r.pending and not r.chunks
+        want = recorder.new_state()
+        made = [m for e in as_events(rows) if (m := recorder.step(want, recorder._clean(e)))]
+        assert [(m["created_at"], m["category"], m["coordinates"]) for m in made] == [(g["created_at"], g["category"], g["coordinates"]) for g in got] and made
