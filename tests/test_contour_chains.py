@@ -47,3 +47,11 @@ def test_groups_are_chained_together_in_batches():
         got = [(r["w"], r["k"], r["closed"], _turned([(p["e"], p["x"], p["y"]) for p in r["c"]])) for b in found for r in b.to_pylist()]
         assert sorted(map(str, got)) == sorted(map(str, want))
         assert size < len(rows) or len(found) <= 2  # all groups but the one that a batch leaves open at once, not one by one
+
+
+def test_levels_of_a_cell_are_not_grouped(spark, sf_dir):
+    """The query's rows come one by one from its cells, however many levels cross one: no aggregation lies above them."""
+    from cairn.plans import more_queries
+
+    plan = more_queries.contour_segments(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
