@@ -3,6 +3,8 @@
 import json
 from pathlib import Path
 
+import pytest
+
 from cairn.sources import geojson
 
 NAMES = ["a}b", 'x"y\\', "", "é/=% {", None, *map(str, range(40))]
@@ -30,11 +32,12 @@ def test_packed_collections(spark, tmp_path):
     assert {r.collection_type for r in back} == {"FeatureCollection"} and {r.geometry_type for r in back} == {"Point"}
 
 
-def test_query_writes_few_files(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("name", ["read_features", "export_order"])
+def test_query_writes_few_files(spark, sf_dir, monkeypatch, name):
     from cairn.plans import more_queries
 
     paths = []
     path_of = more_queries.scratch_path
     monkeypatch.setattr(more_queries, "scratch_path", lambda s: paths.append(path_of(s)) or paths[-1])
-    assert more_queries.read_features(spark, sf_dir).count() > 10
+    assert getattr(more_queries, name)(spark, sf_dir).count() > 10
     assert all(len(list(Path(p).rglob("*.txt"))) <= 2 for p in paths) and paths
