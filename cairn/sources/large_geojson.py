@@ -76,11 +76,14 @@ def _in_order(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Objects at depth 2, or what a block has of them: file, block, n, begins, ends, text."""
+    """Objects at depth 2, or what a block has of them, and where documents begin: file, block, n, head, begins, ends, text.
+
+    Of a document that begins (head), text is what comes before its first closing brace, closed.
+    """
     now, inside, depth, n, held, begins = None, False, 0, 0, None, False
 
     def part(ends: bool) -> tuple:
-        return (*now, n, begins, ends, "".join(held))
+        return (*now, n, False, begins, ends, "".join(held))
 
     for batch in batches:
         done = []
@@ -91,6 +94,9 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 now, inside, depth, n = (file, block), inside0, depth0, 0
                 held, begins = ([], False) if depth > 2 else (None, False)
             if held is None:
+                if depth == 0 and (at := opening(piece, inside, 0, 0)) is not None:
+                    done.append((*now, n, True, True, True, piece[at:] + "}}"))
+                    n += 1
                 at = opening(piece, inside, depth, 2)
                 if at is not None:
                     held, begins = [piece[at:], "}"], True
@@ -101,17 +107,20 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held is not None and depth <= 2 and not inside:
                 done.append(part(True))
                 held, n = None, n + 1
-        yield pd.DataFrame(done, columns=["file", "block", "n", "begins", "ends", "text"])
+        yield pd.DataFrame(done, columns=["file", "block", "n", "head", "begins", "ends", "text"])
     if held is not None:
-        yield pd.DataFrame([part(False)], columns=["file", "block", "n", "begins", "ends", "text"])
+        yield pd.DataFrame([part(False)], columns=["file", "block", "n", "head", "begins", "ends", "text"])
 
 
-def read_large_features(spark: SparkSession, path: str) -> DataFrame:
+def read_large_features(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """One row a feature: file, ordinal (from 0, within its file), id, properties and geometry (JSON) and geometry_type.
 
     As read_features of whole documents, but for what a collection says of itself; a collection without features has no row.
     Blocks are as large as Spark cuts files (spark.sql.files.maxPartitionBytes); compressed files are one block.  A feature
     is one row, however long.  What isn't JSON gives no features from there on.
+
+    With packed, files hold many collections, one after the other (see write_collections): ordinal is within the
+    collection, and name is one more column, of the name in the properties that it begins with (null: it has none there).
     """
     read = spark.read.option("lineSep", "}").text(path)
     pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
@@ -121,17 +130,30 @@ def read_large_features(spark: SparkSession, path: str) -> DataFrame:
         known = pieces.join(F.broadcast(starts), ["file", "block"])
     else:
         known = pieces.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "nth")
-    parts = known.select("file", "block", "value", "inside", "depth").mapInPandas(_parts, "file string, block long, n long, begins boolean, ends boolean, text string")
-    whole = parts.where("begins and ends").select("file", "block", "n", "text")
+    parts = known.select("file", "block", "value", "inside", "depth").mapInPandas(_parts, "file string, block long, n long, head boolean, begins boolean, ends boolean, text string")
+    # written, as what follows reads them several times over, and Python should not
+    read_f = F.from_json("text", _FEATURE)
+    is_whole = F.col("begins") & F.col("ends")
+    parts = written(parts.select("file", "block", "n", "head", "begins", "ends", F.when(is_whole & ~F.col("head"), read_f).alias("f"), F.when(F.col("head"), F.get_json_object("text", "$.properties.name")).alias("name"), F.when(~is_whole, F.col("text")).alias("text")))
+    whole = parts.where("begins and ends").select("file", "block", "n", "head", "name", "f")
     cut = parts.where("not (begins and ends)")  # two of a block at most
     order = Window.partitionBy("file").orderBy("block", "n")
     cut = cut.withColumn("which", F.sum(F.col("begins").cast("long")).over(order))
     first = F.min(F.struct("block", "n"))
     met = cut.groupBy("file", "which").agg(first.alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "text"))), lambda p: p["text"]), "").alias("text"))
-    objects = whole.unionByName(met.select("file", "at.block", "at.n", "text")).withColumn("f", F.from_json("text", _FEATURE)).where("f.type = 'Feature'")
-    counts = objects.groupBy("file", "block").agg(F.count("*").alias("n_features"))
+    met = met.select("file", "at.block", "at.n", F.lit(False).alias("head"), F.lit(None).cast("string").alias("name"), read_f.alias("f"))
+    # what is counted goes by place in the block: the features up to each row, and the last collection that began before it
+    upto = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = whole.unionByName(met).where("head or f.type = 'Feature'").withColumn("upto", F.count(F.when(~F.col("head"), 1)).over(upto))
+    begun = F.when(F.col("head"), F.struct("name", F.col("upto").alias("at")))
+    placed = placed.withColumn("begun", F.last(begun, ignorenulls=True).over(upto))
+    counts = placed.groupBy("file", "block").agg(F.max("upto").alias("n_features"), F.max_by("begun", "n").alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file", "block", F.coalesce(F.sum("n_features").over(before), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("n")) - 1
-    found = objects.withColumn("nth", nth).join(counts, ["file", "block"])
-    return found.select("file", (F.col("before") + F.col("nth")).alias("ordinal"), "f.id", "f.properties", "f.geometry", F.get_json_object("f.geometry", "$.type").alias("geometry_type"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n_features").over(before), F.lit(0)))
+    later = F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("before") + F.col("last.at")).alias("at")))
+    counts = counts.withColumn("earlier", F.last(later, ignorenulls=True).over(before)).select("file", "block", "before", "earlier")
+    found = placed.where("not head").join(counts, ["file", "block"])
+    ordinal = F.col("before") + F.col("upto") - 1
+    own = F.when(F.col("begun").isNotNull(), F.struct(F.col("begun.name").alias("name"), (F.col("before") + F.col("begun.at")).alias("at"))).otherwise(F.col("earlier"))
+    of = [own["name"].alias("name")] if packed else []
+    return found.select("file", ((ordinal - own["at"]) if packed else ordinal).alias("ordinal"), "f.id", "f.properties", "f.geometry", F.get_json_object("f.geometry", "$.type").alias("geometry_type"), *of)

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from cairn.sources import geojson
+from cairn.sources import geojson, large_geojson
 
 NAMES = ["a}b", 'x"y\\', "", "é/=% {", None, *map(str, range(40))]
 
@@ -32,7 +32,26 @@ def test_packed_collections(spark, tmp_path):
     assert {r.collection_type for r in back} == {"FeatureCollection"} and {r.geometry_type for r in back} == {"Point"}
 
 
-@pytest.mark.parametrize("name", ["read_features", "export_order"])
+@pytest.mark.parametrize("block", ["1k", "128m"])
+def test_packed_collections_by_blocks(spark, tmp_path, block):
+    """Blocks begin within features, and collections go on for several blocks."""
+    path = str(tmp_path / "p")
+    more = features(spark).where("by <> '7'").unionByName(spark.createDataFrame([(f"7-{i}", i, "point", '{"t": "}{\\n%d"}' % i, '{"type":"Point","coordinates":[1.0,2.0]}', "7") for i in range(100)], features(spark).schema))
+    more = more.unionByName(features(spark).where("by is null"))
+    geojson.write_geojson(more, path, "by", app="te}st", packed=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        back = large_geojson.read_large_features(spark, path, packed=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = sorted([w for w in wanted() if w[0] != "7"] + [("7", i, f"7-{i}", f"}}{{\n{i}") for i in range(100)])
+    assert sorted((str(r.name), r.ordinal, r.id, json.loads(r.properties)["t"]) for r in back) == want
+
+
+@pytest.mark.parametrize("name", ["read_features", "export_order", "read_large_features"])
 def test_query_writes_few_files(spark, sf_dir, monkeypatch, name):
     from cairn.plans import more_queries
 
