@@ -21,11 +21,13 @@ from cairn.scratch import written
 MOST_BLOCKS = 200_000
 _FEATURE = "type string, id string, properties string, geometry string"
 _ESCAPED = re.compile(r"\\.", re.S)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{\[\]]', re.S)
+_REST = re.compile(r'(?:[^"\\]|\\.)*"?', re.S)  # of a string that began before
 
 
 def effect(piece: str, inside: bool) -> tuple[bool, int]:
     """Of a piece and the brace after it: whether it ends within a string, and how much deeper it ends."""
-    parts = _ESCAPED.sub("", piece).split('"')
+    parts = (_ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
     outside = "".join(parts[1 if inside else 0 :: 2])
     ends = inside != (len(parts) % 2 == 0)
     deeper = outside.count("{") + outside.count("[") - outside.count("]") - (not ends)
@@ -34,22 +36,24 @@ def effect(piece: str, inside: bool) -> tuple[bool, int]:
 
 def opening(piece: str, inside: bool, depth: int, level: int) -> int | None:
     """Where in a piece an object begins at a depth of `level`, if one does that the piece doesn't end before its brace."""
-    found, escaped = None, False
-    for i, c in enumerate(piece):
-        if escaped:
-            escaped = False
-        elif c == "\\":
-            escaped = True
-        elif c == '"':
-            inside = not inside
-        elif not inside:
-            if c == "{" and depth == level:
-                found = i
-            depth += c in "{["
-            depth -= c == "]"
+    found = None
+    for token in _TOKEN.finditer(piece, _REST.match(piece).end() if inside else 0):
+        c = piece[token.start()]
+        if c == "{" and depth == level:
+            found = token.start()
+        depth += (c in "{[") - (c == "]")
     return found
 
 
+def effects(piece: str) -> tuple[bool, int, int]:
+    """effect() for both states at once: whether the state changes, and how much deeper a piece ends that begins outside a
+    string, and one that begins within."""
+    parts = (_ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
+    even = len(parts) % 2 == 0
+    deeper = [(o := "".join(parts[k::2])).count("{") + o.count("[") - o.count("]") - (even == bool(k)) for k in (0, 1)]
+    return even, *deeper
+
+
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, state = None, None
     for batch in batches:
@@ -59,8 +63,8 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if now:
                     done.append((*now, *state))
                 now, state = (file, block), (False, 0, True, 0)
-            a, b = effect(piece, state[0]), effect(piece, state[2])
-            state = (a[0], state[1] + a[1], b[0], state[3] + b[1])
+            changes, *deeper = effects(piece)
+            state = (state[0] != changes, state[1] + deeper[state[0]], state[2] != changes, state[3] + deeper[state[2]])
         yield pd.DataFrame(done, columns=["file", "block", "end0", "deeper0", "end1", "deeper1"])
     if now:
         yield pd.DataFrame([(*now, *state)], columns=["file", "block", "end0", "deeper0", "end1", "deeper1"])

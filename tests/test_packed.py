@@ -60,3 +60,11 @@ def test_query_writes_few_files(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(more_queries, "scratch_path", lambda s: paths.append(path_of(s)) or paths[-1])
     assert getattr(more_queries, name)(spark, sf_dir).count() > 10
     assert all(len(list(Path(p).rglob("*.txt"))) <= 2 for p in paths) and paths
+
+
+def test_effects_of_both_states():
+    for piece in ['{"a":{', "x{[", 'say \\" {" ,[', '["', "", '"]"', '\\\\" {["', ']]"{"']:
+        changes, *deeper = large_geojson.effects(piece)
+        for inside in (False, True):
+            assert large_geojson.effect(piece, inside) == (inside != changes, deeper[inside])
+    assert large_geojson.opening('x\\"{" ,{"a{":[{', True, 2, 2) == 7 and large_geojson.opening("x{[", True, 2, 2) is None
