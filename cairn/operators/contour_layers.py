@@ -97,6 +97,22 @@ def clipped(segments: DataFrame, box: Column) -> DataFrame:
     }).drop("_from", "_to", "_out")
 
 
+def near(crossed: DataFrame, asked: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """Crossings (by, x, y) with the requests (by, tx, ty, box) whose boxes they may lie in.
+
+    A request is dealt to squares about as large as its box, of two to four at most along a side, within its tile; a crossing
+    looks in its square of each size that its tile has.  So small boxes don't meet all that their tile holds.
+    """
+    side = F.greatest(F.col("box.east") - F.col("box.west"), F.col("box.north") - F.col("box.south"), F.lit(1.0))
+    sized = asked.withColumn("_size", F.least(F.pow(F.lit(2.0), F.ceil(F.log2(side))), F.lit(float(tile))).cast("long"))
+    square = lambda v: F.floor(v / F.col("_size"))
+    within = lambda lo, hi, t: F.explode(F.sequence(square(F.greatest(F.floor(F.col(lo)), F.col(t) * tile)), square(F.least(F.floor(F.col(hi)), (F.col(t) + 1) * tile - 1))))
+    dealt = sized.withColumn("_sx", within("box.west", "box.east", "tx")).withColumn("_sy", within("box.south", "box.north", "ty"))
+    sizes = sized.groupBy(*by).agg(F.collect_set("_size").alias("_sizes"))
+    looking = crossed.join(sizes, by).withColumn("_size", F.explode("_sizes")).withColumns({"_sx": square(F.col("x")), "_sy": square(F.col("y"))})
+    return looking.join(dealt, [*by, "_size", "_sx", "_sy"]).drop("_sizes", "_size", "_sx", "_sy")
+
+
 def workspace_segments(elevation: DataFrame, requests: DataFrame, frame: Frame, tile: int = TILE) -> DataFrame:
     """The contours' segments within each workspace's box: workspace_id, resolution_m, interval, x, y, k and ends as of
     contour_segments, in numbers of cells' middles."""
@@ -104,7 +120,7 @@ def workspace_segments(elevation: DataFrame, requests: DataFrame, frame: Frame,
     cells = tile_cells(elevation, asked.select("resolution_m", "tx", "ty").distinct(), frame, tile)
     by = ["resolution_m", "tx", "ty", "interval"]
     crossed = crossings(cells.join(asked.select(*by).distinct(), by[:3]), F.col("interval"), *by)
-    return clipped(crossed.join(asked, by), F.col("box")).select("workspace_id", "resolution_m", "interval", "x", "y", "k", "x1", "y1", "e1", "x2", "y2", "e2")
+    return clipped(near(crossed, asked, by, tile), F.col("box")).select("workspace_id", "resolution_m", "interval", "x", "y", "k", "x1", "y1", "e1", "x2", "y2", "e2")
 
 
 def workspace_contours(elevation: DataFrame, workspaces: DataFrame, frame: Frame, generalization: str | Column = "soft", tile: int = TILE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Contour layers against a plain version: resampling, crossings, boxes, lines."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -153,3 +154,19 @@ def test_odd_elevation_and_sizes(spark):
     assert {r.workspace_id for r in contours.split_tiles(contours.contour_requests(sized)).collect()} == {4, 5, 6, 7}
     assert contour_layers.workspace_contours(df.limit(0), sheets(spark), FRAME, "soft").count() == 0
     assert contour_layers.workspace_contours(df, sheets(spark).limit(0), FRAME, "soft").count() == 0
+
+
+def test_requests_meet_what_is_near_them(spark):
+    """Each crossing meets all boxes that its cell lies in, once each, and of small boxes in a large tile few others."""
+    draw = random.Random(4)
+    boxes = [(i, (w := draw.uniform(-3, 60)), (s := draw.uniform(-3, 60)), w + draw.choice([0.3, 2, 5, 80]), s + draw.choice([0.3, 3, 40])) for i in range(60)]
+    asked = spark.createDataFrame(boxes, "workspace_id long, west double, south double, east double, north double")
+    asked = asked.select("workspace_id", F.struct("west", "south", "east", "north").alias("box"), F.explode(F.sequence(F.floor(F.col("west") / 32), F.floor(F.col("east") / 32))).alias("tx"), "south", "north")
+    asked = asked.withColumn("ty", F.explode(F.sequence(F.floor(F.col("south") / 32), F.floor(F.col("north") / 32)))).drop("south", "north")
+    cells = spark.range(-5, 70).selectExpr("id x").crossJoin(spark.range(-5, 70).selectExpr("id y")).selectExpr("x", "y", "floor(x / 32) tx", "floor(y / 32) ty")
+    got = [(r.workspace_id, r.x, r.y) for r in contour_layers.near(cells, asked, ["tx", "ty"], 32).select("workspace_id", "x", "y").collect()]
+    inside = {(i, x, y) for i, w, s, e, n in boxes for x in range(-5, 70) for y in range(-5, 70) if x + 1 > w and x < e and y + 1 > s and y < n}
+    assert len(set(got)) == len(got) and inside <= set(got)
+    small = {i for i, w, s, e, n in boxes if max(e - w, n - s) <= 3}
+    plain = cells.join(asked, ["tx", "ty"]).where(F.col("workspace_id").isin(list(small))).count()
+    assert len([g for g in got if g[0] in small]) < plain / 20
