@@ -46,27 +46,40 @@ class TextCNN:
         h = np.concatenate(found, axis=1)
         return np.maximum(h, 0), at
 
-    def fit(self, seqs: np.ndarray | list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 6, batch: int = 64, rate: float = 0.01, decay: float = 0.0, seed: int = 11) -> TextCNN:
-        """Adam on the weighted cross-entropy. labels: numbers of classes. Sequences may differ in length; they're taken whole."""
+    def fit(self, seqs: np.ndarray | list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 6, batch: int = 64, rate: float = 0.01, decay: float = 0.0, seed: int = 11, lazy: bool = False) -> TextCNN:
+        """Adam on the weighted cross-entropy. labels: numbers of classes. Sequences may differ in length; they're taken whole.
+
+        lazy: a step leaves embeddings (and their moments) alone that it has no gradient for, so it costs what its batch does.
+        """
         weights = np.ones(len(labels), np.float32) if weights is None else weights.astype(np.float32)
         draw, step, total = np.random.default_rng(seed), 0, batch * float(weights.mean())
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params()]
         for epoch in range(epochs):
             for rows in batches(np.array([len(s) for s in seqs]), batch, draw):
-                grads, step = self._gradients(padded([seqs[i] for i in rows]), labels[rows], weights[rows], total), step + 1
-                now = rate * (1 - 0.9 * epoch / max(1, epochs))
-                for p, g, (m, v) in zip(self.params(), grads, moments):
+                (at, g), grads = self._sparse(padded([seqs[i] for i in rows]), labels[rows], weights[rows], total)
+                now, step = rate * (1 - 0.9 * epoch / max(1, epochs)), step + 1
+                if not lazy:
+                    at, g = slice(None), self._dense(at, g)
+                for p, g, at, (m, v) in zip(self.params(), [g, *grads], [at] + [slice(None)] * len(grads), moments):
                     if decay and p is not self.bias:
-                        g = g + decay * p
-                    m *= 0.9
-                    m += 0.1 * g
-                    v *= 0.999
-                    v += 0.001 * g * g
-                    p -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+                        g = g + decay * p[at]
+                    m[at] = some = 0.9 * m[at] + 0.1 * g
+                    v[at] = square = 0.999 * v[at] + 0.001 * g * g
+                    p[at] -= now * (some / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-7)
                 self.emb[0] = 0
         return self
 
     def _gradients(self, seq, labels, weights, total: float | None = None) -> list[np.ndarray]:
+        (at, g), grads = self._sparse(seq, labels, weights, total)
+        return [self._dense(at, g), *grads]
+
+    def _dense(self, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        demb = np.zeros_like(self.emb)
+        demb[at] = g
+        return demb
+
+    def _sparse(self, seq, labels, weights, total: float | None = None) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+        """The symbols that have a gradient and theirs, and those of the other parameters."""
         h, at = self._forward(seq)
         z = self.logits(h)
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -74,7 +87,7 @@ class TextCNN:
         p[np.arange(len(labels)), labels] -= 1
         dz = p * (weights / (total or weights.sum()))[:, None]
         dh = (dz @ self.out.T) * (h > 0)
-        grads, demb, first = [], np.zeros_like(self.emb), 0
+        grads, names, backs, first = [], [], [], 0
         rows = np.arange(len(labels))[:, None]
         for (w, (f, _)), a in zip(self.filters.items(), at):
             d = dh[:, first : first + f.shape[2]]
@@ -85,9 +98,13 @@ class TextCNN:
                 df[j] = np.einsum("bf,bfe->ef", d, self.embedded(sym))
                 back = (d[:, :, None] * f[j].T[None]).reshape(-1, f.shape[1])
                 for k in range(sym[0, 0].size):
-                    np.add.at(demb, sym.reshape(len(back), -1)[:, k], back)
+                    names.append(sym.reshape(len(back), -1)[:, k])
+                    backs.append(back)
             grads += [df, d.sum(axis=0)]
-        return [demb, *grads, h.T @ dz, dz.sum(axis=0)]
+        found, to = np.unique(np.concatenate(names), return_inverse=True)
+        demb = np.zeros((len(found), self.emb.shape[1]), self.emb.dtype)
+        np.add.at(demb, to, np.concatenate(backs))
+        return (found, demb), [*grads, h.T @ dz, dz.sum(axis=0)]
 
 
 def batches(size: np.ndarray, most: int, draw: np.random.Generator, places: int = 1 << 17) -> list[np.ndarray]:
